@@ -72,7 +72,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         """SELECT entity, date, close,
              row_number() OVER (PARTITION BY entity ORDER BY date) AS t,
              first_value(close) OVER (PARTITION BY entity ORDER BY date) AS close0,
-             avg(close) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS mean30
+             round(avg(close) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 4) AS mean30
            FROM series""",
     ),
     "origins": (
@@ -83,8 +83,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "paths": (
         "origins",
         """SELECT entity, origin, model, h AS horizon, p AS path_id, spot, CAST(origin + CAST(h AS INTEGER) AS DATE) AS target_date,
-             round((CASE model WHEN 'naive' THEN spot WHEN 'drift' THEN spot + h * drift ELSE mean30 END)
-               * (1 + (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / 20000.0::DOUBLE), 6) AS price
+             (CASE model WHEN 'naive' THEN spot WHEN 'drift' THEN spot + h * drift ELSE mean30 END)
+               * (1 + (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / 20011.0::DOUBLE) AS price
            FROM origins, (VALUES ('naive', 1), ('drift', 2), ('mean30', 3)) models(model, m),
              generate_series(1, 14) hs(h), generate_series(1, 20) ps(p)""",
     ),
@@ -95,7 +95,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "medians": (
         "scored",
         """SELECT entity, model, origin, horizon, target_date, max(spot) AS spot, max(actual) AS actual,
-             round(quantile_cont(price, 0.5), 6) AS median_price FROM scored GROUP BY 1, 2, 3, 4, 5""",
+             quantile_cont(price, 0.5) AS median_price FROM scored GROUP BY 1, 2, 3, 4, 5""",
     ),
     # ledger: sales by day; the return flag names the strategy
     "trades": (

@@ -88,7 +88,7 @@ def origins(spark: SparkSession, sf: str) -> DataFrame:
     walk = series(spark, sf).select(
         "entity", "date", "close", F.row_number().over(by_entity).alias("t"),
         F.first("close").over(by_entity).alias("close0"),
-        F.avg("close").over(by_entity.rowsBetween(-29, 0)).alias("mean30"),
+        F.round(F.avg("close").over(by_entity.rowsBetween(-29, 0)), 4).alias("mean30"),
     )
     chosen = walk_origins(walk, "t", first=WARMUP + 1, step=STEP)
     return chosen.select(
@@ -100,7 +100,7 @@ def origins(spark: SparkSession, sf: str) -> DataFrame:
 def paths(spark: SparkSession, sf: str) -> DataFrame:
     """Forecast paths: deterministic integer noise around each model's centre, so that SQL gives the same numbers."""
     h, p, m = F.col("horizon").cast("bigint"), F.col("path_id").cast("bigint"), F.col("m").cast("bigint")
-    noise = (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / F.lit(20000.0)
+    noise = (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / F.lit(20011.0)
     centre = (
         F.when(F.col("model") == "naive", F.col("spot"))
         .when(F.col("model") == "drift", F.col("spot") + F.col("horizon") * F.col("drift"))
@@ -110,7 +110,7 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     return grid_rows.select(
         "entity", "origin", "model", "horizon", "path_id", "spot",
         F.date_add("origin", F.col("horizon").cast("int")).alias("target_date"),
-        F.round(centre * (1 + noise), 6).alias("price"),
+        (centre * (1 + noise)).alias("price"),
     )
 
 
@@ -123,7 +123,7 @@ def medians(spark: SparkSession, sf: str) -> DataFrame:
     """One point forecast per (model, origin, horizon): the group is the fixed number of paths."""
     return scored(spark, sf).groupBy("entity", "model", "origin", "horizon", "target_date").agg(
         F.max("spot").alias("spot"), F.max("actual").alias("actual"),
-        F.round(F.percentile("price", F.lit(0.5)), 6).alias("median_price"),
+        F.percentile("price", F.lit(0.5)).alias("median_price"),
     )
 
 
