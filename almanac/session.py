@@ -20,6 +20,7 @@ def local_session(app: str = "almanac", cpus: str | int = "*", partitions: int =
         .config("spark.driver.memory", os.environ.get("ALMANAC_DRIVER_MEMORY", "12g"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="almanac-"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.streaming.metricsEnabled", "false")
         .getOrCreate()
     )
