@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _normal_upper(z: np.ndarray) -> np.ndarray:
@@ -74,26 +75,26 @@ def binomial_upper(k: int, n: int) -> float:
     return min(1.0, float(np.exp(logs).sum())) if logs else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(2 * _normal_upper(z.abs().to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_upper(z: pd.Series) -> pd.Series:
     return pd.Series(_normal_upper(z.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(a, b) for a, b in zip(p, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fair_coin_upper(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_upper(a, b) for a, b in zip(k, n, strict=True)])

@@ -14,14 +14,22 @@ def walk_origins(df: DataFrame, index: str, *, first: int, step: int) -> DataFra
     return df.filter((F.col(index) >= first) & ((F.col(index) - first) % step == 0))
 
 
-def path_grid(origins: DataFrame, models: Mapping[str, int], *, horizon: int, paths: int) -> DataFrame:
-    """Every origin × model × horizon × path, generated in place by exploding fixed arrays."""
+def points_of(origins: DataFrame, *, horizon: int) -> DataFrame:
+    """Every origin × horizon with its target date."""
+    steps = origins.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
+    return steps.withColumn("target_date", F.date_add("origin", F.col("horizon")))
+
+
+def path_grid(points: DataFrame, keys: Sequence[str], models: Mapping[str, int], *, paths: int) -> DataFrame:
+    """Every point × model × path, generated in place by exploding fixed arrays.
+
+    The points, not the paths, are shuffled: they are spread by (keys, origin) before the expansion, and since that is
+    a subset of every later grouping key of a forecast, Spark aggregates the expanded rows without moving them again.
+    """
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(v).alias("m")) for k, v in models.items()])
-    return (
-        origins.select("*", F.inline(named))
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path_id"))
-    )
+    spread = points.repartition(partitions, *keys, "origin")
+    return spread.select("*", F.inline(named)).select("*", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path_id"))
 
 
 def naive_forecast(

@@ -18,13 +18,14 @@ POINT = [*FORECAST, "horizon"]
 
 @query("naive_forecast", "M14", twin("origins", "SELECT entity, origin, CAST(h AS INTEGER) AS horizon, spot AS forecast FROM origins, generate_series(1, 14) g(h)"))
 def naive_forecast(spark, sf):
-    return fc.naive_forecast(t.series(spark, sf), t.origins(spark, sf), ["entity"], "close", horizon=t.HORIZON)
+    daily = t.series(spark, sf)
+    return fc.naive_forecast(daily, t.origins_of(daily), ["entity"], "close", horizon=t.HORIZON)
 
 
-@query("drift_forecast", "M15", twin("series", """SELECT entity, date AS origin, CAST(h AS INTEGER) AS horizon, round(close + h * (close - c0) / (t - 1), 4) AS forecast FROM (SELECT entity, date, close,
+@query("drift_forecast", "M15", twin("series", """SELECT entity, date AS origin, CAST(h AS INTEGER) AS horizon, close + h * ((close - c0) / (t - 1)) AS forecast FROM (SELECT entity, date, close,
   first_value(close) OVER (PARTITION BY entity ORDER BY date) AS c0, row_number() OVER (PARTITION BY entity ORDER BY date) AS t FROM series), generate_series(1, 14) g(h) WHERE t > 1"""))
 def drift_forecast(spark, sf):
-    return rounded(fc.drift_forecast(t.series(spark, sf), ["entity"], "close", horizon=t.HORIZON), ["forecast"])
+    return fc.drift_forecast(t.series(spark, sf), ["entity"], "close", horizon=t.HORIZON)
 
 
 @query("walk_forward_origins", "P32", twin("origins", "SELECT entity, origin, spot, mean30, round(drift, 4) AS drift FROM origins"))
@@ -41,18 +42,18 @@ def _folds_sql(mode: str) -> str:
       FROM (SELECT min(date) AS a, max(date) AS b FROM series), generate_series(1, 8) g(k) WHERE a + CAST(810 + (k - 1) * 90 AS INTEGER) <= b + 1)"""
 
 
-def fold_table(spark, sf, mode="expanding"):
-    return fc.folds(t.series(spark, sf), n_folds=8, months_train=24, months_test=3, mode=mode)
+def fold_table(daily, mode="expanding"):
+    return fc.folds(daily, n_folds=8, months_train=24, months_test=3, mode=mode)
 
 
 @query("folds_expanding", "M16", twin("series", "SELECT * FROM folds", _folds_sql("expanding")))
 def folds_expanding(spark, sf):
-    return fold_table(spark, sf)
+    return fold_table(t.series(spark, sf))
 
 
 @query("folds_rolling", "M16", twin("series", "SELECT * FROM folds", _folds_sql("rolling")))
 def folds_rolling(spark, sf):
-    return fold_table(spark, sf, "rolling")
+    return fold_table(t.series(spark, sf), "rolling")
 
 
 ONE_STEP = """steps AS (SELECT entity, date, close AS actual, lag(close) OVER (PARTITION BY entity ORDER BY date) AS forecast FROM series),
@@ -61,15 +62,17 @@ ONE_STEP = """steps AS (SELECT entity, date, close AS actual, lag(close) OVER (P
 
 def tested_steps(spark, sf):
     before = F.lag("close").over(Window.partitionBy("entity").orderBy("date"))
-    steps = t.series(spark, sf).select("entity", "date", F.col("close").alias("actual"), before.alias("forecast"))
-    tagged = fc.tag_folds(steps.filter(F.col("forecast").isNotNull()), fold_table(spark, sf))
+    daily = t.series(spark, sf)
+    steps = daily.select("entity", "date", F.col("close").alias("actual"), before.alias("forecast"))
+    tagged = fc.tag_folds(steps.filter(F.col("forecast").isNotNull()), fold_table(daily))
     return tagged.filter(F.col("role") == "test")
 
 
 @query("rows_tagged_with_folds", "M16", twin("series", """SELECT fold, role, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM (SELECT s.date, f.fold,
   CASE WHEN s.date < f.train_end THEN 'train' ELSE 'test' END AS role FROM series s JOIN folds f ON s.date >= f.train_start AND s.date < f.test_end) GROUP BY 1, 2""", _folds_sql("expanding")))
 def rows_tagged_with_folds(spark, sf):
-    tagged = fc.tag_folds(t.series(spark, sf).select("entity", "date"), fold_table(spark, sf))
+    daily = t.series(spark, sf)
+    tagged = fc.tag_folds(daily.select("entity", "date"), fold_table(daily))
     return tagged.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
@@ -91,26 +94,23 @@ RESIDUALS = """resid AS (SELECT o.entity, o.origin, CAST(h AS INTEGER) AS horizo
     FROM (SELECT entity, origin FROM resid GROUP BY 1, 2 HAVING count(*) = 14)) k ON k.entity = r.entity AND k.origin = r.origin)"""
 
 
-def drift_points(spark, sf):
-    horizons = F.explode(F.sequence(F.lit(1), F.lit(t.HORIZON))).alias("horizon")
-    return t.origins(spark, sf).select("entity", "origin", "spot", "drift", horizons).select(
-        "entity", "origin", "horizon", F.date_add("origin", F.col("horizon")).alias("target_date"), (F.col("spot") + F.col("horizon") * F.col("drift")).alias("forecast")
-    )
+def drift_points(daily):
+    points = fc.points_of(t.origins_of(daily), horizon=t.HORIZON)
+    return points.select("entity", "origin", "horizon", "target_date", (F.col("spot") + F.col("horizon") * F.col("drift")).alias("forecast"))
 
 
-def residual_rows(spark, sf):
-    actual = t.series(spark, sf).select("entity", F.col("date").alias("target_date"), F.col("close").alias("actual"))
-    return fc.residuals(drift_points(spark, sf), actual, ["entity"])
+def residual_rows(daily):
+    return fc.residuals(drift_points(daily), t.actuals_of(daily), ["entity"])
 
 
-@query("residuals", "M18", twin("origins", "SELECT entity, origin, horizon, round(residual, 4) AS residual FROM resid", RESIDUALS))
+@query("residuals", "M18", twin("origins", "SELECT entity, origin, horizon, residual FROM resid", RESIDUALS))
 def residuals(spark, sf):
-    return residual_rows(spark, sf).select("entity", "origin", "horizon", r("residual").alias("residual"))
+    return residual_rows(t.series(spark, sf)).select("entity", "origin", "horizon", "residual")
 
 
-def numbered_residuals(spark, sf):
+def numbered_residuals(daily):
     """Complete residual rows numbered per entity; origins per entity are bounded by the calendar."""
-    rows = residual_rows(spark, sf)
+    rows = residual_rows(daily)
     whole = rows.groupBy("entity", "origin").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == t.HORIZON).drop("k")
     ids = whole.select("*", F.row_number().over(Window.partitionBy("entity").orderBy("origin")).alias("row_id"))
     return rows.join(ids, ["entity", "origin"]).select("entity", "row_id", "horizon", "residual")
@@ -119,20 +119,22 @@ def numbered_residuals(spark, sf):
 BOOT = pick_sql(["date_diff('day', DATE '1970-01-01', origin)", "path_id", "(horizon - 1) // 3"], "n", 11)
 
 
-@query("block_bootstrap_paths", "P1 P2 P34", twin("origins", f"""SELECT p.entity, p.origin, p.horizon, p.path_id, round(p.forecast + c.residual, 4) AS price FROM (
+@query("block_bootstrap_paths", "P1 P2 P34", twin("origins", f"""SELECT p.entity, p.origin, p.horizon, p.path_id, p.forecast + c.residual AS price FROM (
   SELECT o.entity, o.origin, CAST(h AS INTEGER) AS horizon, CAST(path_id AS INTEGER) AS path_id, o.spot + h * o.drift AS forecast, {BOOT.replace('(horizon - 1)', '(h - 1)').replace('CAST(path_id AS BIGINT)', 'CAST(path_id AS BIGINT)')} AS row_id
   FROM origins o JOIN (SELECT entity, max(n) AS n FROM complete GROUP BY 1) k ON k.entity = o.entity CROSS JOIN generate_series(1, 14) g(h) CROSS JOIN generate_series(1, 10) q(path_id)) p
   JOIN complete c ON c.entity = p.entity AND c.row_id = p.row_id AND c.horizon = p.horizon""", RESIDUALS))
 def block_bootstrap_paths(spark, sf):
     """All origins, paths and horizons at once: the residual slice of each block is found by a join, not a loop."""
-    paths = fc.bootstrap_paths(drift_points(spark, sf), numbered_residuals(spark, sf), ["entity"], n_paths=10, block=3, seed=11)
-    return rounded(paths.drop("target_date"), ["price"])
+    daily = t.series(spark, sf)
+    paths = fc.bootstrap_paths(drift_points(daily), numbered_residuals(daily), ["entity"], n_paths=10, block=3, seed=11)
+    return paths.drop("target_date")
 
 
 @query("gaussian_paths", "P3")
 def gaussian_paths(spark, sf):
-    sigma = residual_rows(spark, sf).groupBy("entity", "horizon").agg(F.stddev_samp("residual").alias("sigma"))
-    points = drift_points(spark, sf).join(sigma, ["entity", "horizon"])
+    daily = t.series(spark, sf)
+    sigma = residual_rows(daily).groupBy("entity", "horizon").agg(F.stddev_samp("residual").alias("sigma"))
+    points = drift_points(daily).join(sigma, ["entity", "horizon"])
     paths = fc.gaussian_paths(points, n_paths=10, sigma="sigma", seed=5)
     return paths.select("entity", "origin", "horizon", "path_id", "price")
 
@@ -192,8 +194,9 @@ META = f"meta AS ({_window_sql()})"
 META_COLUMNS = [f"{m}_{h}d" for h in (1, 7, 14) for m in ("mae", "rmse", "mape")]
 
 
-def metadata(spark, sf):
-    return sc.errors_at_horizons(t.medians(spark, sf), FORECAST, "median_price", "actual", (1, 7, 14))
+def metadata(spark, sf, scored=None):
+    points = t.medians(spark, sf) if scored is None else t.medians_of(scored)
+    return sc.errors_at_horizons(points, FORECAST, "median_price", "actual", (1, 7, 14))
 
 
 @query("errors_per_window", "P7", twin("medians", "SELECT entity, model, origin, " + ", ".join(f"round({c}, 4) AS {c}" for c in META_COLUMNS) + " FROM meta", META))
@@ -207,8 +210,8 @@ HITS = """hits AS (SELECT entity, model, origin, horizon, max(actual) AS actual,
   quantile_cont(price, 0.975) - quantile_cont(price, 0.025) AS i95_width FROM scored GROUP BY 1, 2, 3, 4)"""
 
 
-def hits(spark, sf):
-    return sc.interval_scores(t.scored(spark, sf), POINT, "price", "actual", BANDS)
+def hits(spark, sf, scored=None):
+    return sc.interval_scores(t.scored(spark, sf) if scored is None else scored, POINT, "price", "actual", BANDS)
 
 
 @query("interval_coverage", "P9", twin("scored", "SELECT entity, model, round(avg(i80_hit), 6) AS i80, round(avg(i95_hit), 6) AS i95, count(*) AS n FROM hits GROUP BY 1, 2", HITS))
@@ -285,8 +288,8 @@ def ensemble_features(spark, sf):
   JOIN (SELECT model, avg(crps) AS crps FROM crps GROUP BY 1) c ON c.model = m.model""", HITS + ", " + CRPS))
 def model_comparison(spark, sf):
     scored = t.scored(spark, sf)
-    errors = sc.error_table(t.medians(spark, sf), ["model"], "median_price", "actual").select("model", r("mae").alias("mae"), "n")
-    covered = hits(spark, sf).groupBy("model").agg(r(F.avg("i80_hit"), 6).alias("i80"))
+    errors = sc.error_table(t.medians_of(scored), ["model"], "median_price", "actual").select("model", r("mae").alias("mae"), "n")
+    covered = hits(spark, sf, scored).groupBy("model").agg(r(F.avg("i80_hit"), 6).alias("i80"))
     spread = sc.crps(scored, POINT, "price", "actual").groupBy("model").agg(r(F.avg("crps"), 3).alias("crps"))
     return errors.join(covered, "model").join(spread, "model")
 
@@ -349,12 +352,13 @@ def load_quality(spark, sf):
 def with_probabilistic(spark, sf):
     """Mean CRPS to 1, 7 and 14 days, coverage and width of the 80 and 95 percent intervals."""
     upto = {h: F.when(F.col("horizon") <= h, F.col("crps")) for h in (1, 7, 14)}
-    spread = sc.crps(t.scored(spark, sf), POINT, "price", "actual").groupBy(*FORECAST).agg(*[F.avg(c).alias(f"crps_{h}d") for h, c in upto.items()])
-    covered = hits(spark, sf).groupBy(*FORECAST).agg(
+    rows = t.scored(spark, sf)
+    spread = sc.crps(rows, POINT, "price", "actual").groupBy(*FORECAST).agg(*[F.avg(c).alias(f"crps_{h}d") for h, c in upto.items()])
+    covered = hits(spark, sf, rows).groupBy(*FORECAST).agg(
         F.avg("i80_hit").alias("coverage_80_14d"), F.avg("i95_hit").alias("coverage_95_14d"), F.avg("i80_width").alias("sharpness_80_14d")
     )
     scored = covered.withColumn("calibration_score_14d", F.abs(F.col("coverage_80_14d") - 0.8))
-    return metadata(spark, sf).join(spread, FORECAST).join(scored, FORECAST)
+    return metadata(spark, sf, rows).join(spread, FORECAST).join(scored, FORECAST)
 
 
 PROB = """prob AS (SELECT m.*, c.crps_1d, c.crps_7d, c.crps_14d, h.coverage_80_14d, h.coverage_95_14d, h.sharpness_80_14d, abs(h.coverage_80_14d - 0.8::DOUBLE) AS calibration_score_14d FROM meta m
@@ -416,8 +420,9 @@ def dashboard_coverage_rate(spark, sf):
 
 @query("dashboard_crps_against_mae", "P30", twin("medians scored", f"SELECT entity, model, origin, round(mae_14d, 4) AS point_forecast_mae, round(crps_14d, 3) AS distribution_crps FROM prob WHERE mae_14d IS NOT NULL AND origin >= DATE '{SINCE}'", FULL))
 def dashboard_crps_against_mae(spark, sf):
-    spread = sc.crps(t.scored(spark, sf), POINT, "price", "actual").groupBy(*FORECAST).agg(F.avg("crps").alias("crps_14d"))
-    rows = metadata(spark, sf).filter(F.col("mae_14d").isNotNull() & (F.col("origin") >= SINCE)).join(spread, FORECAST)
+    scored = t.scored(spark, sf)
+    spread = sc.crps(scored, POINT, "price", "actual").groupBy(*FORECAST).agg(F.avg("crps").alias("crps_14d"))
+    rows = metadata(spark, sf, scored).filter(F.col("mae_14d").isNotNull() & (F.col("origin") >= SINCE)).join(spread, FORECAST)
     return rows.select(*FORECAST, r("mae_14d").alias("point_forecast_mae"), r("crps_14d", 3).alias("distribution_crps"))
 
 

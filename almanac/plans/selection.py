@@ -164,7 +164,7 @@ def forecast_with_actual(spark, sf):
 @query("newest_forecasts_left_actuals", "J8", twin("paths series", """SELECT p.entity, p.model, p.origin, p.horizon, p.path_id, p.price, s.close AS actual FROM
   (SELECT * FROM paths ORDER BY origin DESC, entity, model, horizon DESC, path_id LIMIT 500) p LEFT JOIN series s ON s.entity = p.entity AND s.date = p.target_date"""))
 def newest_forecasts_left_actuals(spark, sf):
-    actual = t.series(spark, sf).select("entity", F.col("date").alias("target_date"), F.col("close").alias("actual"))
+    actual = t.actuals_of(t.series(spark, sf))
     order = [F.col("origin").desc(), F.col("entity"), F.col("model"), F.col("horizon").desc(), F.col("path_id")]
     joined = joins.newest_with_actuals(t.paths(spark, sf), actual, ["entity", "target_date"], order, 500)
     return joined.select("entity", "model", "origin", "horizon", "path_id", "price", "actual")

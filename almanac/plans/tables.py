@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from almanac.operators import spine as sp
 from almanac.operators.fill import forward_fill
-from almanac.operators.forecast import path_grid, walk_origins
+from almanac.operators.forecast import path_grid, points_of, walk_origins
+from almanac.operators.lineage import written
 
 PATHS, HORIZON, STEP, WARMUP = 20, 14, 7, 30
 MODELS = {"naive": 1, "drift": 2, "mean30": 3}
@@ -26,7 +27,8 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    daily = bars(spark, sf)
+    """The daily bars are written once, so the raw table is scanned once for the spine's ends, its entities and the values."""
+    daily = written(bars(spark, sf), "bars")
     return sp.complete_grid(sp.data_spine(daily, ["entity"]), daily, ["entity", "date"])
 
 
@@ -82,10 +84,10 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
 THEME_GROUPS = {"view": "SUPPLY", "click": "MARKET", "signup": "TRADE", "error": "LOGISTICS"}
 
 
-def origins(spark: SparkSession, sf: str) -> DataFrame:
+def origins_of(daily: DataFrame) -> DataFrame:
     """Walk-forward origins every seven days with what each model knows at that day."""
     by_entity = Window.partitionBy("entity").orderBy("date")
-    walk = series(spark, sf).select(
+    walk = daily.select(
         "entity", "date", "close", F.row_number().over(by_entity).alias("t"),
         F.first("close").over(by_entity).alias("close0"),
         F.round(F.avg("close").over(by_entity.rowsBetween(-29, 0)), 4).alias("mean30"),
@@ -97,7 +99,11 @@ def origins(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def paths(spark: SparkSession, sf: str) -> DataFrame:
+def origins(spark: SparkSession, sf: str) -> DataFrame:
+    return origins_of(series(spark, sf))
+
+
+def _expanded(points: DataFrame) -> DataFrame:
     """Forecast paths: deterministic integer noise around each model's centre, so that SQL gives the same numbers."""
     h, p, m = F.col("horizon").cast("bigint"), F.col("path_id").cast("bigint"), F.col("m").cast("bigint")
     noise = (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / F.lit(20011.0)
@@ -106,27 +112,37 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("model") == "drift", F.col("spot") + F.col("horizon") * F.col("drift"))
         .otherwise(F.col("mean30"))
     )
-    grid_rows = path_grid(origins(spark, sf), MODELS, horizon=HORIZON, paths=PATHS)
-    return grid_rows.select(
-        "entity", "origin", "model", "horizon", "path_id", "spot",
-        F.date_add("origin", F.col("horizon").cast("int")).alias("target_date"),
-        (centre * (1 + noise)).alias("price"),
-    )
+    kept = [c for c in points.columns if c not in ("mean30", "drift")]
+    grid_rows = path_grid(points, ["entity"], MODELS, paths=PATHS)
+    return grid_rows.select(*kept, "model", "path_id", (centre * (1 + noise)).alias("price"))
+
+
+def paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _expanded(points_of(origins(spark, sf), horizon=HORIZON))
+
+
+def actuals_of(daily: DataFrame) -> DataFrame:
+    return daily.select("entity", F.col("date").alias("target_date"), F.col("close").alias("actual"))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    actual = series(spark, sf).select("entity", F.col("date").alias("target_date"), F.col("close").alias("actual"))
-    return paths(spark, sf).join(actual, ["entity", "target_date"])
+    """Paths with the realised price, joined to the points before they are expanded to paths."""
+    daily = series(spark, sf)
+    points = points_of(origins_of(daily), horizon=HORIZON)
+    return _expanded(points.join(actuals_of(daily), ["entity", "target_date"]))
 
 
-def medians(spark: SparkSession, sf: str) -> DataFrame:
+def medians_of(scored_paths: DataFrame) -> DataFrame:
     """One point forecast per (model, origin, horizon): the group is the fixed number of paths."""
-    return scored(spark, sf).groupBy("entity", "model", "origin", "horizon", "target_date").agg(
-        F.max("spot").alias("spot"), F.max("actual").alias("actual"),
-        F.percentile("price", F.lit(0.5)).alias("median_price"),
+    return scored_paths.groupBy("entity", "model", "origin", "horizon", "target_date").agg(
+        F.max("spot").alias("spot"), F.max("actual").alias("actual"), F.percentile("price", F.lit(0.5)).alias("median_price")
     )
 
 
+def medians(spark: SparkSession, sf: str) -> DataFrame:
+    return medians_of(scored(spark, sf))
+
+
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("strategy"), F.to_date("l_shipdate").alias("date"),
