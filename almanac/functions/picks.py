@@ -1,7 +1,8 @@
 """Repeatable integer picks for resampling.
 
 A pick depends only on its inputs, so recomputation after a lost executor gives the same draw, and plain SQL can
-state it too. Two rounds of a quadratic map modulo a prime spread nearby inputs.
+state it too. Two rounds of a quadratic map modulo a prime break the pattern of the linear combination; all of it is
+integer arithmetic inside generated code.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, functions as F
 
 PRIME = 2147483647
 MULTIPLIERS = (48271, 69621, 1299709, 104729, 7919)
+ROUNDS = ((31, 12345), (17, 6789))
 
 
 def mixed(parts: Sequence[Column | str], seed: int) -> Column:
@@ -20,9 +22,9 @@ def mixed(parts: Sequence[Column | str], seed: int) -> Column:
     for multiplier, part in zip(MULTIPLIERS, parts, strict=False):
         column = F.col(part) if isinstance(part, str) else part
         total = total + (column.cast("bigint") % PRIME) * F.lit(multiplier).cast("bigint")
-    for constant in (12345, 6789):
-        total = total % PRIME
-        total = total * total + total * 31 + constant
+    for shift, constant in ROUNDS:
+        rest = total % PRIME
+        total = rest * (rest + shift) + constant
     return total % PRIME
 
 
@@ -36,8 +38,9 @@ def mixed_sql(parts: Sequence[str], seed: int) -> str:
     total = f"CAST({seed} AS BIGINT)"
     for multiplier, part in zip(MULTIPLIERS, parts, strict=False):
         total += f" + (CAST({part} AS BIGINT) % {PRIME}) * {multiplier}"
-    for constant in (12345, 6789):
-        total = f"((({total}) % {PRIME}) * (({total}) % {PRIME}) + (({total}) % {PRIME}) * 31 + {constant})"
+    for shift, constant in ROUNDS:
+        rest = f"(({total}) % {PRIME})"
+        total = f"({rest} * ({rest} + {shift}) + {constant})"
     return f"(({total}) % {PRIME})"
 
 

@@ -24,6 +24,12 @@ def forward_fill(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *,
     )
 
 
+def fill_days(df: DataFrame, columns: Sequence[str], *, date: str = "date") -> DataFrame:
+    """Fill a table that has one row per calendar day and no key; its size is the number of days."""
+    ordered = Window.partitionBy(F.lit(0)).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(*[F.last(c, ignorenulls=True).over(ordered).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def fill_then_join(spine: DataFrame, series: DataFrame, columns: Sequence[str], *, date: str = "date") -> DataFrame:
     """Fill a global daily series on its own days first, then attach it to the keyed spine.
 
@@ -32,9 +38,7 @@ def fill_then_join(spine: DataFrame, series: DataFrame, columns: Sequence[str],
     """
     days = spine.select(date).distinct()
     reduced = series.groupBy(date).agg(*[F.max(c).alias(c) for c in columns])
-    ordered = Window.partitionBy(F.lit(0)).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    complete = days.join(reduced, date, "full")
-    filled = complete.select(date, *[F.last(c, ignorenulls=True).over(ordered).alias(c) for c in columns])
+    filled = fill_days(days.join(reduced, date, "full"), columns, date=date)
     return spine.join(filled, date, "left")
 
 

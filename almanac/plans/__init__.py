@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("daily", "selection", "aggregation", "windows", "features", "forecasts", "decisions")
+FAMILIES = ("daily", "selection", "aggregation", "windows", "features", "forecasts", "decisions", "ledgers", "inference")
 _LATER = (
     "daily", "selection", "aggregation", "windows", "features", "forecasts", "decisions", "ledgers", "inference",
     "quality", "newsflow", "text", "learning", "storage", "streams",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.operators import fill, nested, ordered, spine as sp
+from almanac.operators.lineage import written
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
@@ -127,26 +128,24 @@ def unified_daily(spark, sf):
     Every source is reduced to its daily grain before any join, so the joins and windows after that see at most
     entities × days rows however many raw rows there are.
     """
-    raw = t.grid(spark, sf)
+    daily = written(t.bars(spark, sf), "bars")
+    raw = sp.complete_grid(sp.data_spine(daily, ["entity"]), daily, ["entity", "date"])
     flagged = raw.select(
         "*", F.col("close").isNotNull().alias("traded"),
         (F.col("open").isNull() | F.col("close").isNull()).cast("int").alias("market_missing"),
     )
     prices = fill.forward_fill(flagged, ["entity"], ["open", "high", "low", "close"])
-    days = raw.select("date").distinct()
-    vix = fill.fill_then_join(days, t.global_series(spark, sf), ["vix"])
-    fx_raw = t.fx_wide(spark, sf)
     any_missing = F.lit(False)
     for name in FX:
         any_missing = any_missing | F.col(name).isNull()
-    fx_flag = days.join(fx_raw, "date", "left").select("date", any_missing.cast("int").alias("fx_missing"))
-    fx = fill.fill_then_join(days, fx_raw, FX).join(fx_flag, "date")
+    market = sp.full_merge([sp.date_spine(daily), t.global_series(spark, sf), t.fx_wide(spark, sf)], ["date"])
+    market = fill.fill_days(market.select("*", any_missing.cast("int").alias("fx_missing")), ["vix", *FX])
     arrays = region_arrays(spark, sf)
     regions = arrays.select(
         "date", "entity", F.size("weather_data").cast("bigint").alias("n_regions"),
         nested.array_high("weather_data", "temp_max_c").alias("hottest"),
     )
-    joined = sp.star_join(prices, [(vix, ["date"], "left"), (fx, ["date"], "left"), (regions, ["date", "entity"], "left")])
+    joined = sp.star_join(prices, [(market, ["date"], "left"), (regions, ["date", "entity"], "left")])
     return joined.select(
         "entity", "date", "traded", "open", "high", "low", "close", F.coalesce("volume", F.lit(0)).cast("bigint").alias("volume"),
         "vix", *FX, F.coalesce("n_regions", F.lit(0)).cast("bigint").alias("n_regions"), "hottest", "market_missing", "fx_missing",

@@ -120,7 +120,7 @@ BOOT = pick_sql(["date_diff('day', DATE '1970-01-01', origin)", "path_id", "(hor
 
 
 @query("block_bootstrap_paths", "P1 P2 P34", twin("origins", f"""SELECT p.entity, p.origin, p.horizon, p.path_id, p.forecast + c.residual AS price FROM (
-  SELECT o.entity, o.origin, CAST(h AS INTEGER) AS horizon, CAST(path_id AS INTEGER) AS path_id, o.spot + h * o.drift AS forecast, {BOOT.replace('(horizon - 1)', '(h - 1)').replace('CAST(path_id AS BIGINT)', 'CAST(path_id AS BIGINT)')} AS row_id
+  SELECT o.entity, o.origin, CAST(h AS INTEGER) AS horizon, CAST(path_id AS INTEGER) AS path_id, o.spot + h * o.drift AS forecast, {BOOT.replace('(horizon - 1)', '(h - 1)')} AS row_id
   FROM origins o JOIN (SELECT entity, max(n) AS n FROM complete GROUP BY 1) k ON k.entity = o.entity CROSS JOIN generate_series(1, 14) g(h) CROSS JOIN generate_series(1, 10) q(path_id)) p
   JOIN complete c ON c.entity = p.entity AND c.row_id = p.row_id AND c.horizon = p.horizon""", RESIDUALS))
 def block_bootstrap_paths(spark, sf):
