@@ -98,7 +98,7 @@ def health_score(fresh: DataFrame, nulls: DataFrame, kept: DataFrame, covered: D
     freshness_score = fresh.agg(40 * F.avg((F.col("status") == "OK").cast("double"))).scalar()
     null_score = nulls.agg(F.greatest(F.lit(0.0), 30 * (1 - F.coalesce(F.avg("null_pct"), F.lit(0.0)) / 100))).scalar()
     kept_score = kept.agg(20 * F.avg("retention_pct") / 100).scalar()
-    coverage = covered.agg(10 * F.avg((F.col("status") == "PRESENT").cast("double")).alias("coverage_score"))
+    coverage = covered.agg((10 * F.avg((F.col("status") == "PRESENT").cast("double"))).alias("coverage_score"))
     parts = coverage.select(
         freshness_score.alias("freshness_score"), null_score.alias("null_score"), kept_score.alias("retention_score"), "coverage_score"
     )

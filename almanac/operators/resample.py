@@ -100,8 +100,9 @@ def poisson_bootstrap(
 
     Every row weighs itself in each replicate; only (key, replicate) sums are shuffled.
     """
+    unit = mixed(["replicate", *row_id], seed) % 1000000
     units = _replicates(df.select(*keys, *row_id, top, bottom), n_replicates).select(
-        *keys, "replicate", top, bottom, (mixed(["replicate", *row_id], seed) % 1000000).alias("__u")
+        *keys, "replicate", top, bottom, F.explode(F.array(unit)).alias("__u")  # one evaluation: a generator is not inlined
     )
     weighted = units.select(*keys, "replicate", top, bottom, poisson_weight("__u").alias("__w"))
     ratios = weighted.filter(F.col("__w") > 0).groupBy(*keys, "replicate").agg(
