@@ -89,12 +89,15 @@ def folds(
 
 
 def tag_folds(df: DataFrame, fold_table: DataFrame, *, date: str = "date") -> DataFrame:
-    """Rows with the folds they belong to and their role. The fold table has one row per fold and is broadcast."""
-    role = F.when((F.col(date) >= F.col("train_start")) & (F.col(date) < F.col("train_end")), "train").when(
-        (F.col(date) >= F.col("test_start")) & (F.col(date) < F.col("test_end")), "test"
-    )
-    inside = (df[date] >= fold_table["train_start"]) & (df[date] < fold_table["test_end"])
-    return df.join(F.broadcast(fold_table), inside).select(*df.columns, "fold", role.alias("role"))
+    """Rows with the folds they belong to and their role.
+
+    The fold table (one row per fold) becomes one array that each row filters in place, so nothing is joined.
+    """
+    every = fold_table.agg(F.collect_list(F.struct("fold", "train_start", "train_end", "test_start", "test_end"))).scalar()
+    mine = F.filter(every, lambda f: (F.col(date) >= f["train_start"]) & (F.col(date) < f["test_end"]))
+    held = df.select("*", F.explode(mine).alias("__f"))
+    role = F.when(F.col(date) < F.col("__f.train_end"), "train").when(F.col(date) >= F.col("__f.test_start"), "test")
+    return held.select(*df.columns, F.col("__f.fold").alias("fold"), role.alias("role"))
 
 
 def residuals(forecasts: DataFrame, actuals: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions.picks import mixed, pick
+from almanac.operators.lineage import written
 from almanac.operators.ordered import number_rows
 
 
@@ -64,10 +65,11 @@ def matched_to_distribution(df: DataFrame, target: DataFrame, label: str, confid
 
 def rebalanced(df: DataFrame, label: str, key: str, *, seed: int = 0) -> DataFrame:
     """As many rows of every class as the smallest class has, drawn with replacement by hashed position."""
-    numbered = number_rows(df, [label], [key], "__pos")
+    numbered = written(number_rows(df, [label], [key], "__pos"), "numbered")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     smallest = sizes.agg(F.min("__n")).scalar()
-    draws = sizes.select(label, "__n", F.explode(F.sequence(F.lit(1).cast("bigint"), smallest)).alias("draw"))
+    # every class has at least ``smallest`` rows, so its own first positions serve as the draws, where they lie
+    draws = numbered.select(label, F.col("__pos").alias("draw")).filter(F.col("draw") <= smallest).join(sizes, label)
     picked = draws.select(label, "draw", pick([F.col("draw"), F.col(label)], F.col("__n"), seed).alias("__pos"))
     return picked.join(numbered, [label, "__pos"]).drop("__pos")
 

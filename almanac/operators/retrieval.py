@@ -197,23 +197,26 @@ def similar_pairs(
     chunk = F.ceil(F.count(F.lit(1)) / block)
     loads = meeting.groupBy("cell", "slot").agg(chunk.alias("chunks"))
     left = meeting.join(loads, ["cell", "slot"]).select("cell", "slot", key, "u", F.pmod(F.xxhash64(key), F.col("chunks")).alias("chunk"))
-    right = homes.join(loads, ["cell", "slot"]).select("cell", "slot", key, "u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    right = homes.join(loads, ["cell", "slot"]).select(
+        F.col("cell").alias("cell_r"), F.col("slot").alias("slot_r"), F.col(key).alias("other"), F.col("u").alias("w"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk_r"),
+    )
     kind = dict(vectors.dtypes)[key]
 
     def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({key: [], "other": [], "score": []})
-        a, b = np.stack(one["u"].to_list()), np.stack(two["u"].to_list())
+        a, b = np.stack(one["u"].to_list()), np.stack(two["w"].to_list())
         scores = a @ b.T
-        scores[one[key].to_numpy()[:, None] == two[key].to_numpy()[None, :]] = -np.inf
-        others = two[key].to_numpy()
+        scores[one[key].to_numpy()[:, None] == two["other"].to_numpy()[None, :]] = -np.inf
+        others = two["other"].to_numpy()
         order = np.lexsort((np.broadcast_to(others, scores.shape), -scores), axis=1)[:, 0]
         top = scores[np.arange(len(a)), order]
         keep = top > threshold
         return pd.DataFrame({key: one[key].to_numpy()[keep], "other": others[order][keep], "score": top[keep]})
 
     groups = ["cell", "slot", "chunk"]
-    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(meet, f"`{key}` {kind}, other {kind}, score double")
+    found = left.groupBy(*groups).cogroup(right.groupBy("cell_r", "slot_r", "chunk_r")).applyInPandas(meet, f"`{key}` {kind}, other {kind}, score double")
     best = found.groupBy(key).agg(F.min_by(F.struct("other", "score"), F.struct(-F.col("score"), F.col("other"))).alias("__b"))
     nearest_other = best.select(F.col(key).alias("__rep"), "__b.*")
     # every copy of a folded vector gets its representative's answer; copies answer for each other

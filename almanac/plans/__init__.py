@@ -2,8 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("daily", "selection", "aggregation", "windows", "features", "forecasts", "decisions", "ledgers", "inference", "quality", "text")
-_LATER = (
+FAMILIES = (
     "daily", "selection", "aggregation", "windows", "features", "forecasts", "decisions", "ledgers", "inference",
     "quality", "newsflow", "text", "learning", "storage", "streams",
 )
