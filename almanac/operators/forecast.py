@@ -91,11 +91,12 @@ def folds(
 def tag_folds(df: DataFrame, fold_table: DataFrame, *, date: str = "date") -> DataFrame:
     """Rows with the folds they belong to and their role.
 
-    The fold table (one row per fold) becomes one array that each row filters in place, so nothing is joined.
+    The fold table (one row per fold) becomes one array that each row expands and filters in place: no join, and the
+    factor is the fixed number of folds.
     """
     every = fold_table.agg(F.collect_list(F.struct("fold", "train_start", "train_end", "test_start", "test_end"))).scalar()
-    mine = F.filter(every, lambda f: (F.col(date) >= f["train_start"]) & (F.col(date) < f["test_end"]))
-    held = df.select("*", F.explode(mine).alias("__f"))
+    held = df.select("*", F.explode(every).alias("__f"))
+    held = held.filter((F.col(date) >= F.col("__f.train_start")) & (F.col(date) < F.col("__f.test_end")))
     role = F.when(F.col(date) < F.col("__f.train_end"), "train").when(F.col(date) >= F.col("__f.test_start"), "test")
     return held.select(*df.columns, F.col("__f.fold").alias("fold"), role.alias("role"))
 

@@ -26,3 +26,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     The count stops after ``max_rows + 1`` rows, so the check costs no full pass over a large side.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """Rows of a source that comes in fewer splits than there are cores, dealt out to all of them.
+
+    A table of many files already has enough splits and is returned untouched, so nothing is shuffled at scale.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source

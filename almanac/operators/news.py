@@ -87,25 +87,29 @@ def daily_wide(
 ) -> DataFrame:
     """All mentions, each group and each tracked theme side by side, one row per key.
 
-    Three conditional-aggregate families over one shuffle instead of three pivots and two full joins. Counts are 0
-    where a theme is absent; tones stay NULL, so that a later fill can tell "no news" from "neutral news".
+    Rows are first reduced to sums and counts per key and theme, which is all that is shuffled; the wide columns are
+    then formed from those few rows. Counts are 0 where a theme is absent; tones stay NULL, so that a later fill can
+    tell "no news" from "neutral news".
     """
+    sums = [F.sum(tone).alias(f"{tone}_sum") for tone in TONES] + [F.count(tone).alias(f"{tone}_n") for tone in TONES]
+    parts = rows.groupBy(*keys, "theme", "theme_group").agg(F.count("source_url").alias("n"), *sums)
+
     def family(condition: Column | None, name: str) -> list[Column]:
-        def pick(c: str) -> Column:
-            return F.col(c) if condition is None else F.when(condition, F.col(c))
+        def total(c: str) -> Column:
+            return F.sum(c if condition is None else F.when(condition, F.col(c)))
 
         def mean(tone: str) -> Column:
-            value = F.avg(pick(tone))
+            value = total(f"{tone}_sum") / F.nullif(total(f"{tone}_n"), F.lit(0))
             return value if digits is None else F.round(value, digits)
 
-        return [F.count(pick("source_url")).alias(f"{name}_count"), *[mean(tone).alias(f"{name}_{tone}") for tone in TONES]]
+        return [F.coalesce(total("n"), F.lit(0)).alias(f"{name}_count"), *[mean(tone).alias(f"{name}_{tone}") for tone in TONES]]
 
     columns = family(None, "group_ALL")
     for group in groups:
         columns += family(F.col("theme_group") == group, f"group_{group}")
     for theme in themes:
         columns += family(F.col("theme") == theme, f"theme_{theme}")
-    return rows.groupBy(*keys).agg(*columns)
+    return parts.groupBy(*keys).agg(*columns)
 
 
 def wide_to_arrays(wide: DataFrame, keys: Sequence[str], groups: Sequence[str] = THEME_GROUPS) -> DataFrame:

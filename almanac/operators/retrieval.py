@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.operators.dedup import first_n_per_group
-from almanac.operators.lineage import broadcast_if_small
+from almanac.operators.lineage import broadcast_if_small, spread, written
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 2048
@@ -90,10 +90,9 @@ def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
     return vectors.select(*kept).mapInPandas(best_of_batch, schema)
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lower-case words and numbers of whole texts with their frequency per text."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
-    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def tokens(text: str) -> Column:
+    """Lower-case words and numbers of a whole text, in order."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def bm25(
@@ -104,18 +103,23 @@ def bm25(
     Only postings of query terms survive the join. The query terms are broadcast where their counted size allows it, so
     that a frequent term's postings are scored where they lie.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query_text), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
-    postings = terms(docs, doc_id, doc_text)
-    lengths = postings.groupBy(doc_id).agg(F.sum("tf").alias("len"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    mean_len = lengths.agg(F.sum("len")).scalar() / n_docs
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
-    relevant = postings.join(vocabulary, "term", "left_semi")
+    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(query_text))).alias("term")).filter(F.col("term") != "")
+    vocabulary = asked.select("term").distinct()
+    wanted = broadcast_if_small(vocabulary.unionByName(vocabulary.limit(1).select(F.lit("").alias("term"))))
+    # one pass over the texts: postings of asked terms, and one "" posting per text that carries its length
+    words = spread(docs.select(doc_id, doc_text)).select(doc_id, tokens(doc_text).alias("w"))
+    each = words.select(doc_id, F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    counted = each.join(wanted, "term", "left_semi").groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = written(counted, "postings")
+    texts = postings.filter(F.col("term") == "")
+    n_docs = texts.agg(F.count(F.lit(1))).scalar()
+    mean_len = texts.agg(F.avg("len")).scalar()
+    relevant = postings.filter(F.col("term") != "")
     df = relevant.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(df, "term").select(query_id, "term", idf.alias("idf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len)
-    contributions = relevant.join(lengths, doc_id).select(doc_id, "term", (F.col("tf") * (k1 + 1) / norm).alias("w"))
+    contributions = relevant.select(doc_id, "term", (F.col("tf") * (k1 + 1) / norm).alias("w"))
     scored = contributions.join(broadcast_if_small(weighted), "term")
     return scored.groupBy(query_id, doc_id).agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
 

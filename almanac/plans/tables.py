@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from almanac.operators import spine as sp
 from almanac.operators.fill import forward_fill
 from almanac.operators.forecast import path_grid, points_of, walk_origins
-from almanac.operators.lineage import written
+from almanac.operators.lineage import spread, written
 
 PATHS, HORIZON, STEP, WARMUP = 20, 14, 7, 30
 MODELS = {"naive": 1, "drift": 2, "mean30": 3}
@@ -144,7 +144,7 @@ def medians(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_returnflag").alias("strategy"), F.to_date("l_shipdate").alias("date"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").alias("amount"), F.col("l_extendedprice").alias("revenue"),

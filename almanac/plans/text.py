@@ -195,11 +195,11 @@ def merged_variants(spark, sf):
     return rounded(made, ["score"], 6)
 
 
-@query("similar_vectors", "N18", twin("", """SELECT vec_id, other, round(score, 6) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rk FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rk = 1 AND score > 0.6""", VECTORS))
+@query("similar_vectors", "N18", twin("", """SELECT vec_id, other, round(score, 6) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rk FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rk = 1 AND score > 0.4""", VECTORS))
 def similar_vectors(spark, sf):
     """Batch form of a semantic cache: the most similar other vector above the threshold."""
     centres = [row["embedding"] for row in class_centres(spark, sf).orderBy("label").limit(2).collect()]
-    found = rt.similar_pairs(t.table(spark, sf, "embeddings"), key="vec_id", vector="embedding", threshold=0.6, pivots=centres)
+    found = rt.similar_pairs(t.table(spark, sf, "embeddings"), key="vec_id", vector="embedding", threshold=0.4, pivots=centres)
     return rounded(found, ["score"], 6)
 
 
