@@ -15,15 +15,15 @@ from almanac.plans.sqlviews import twin
 THEMES = ("view", "click", "signup", "error", "purchase")
 
 
-@query("sentiment_by_day", "A1", twin("themed", """SELECT article_date, entity, theme_group, count(*) AS n, round(avg(tone), 4) AS tone_avg, min(tone) AS tone_min,
-  max(tone) AS tone_max, round(sum(tone), 4) AS tone_sum FROM themed GROUP BY 1, 2, 3"""))
+@query("sentiment_by_day", "A1", twin("themed", """SELECT article_date, entity, theme_group, count(*) AS n, round(avg(tone), 8) AS tone_avg, min(tone) AS tone_min,
+  max(tone) AS tone_max, round(sum(tone), 8) AS tone_sum FROM themed GROUP BY 1, 2, 3"""))
 def sentiment_by_day(spark, sf):
     from almanac.operators.news import with_theme_group
 
     rows = with_theme_group(t.news(spark, sf), t.THEME_GROUPS)
     return rows.groupBy("article_date", "entity", "theme_group").agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("tone")).alias("tone_avg"), F.min("tone").alias("tone_min"),
-        F.max("tone").alias("tone_max"), r(F.sum("tone")).alias("tone_sum"),
+        F.count(F.lit(1)).alias("n"), r(F.avg("tone"), 8).alias("tone_avg"), F.min("tone").alias("tone_min"),
+        F.max("tone").alias("tone_max"), r(F.sum("tone"), 8).alias("tone_sum"),
     )
 
 
@@ -105,7 +105,7 @@ def population_moments(spark, sf):
 
 def _pivot_sql(values, keys, view):
     cells = ", ".join(
-        f"""count(*) FILTER (WHERE theme = '{v}') AS theme_{v}_count, round(avg(tone) FILTER (WHERE theme = '{v}'), 4) AS theme_{v}_tone_avg,
+        f"""count(*) FILTER (WHERE theme = '{v}') AS theme_{v}_count, round(avg(tone) FILTER (WHERE theme = '{v}'), 8) AS theme_{v}_tone_avg,
         max(tone) FILTER (WHERE theme = '{v}') AS theme_{v}_tone_max""" for v in values
     )
     return f"SELECT {keys}, {cells} FROM {view} GROUP BY ALL"
@@ -113,7 +113,7 @@ def _pivot_sql(values, keys, view):
 
 @query("pivot_themes", "A10 A14", twin("news", _pivot_sql(THEMES, "article_date, entity", "news")))
 def pivot_themes(spark, sf):
-    metrics = {"count": F.count(F.lit(1)), "tone_avg": r(F.avg("tone")), "tone_max": F.max("tone")}
+    metrics = {"count": F.count(F.lit(1)), "tone_avg": r(F.avg("tone"), 8), "tone_max": F.max("tone")}
     wide = reshape.pivot_metrics(t.news(spark, sf), ["article_date", "entity"], "theme", THEMES, metrics, prefix="theme_")
     return reshape.zero_fill(wide, [f"theme_{v}_count" for v in THEMES])
 
@@ -137,13 +137,13 @@ def unpivot_themes(spark, sf):
     return long.withColumn("theme", F.regexp_replace("theme", "_count$", ""))
 
 
-@query("partial_then_final_mean", "A13", twin("news", "SELECT article_date, entity, CAST(count(*) AS BIGINT) AS rows, round(avg(tone), 4) AS tone, round(avg(words), 4) AS words FROM news GROUP BY 1, 2"))
+@query("partial_then_final_mean", "A13", twin("news", "SELECT article_date, entity, CAST(count(*) AS BIGINT) AS rows, round(avg(tone), 8) AS tone, round(avg(words), 8) AS words FROM news GROUP BY 1, 2"))
 def partial_then_final_mean(spark, sf):
     """Hourly partial sums and counts merged to the day: equal to the one-shot mean."""
     rows = t.news(spark, sf).withColumn("hour", F.hour("ts"))
     partial = ag.partial_means(rows, ["article_date", "entity", "hour"], ["tone", "words"])
     done = ag.finish_means(ag.merge_means(partial, ["article_date", "entity"], ["tone", "words"]), ["article_date", "entity"], ["tone", "words"])
-    return rounded(done, ["tone", "words"])
+    return rounded(done, ["tone", "words"], 8)
 
 
 @query("last_value_per_period", "A16", twin("bars", """SELECT entity, strftime(date, '%Y-%m') AS period, arg_max(close, date) AS close FROM bars GROUP BY 1, 2"""))
@@ -194,37 +194,37 @@ def leader_board(spark, sf):
     return rounded(rounded(board, ["advantage"]), ["advantage_pct"])
 
 
-@query("extreme_tone", "A21", twin("news", """SELECT entity, theme, min(tone) AS low, max(tone) AS high, round(quantile_cont(tone, 0.1), 4) AS p10, round(quantile_cont(tone, 0.9), 4) AS p90 FROM news GROUP BY 1, 2"""))
+@query("extreme_tone", "A21", twin("news", """SELECT entity, theme, min(tone) AS low, max(tone) AS high, round(quantile_cont(tone, 0.1), 8) AS p10, round(quantile_cont(tone, 0.9), 8) AS p90 FROM news GROUP BY 1, 2"""))
 def extreme_tone(spark, sf):
     rows = t.news(spark, sf)
     ends = rows.groupBy("entity", "theme").agg(F.min("tone").alias("low"), F.max("tone").alias("high"))
-    points = rounded(quantiles(rows, ["entity", "theme"], "tone", {"p10": 0.1, "p90": 0.9}), ["p10", "p90"]).drop("n")
+    points = rounded(quantiles(rows, ["entity", "theme"], "tone", {"p10": 0.1, "p90": 0.9}), ["p10", "p90"], 8).drop("n")
     return ends.join(points, ["entity", "theme"])
 
 
-@query("daily_article_features", "A22", twin("news", """SELECT article_date, entity, round(avg(tone), 4) AS tone_avg, round(avg(greatest(tone - 100, 0)), 4) AS tone_positive,
-  round(avg(greatest(100 - tone, 0)), 4) AS tone_negative, round(avg(abs(tone - 100)), 4) AS tone_polarity, round(stddev_samp(tone), 4) AS disagreement, count(*) AS n, CAST(sum(words) AS BIGINT) AS total_words FROM news GROUP BY 1, 2"""))
+@query("daily_article_features", "A22", twin("news", """SELECT article_date, entity, round(avg(tone), 8) AS tone_avg, round(avg(greatest(tone - 100, 0)), 8) AS tone_positive,
+  round(avg(greatest(100 - tone, 0)), 8) AS tone_negative, round(avg(abs(tone - 100)), 8) AS tone_polarity, round(stddev_samp(tone), 8) AS disagreement, count(*) AS n, CAST(sum(words) AS BIGINT) AS total_words FROM news GROUP BY 1, 2"""))
 def daily_article_features(spark, sf):
     tone = F.col("tone")
     return t.news(spark, sf).groupBy("article_date", "entity").agg(
-        r(F.avg(tone)).alias("tone_avg"), r(F.avg(F.greatest(tone - 100, F.lit(0.0)))).alias("tone_positive"),
-        r(F.avg(F.greatest(100 - tone, F.lit(0.0)))).alias("tone_negative"), r(F.avg(F.abs(tone - 100))).alias("tone_polarity"),
-        r(F.stddev_samp(tone)).alias("disagreement"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("total_words"),
+        r(F.avg(tone), 8).alias("tone_avg"), r(F.avg(F.greatest(tone - 100, F.lit(0.0))), 8).alias("tone_positive"),
+        r(F.avg(F.greatest(100 - tone, F.lit(0.0))), 8).alias("tone_negative"), r(F.avg(F.abs(tone - 100)), 8).alias("tone_polarity"),
+        r(F.stddev_samp(tone), 8).alias("disagreement"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("total_words"),
     )
 
 
-@query("word_weighted_tone", "A23", twin("news", "SELECT article_date, entity, round(sum(tone * words) / nullif(sum(words), 0), 4) AS tone FROM news GROUP BY 1, 2"))
+@query("word_weighted_tone", "A23", twin("news", "SELECT article_date, entity, round(sum(tone * words) / nullif(sum(words), 0), 8) AS tone FROM news GROUP BY 1, 2"))
 def word_weighted_tone(spark, sf):
-    return t.news(spark, sf).groupBy("article_date", "entity").agg(r(ag.weighted_mean("tone", "words")).alias("tone"))
+    return t.news(spark, sf).groupBy("article_date", "entity").agg(r(ag.weighted_mean("tone", "words"), 8).alias("tone"))
 
 
 @query("decayed_tone", "A24", twin("news", """SELECT o.entity, o.article_date AS origin, round(sum(d.s * exp(-0.1 * date_diff('day', d.article_date, o.article_date)))
-  / sum(d.n * exp(-0.1 * date_diff('day', d.article_date, o.article_date))), 4) AS decayed_mean FROM daily o JOIN daily d ON d.entity = o.entity AND d.article_date <= o.article_date
+  / sum(d.n * exp(-0.1 * date_diff('day', d.article_date, o.article_date))), 8) AS decayed_mean FROM daily o JOIN daily d ON d.entity = o.entity AND d.article_date <= o.article_date
   AND d.article_date >= o.article_date - INTERVAL 30 DAY GROUP BY 1, 2""", "daily AS (SELECT entity, article_date, sum(tone) AS s, count(*) AS n FROM news GROUP BY 1, 2)"))
 def decayed_tone(spark, sf):
     daily = t.news(spark, sf).groupBy("entity", F.col("article_date").alias("date")).agg(F.sum("tone").alias("s"), F.count("tone").alias("w"))
     origins = daily.select("entity", F.col("date").alias("origin"))
-    return rounded(ag.decayed_mean(daily, origins, ["entity"], "s", "w", rate=0.1, lookback=30), ["decayed_mean"])
+    return rounded(ag.decayed_mean(daily, origins, ["entity"], "s", "w", rate=0.1, lookback=30), ["decayed_mean"], 8)
 
 
 @query("monthly_accuracy", "A25", twin("medians", """SELECT model, CAST(date_trunc('month', origin) AS DATE) AS month, round(avg(abs(actual - median_price)), 4) AS mae, count(*) AS n,
@@ -251,9 +251,9 @@ def key_sets_per_side(spark, sf):
 
 
 @query("theme_counts_one_pass", "A28", twin("news", "SELECT article_date, " + ", ".join(
-    f"count(*) FILTER (WHERE theme = '{v}') AS {v}_count, round(avg(CASE WHEN theme = '{v}' THEN tone END), 4) AS {v}_tone" for v in THEMES) + " FROM news GROUP BY 1"))
+    f"count(*) FILTER (WHERE theme = '{v}') AS {v}_count, round(avg(CASE WHEN theme = '{v}' THEN tone END), 8) AS {v}_tone" for v in THEMES) + " FROM news GROUP BY 1"))
 def theme_counts_one_pass(spark, sf):
-    cells = [c for v in THEMES for c in (F.count_if(F.col("theme") == v).alias(f"{v}_count"), r(F.avg(F.when(F.col("theme") == v, F.col("tone")))).alias(f"{v}_tone"))]
+    cells = [c for v in THEMES for c in (F.count_if(F.col("theme") == v).alias(f"{v}_count"), r(F.avg(F.when(F.col("theme") == v, F.col("tone"))), 8).alias(f"{v}_tone"))]
     return t.news(spark, sf).groupBy("article_date").agg(*cells)
 
 

@@ -61,7 +61,7 @@ def _wide_sql():
     families = [("group_ALL", "true")] + [(f"group_{g}", f"theme_group = '{g}'") for g in GROUPS] + [(f"theme_{x}", f"theme = '{x}'") for x in TRACKED]
     for name, condition in families:
         w = f"FILTER (WHERE {condition})"
-        cells += [f"count(*) {w} AS {name}_count"] + [f"round(avg({x}) {w}, 6) AS {name}_{x}" for x in ("tone_avg", "tone_positive", "tone_negative")] + [f"CAST(NULL AS DOUBLE) AS {name}_tone_polarity"]
+        cells += [f"count(*) {w} AS {name}_count"] + [f"round(avg({x}) {w}, 8) AS {name}_{x}" for x in ("tone_avg", "tone_positive", "tone_negative")] + [f"CAST(NULL AS DOUBLE) AS {name}_tone_polarity"]
     return ", ".join(cells)
 
 
@@ -69,7 +69,7 @@ WIDE = RAW + f", wide AS (SELECT article_date, commodity, {_wide_sql()} FROM men
 
 
 def wide(spark, sf):
-    return nw.daily_wide(nw.mentions(articles(spark, sf)), groups=GROUPS, themes=TRACKED, digits=6)
+    return nw.daily_wide(nw.mentions(articles(spark, sf)), groups=GROUPS, themes=TRACKED, digits=8)
 
 
 @query("daily_wide_sentiment", "A10 J6 A14", twin("", "SELECT * FROM wide", WIDE))

@@ -31,14 +31,14 @@ def stream_bronze(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_daily_windows", "R3 R5", """SELECT CAST(ts AS DATE) AS day, event_type AS theme, count(*) AS rows, round(sum(value), 4) AS tone_sum, count(value) AS tone_n FROM events GROUP BY 1, 2
+@query("stream_daily_windows", "R3 R5", """SELECT CAST(ts AS DATE) AS day, event_type AS theme, count(*) AS rows, round(sum(value), 8) AS tone_sum, count(value) AS tone_n FROM events GROUP BY 1, 2
   HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def stream_daily_windows(spark, sf):
     """Days whose end the watermark has passed; later days stay open for late records."""
     daily = intake.daily_windows(event_stream(spark, sf), ["theme"], "ts", ["tone"], "2 days")
     out = fresh_path(spark, "windows")
     intake.run_available(daily, fresh_path(spark, "mark"), path=out)
-    return rounded(spark.read.parquet(out), ["tone_sum"])
+    return rounded(spark.read.parquet(out), ["tone_sum"], 8)
 
 
 @query("stream_partial_means", "R4 A13", "SELECT CAST(ts AS DATE) AS article_date, event_type AS theme, count(*) AS rows, round(avg(value), 8) AS tone FROM events GROUP BY 1, 2")

@@ -153,7 +153,7 @@ def cumulative_sums_long(spark, sf):
     return rounded(done, ["running_quantity"], 2).select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "running_quantity", "running_max")
 
 
-@query("rolling_long_rows", "W5 W27", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS mean_7,
+@query("rolling_long_rows", "W5 W27", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 8) AS mean_7,
   lag(value) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS before FROM events""")
 def rolling_long_rows(spark, sf):
     """Rolling mean over raw rows: numbered blocks with the six rows before each block copied in."""
@@ -161,7 +161,7 @@ def rolling_long_rows(spark, sf):
     numbered = ordered.number_rows(rows, ["shard"], ["ts", "event_id"])
     blocks = ordered.with_blocks(numbered, "pos", back=6)
     inside = Window.partitionBy("shard", "__block").orderBy("pos")
-    made = blocks.select("*", r(F.avg("value").over(inside.rowsBetween(-6, 0))).alias("mean_7"), F.lag("value").over(inside).alias("before"))
+    made = blocks.select("*", r(F.avg("value").over(inside.rowsBetween(-6, 0)), 8).alias("mean_7"), F.lag("value").over(inside).alias("before"))
     return made.filter(~F.col("__halo")).select("event_id", "mean_7", "before")
 
 
@@ -210,9 +210,9 @@ def season_starts(spark, sf):
     return flagged.select("entity", "date", ro.period_start("season", KEY).alias("starts"), dates.season_year("date", windows).cast("bigint").alias("season_year"))
 
 
-@query("rolling_sentiment", "W27", twin("news", """SELECT article_date, entity, round(avg(tone) OVER (PARTITION BY entity ORDER BY article_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS smooth_tone
+@query("rolling_sentiment", "W27", twin("news", """SELECT article_date, entity, round(avg(tone) OVER (PARTITION BY entity ORDER BY article_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 8) AS smooth_tone
   FROM (SELECT article_date, entity, avg(tone) AS tone FROM news GROUP BY 1, 2)"""))
 def rolling_sentiment(spark, sf):
     daily = t.news(spark, sf).groupBy("article_date", "entity").agg(F.avg("tone").alias("tone"))
     smooth = ro.rolling_mean("tone", KEY, 7, date="article_date", full=False)
-    return daily.select("article_date", "entity", r(smooth).alias("smooth_tone"))
+    return daily.select("article_date", "entity", r(smooth, 8).alias("smooth_tone"))
