@@ -124,10 +124,11 @@ def pivot_paths(spark, sf):
     return reshape.paths_to_wide(t.paths(spark, sf), ["entity", "model", "origin", "path_id"], "horizon", "price", t.HORIZON)
 
 
-@query("unpivot_paths", "A12", twin("paths", "SELECT entity, model, origin, path_id, horizon, price FROM paths"))
+@query("unpivot_paths", "A12", twin("paths", "SELECT entity, model, origin, horizon, count(*) AS n, min(price) AS lowest, max(price) AS highest FROM paths GROUP BY 1, 2, 3, 4"))
 def unpivot_paths(spark, sf):
     keys = ["entity", "model", "origin", "path_id"]
-    return reshape.wide_to_long(reshape.paths_to_wide(t.paths(spark, sf), keys, "horizon", "price", t.HORIZON), keys, t.HORIZON)
+    long = reshape.wide_to_long(reshape.paths_to_wide(t.paths(spark, sf), keys, "horizon", "price", t.HORIZON), keys, t.HORIZON)
+    return long.groupBy("entity", "model", "origin", "horizon").agg(F.count("price").alias("n"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
 
 
 @query("unpivot_themes", "A12", twin("news", """SELECT article_date, entity, theme, count(*) AS n FROM news GROUP BY 1, 2, 3"""))

@@ -143,9 +143,9 @@ def overlapping_comparison(spark, sf):
     return rounded(lg.mean_improvement(shared, [], "strategy", "N", "net", "year"), ["mean_improvement_pct"], 6)
 
 
-@query("cost_sensitivity", "L25", twin("trades", "SELECT strategy, m AS multiplier, round(sum(revenue) - m * sum(transaction_cost), 4) AS net FROM trades, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) v(m) GROUP BY 1, 2"))
+@query("cost_sensitivity", "L25", twin("trades", "SELECT strategy, m AS multiplier, round(sum(revenue) - m * sum(transaction_cost), 2) AS net FROM trades, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) v(m) GROUP BY 1, 2"))
 def cost_sensitivity(spark, sf):
-    return rounded(lg.cost_sensitivity(t.trades(spark, sf), "strategy", [0.5, 1.0, 2.0, 5.0]), ["net"])
+    return rounded(lg.cost_sensitivity(t.trades(spark, sf), "strategy", [0.5, 1.0, 2.0, 5.0]), ["net"], 2)
 
 
 @query("result_validation", "L21", twin("trades", """SELECT y.strategy, count(*) AS n_rows, count(*) FILTER (WHERE net IS NULL) AS n_null, count(*) - count(DISTINCT year) AS n_duplicates, (SELECT count(DISTINCT year) FROM yearly) - count(DISTINCT year) AS n_missing,

@@ -156,9 +156,12 @@ def recent_n_per_model(spark, sf):
 
 # ---- joins
 
-@query("forecast_with_actual", "J7 J10", twin("scored", "SELECT entity, model, origin, horizon, path_id, price, actual FROM scored"))
+@query("forecast_with_actual", "J7 J10", twin("scored", "SELECT entity, model, origin, horizon, count(*) AS n, max(actual) AS actual, round(avg(price - actual), 4) AS mean_gap, min(price) AS lowest, max(price) AS highest FROM scored GROUP BY 1, 2, 3, 4"))
 def forecast_with_actual(spark, sf):
-    return t.scored(spark, sf).select("entity", "model", "origin", "horizon", "path_id", "price", "actual")
+    return t.scored(spark, sf).groupBy("entity", "model", "origin", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.max("actual").alias("actual"), r(F.avg(F.col("price") - F.col("actual"))).alias("mean_gap"),
+        F.min("price").alias("lowest"), F.max("price").alias("highest"),
+    )
 
 
 @query("newest_forecasts_left_actuals", "J8", twin("paths series", """SELECT p.entity, p.model, p.origin, p.horizon, p.path_id, p.price, s.close AS actual FROM
@@ -227,14 +230,15 @@ def decision_comparison(spark, sf):
     return joins.compared(best, actual, ["date"], ["close", "volume"])
 
 
-@query("three_way_currency", "J15", twin("scored fx_raw", """SELECT s.entity, s.model, s.origin, s.horizon, s.path_id, s.price * x.asia_usd / 100000 AS forecast_local,
-  s.actual * x.asia_usd / 100000 AS actual_local FROM scored s JOIN fx_raw x ON x.date = s.target_date WHERE x.asia_usd IS NOT NULL"""))
+@query("three_way_currency", "J15", twin("scored fx_raw", """SELECT s.entity, s.model, s.origin, s.horizon, count(*) AS n, max(s.price * x.asia_usd / 100000) AS forecast_high, min(s.price * x.asia_usd / 100000) AS forecast_low,
+  max(s.actual * x.asia_usd / 100000) AS actual_local FROM scored s JOIN fx_raw x ON x.date = s.target_date WHERE x.asia_usd IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def three_way_currency(spark, sf):
     rates = t.fx_wide(spark, sf).select(F.col("date").alias("target_date"), "asia_usd").filter(F.col("asia_usd").isNotNull())
     joined = t.scored(spark, sf).join(rates, "target_date")
-    return joined.select(
-        "entity", "model", "origin", "horizon", "path_id",
-        (F.col("price") * F.col("asia_usd") / 100000).alias("forecast_local"), (F.col("actual") * F.col("asia_usd") / 100000).alias("actual_local"),
+    local = F.col("price") * F.col("asia_usd") / 100000
+    return joined.groupBy("entity", "model", "origin", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.max(local).alias("forecast_high"), F.min(local).alias("forecast_low"),
+        F.max(F.col("actual") * F.col("asia_usd") / 100000).alias("actual_local"),
     )
 
 
