@@ -148,7 +148,7 @@ HAC_ROWS = DAILY_RETS + """, centred AS (SELECT strategy, date, ret - avg(ret) O
   hac AS (SELECT strategy, n, m, sqrt(sum(e * e""" + "".join(f" + 2 * {1 - k / 31}::DOUBLE * e * coalesce(e{k}, 0)" for k in range(1, 31)) + """)) / n AS se FROM (SELECT *, """ + ", ".join(f"lag(e, {k}) OVER (PARTITION BY strategy ORDER BY date) AS e{k}" for k in range(1, 31)) + """ FROM centred) GROUP BY 1, 2, 3)"""
 
 
-@query("hac_mean_test", "L18", twin("trades", f"SELECT strategy, n, round(m * 1000000, 6) AS mean_ppm, round(se * 1000000, 6) AS se_ppm, round(m / se, 6) AS t_stat, round({t_two_sided_sql('m / se', '(n - 1)::DOUBLE')}, 6) AS p_value FROM hac", HAC_ROWS))
+@query("hac_mean_test", "L18", twin("trades", f"SELECT strategy, n, round(m * 1000000, 3) AS mean_ppm, round(se * 1000000, 3) AS se_ppm, round(m / se, 6) AS t_stat, round({t_two_sided_sql('m / se', '(n - 1)::DOUBLE')}, 6) AS p_value FROM hac", HAC_ROWS))
 def hac_mean_test(spark, sf):
     from pyspark.sql import Window
 
@@ -156,7 +156,7 @@ def hac_mean_test(spark, sf):
     before = F.lag("net_value").over(Window.partitionBy("strategy").orderBy("date"))
     rets = values.select("strategy", "date", (F.col("net_value") / F.nullif(before, F.lit(0.0)) - 1).alias("ret"))
     made = ht.hac_mean(rets, ["strategy"], "ret", lags=30)
-    return made.select("strategy", "n", r(F.col("mean") * 1000000, 6).alias("mean_ppm"), r(F.col("hac_se") * 1000000, 6).alias("se_ppm"), r("t_stat", 6).alias("t_stat"), r("p_value", 6).alias("p_value"))
+    return made.select("strategy", "n", r(F.col("mean") * 1000000, 3).alias("mean_ppm"), r(F.col("hac_se") * 1000000, 3).alias("se_ppm"), r("t_stat", 6).alias("t_stat"), r("p_value", 6).alias("p_value"))
 
 
 FAMILY = MONTH_NET + f""", tested AS (SELECT strategy, year, round({t_two_sided_sql('m / (s / sqrt(n))', '(n - 1)::DOUBLE')}, 6) AS p FROM (SELECT strategy, year, count(*) AS n, avg(difference) AS m, stddev_samp(difference) AS s FROM diffs GROUP BY 1, 2) WHERE n > 2)"""

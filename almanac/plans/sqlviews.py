@@ -102,7 +102,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         "",
         """SELECT l_returnflag AS strategy, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_partkey, l_suppkey,
              l_quantity AS amount, l_extendedprice AS revenue, round(l_extendedprice * l_tax, 4) AS transaction_cost,
-             round(l_extendedprice / l_quantity, 6) AS price
+             l_extendedprice / l_quantity AS price
            FROM lineitem""",
     ),
 }

@@ -149,5 +149,5 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").alias("amount"), F.col("l_extendedprice").alias("revenue"),
         F.round(F.col("l_extendedprice") * F.col("l_tax"), 4).alias("transaction_cost"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("price"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
