@@ -1,4 +1,4 @@
 """Loads the modules that register this subpackage's queries."""
 
-from almanac.llm import forest, perspectives, private, quality, repeats, revisits, simhash, url_rules  # noqa: F401
+from almanac.llm import forest, leaks, perspectives, private, quality, repeats, revisits, simhash, url_rules  # noqa: F401
 from almanac.llm.base import ORACLES, QUERIES  # noqa: F401
