@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -12,26 +13,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.llm.base import Scratch, column, query, table
 from almanac.llm.components import components
 
-WORDS, SEED, BLOCK = 4, 42, 65536
-# Three segments of 22, 21 and 21 bits: of four differing bits at most one falls into one of them.
-SEGMENTS = ((0, 22), (22, 43), (43, 64))
+WORDS, BITS, SEED, BLOCK = 4, 4, 42, 65536
 
 
-def simhash(raw: bytes, words: int = WORDS) -> int:
-    """Fingerprint of one text, as a signed 64-bit integer; zero for a text without words."""
+def segments(bits: int) -> list[tuple[int, int]]:
+    """The fewest segments of 64 bits of which one differs in at most one bit when ``bits`` bits differ in all."""
+    n = bits // 2 + 1
+    return [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+
+
+def shingle_hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
+    """Hashes of all runs of ``words`` words (of all words, if there are fewer), some ten thousand at a time."""
     tokens = raw.lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     starts = [0, *accumulate(len(t) + 1 for t in tokens)]
     last = max(1, len(tokens) - words + 1)
-    reach = starts[min(words, len(tokens)):]
-    digest, set_bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    reach, digest = starts[min(words, len(tokens)):], xxhash.xxh64_intdigest
     for at in range(0, last, BLOCK):
         cut = zip(starts[at:min(at + BLOCK, last)], reach[at:at + BLOCK], strict=False)
-        hashes = np.array([digest(joined[a:b - 1], SEED) for a, b in cut], "<u8")
+        yield np.array([digest(joined[a:b - 1], SEED) for a, b in cut], "<u8")
+
+
+def simhash(raw: bytes, words: int = WORDS) -> int:
+    """Fingerprint of one text, as a signed 64-bit integer; zero for a text without words."""
+    set_bits, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(raw, words):
         set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > last, bitorder="little").view("<i8")[0])
+        total += len(hashes)
+    return int(np.packbits(2 * set_bits > total, bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: Column, words: int = WORDS) -> Column:
@@ -47,44 +58,71 @@ def _mask(low: int, high: int, without: int | None = None) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b) for all fingerprints of ``prints`` (one column, ``print``, distinct) that differ in one to four bits, once each.
+def _shingle_set(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        every = (list(shingle_hashes((t or "").encode(), words)) for t in texts)
+        return pd.Series([np.unique(np.concatenate(h)).view(np.int64) if h else np.zeros(0, np.int64) for h in every])
+
+    return of(text)
 
-    Every fingerprint is indexed 64 times: by a segment with one of its bits blanked. Two fingerprints within four bits meet
+
+def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b) of the ``cid`` of all rows of ``prints`` (cid, print) whose prints differ in at most ``bits`` bits, once each.
+
+    Every fingerprint is indexed 64 times: by a segment with one of its bits blanked. Two fingerprints within the limit meet
     in a segment that differs in at most one bit; they are linked in the first such segment, under the differing bit's
     variant (or the segment's first, if it is equal). The whole fingerprints are compared in the join's own condition, so no
     candidate that fails leaves it.
     """
-    variants = [F.struct(F.lit(bit).alias("bit"), F.col("print").bitwiseAND(_mask(a, b, bit)).alias("key")) for a, b in SEGMENTS for bit in range(a, b)]
-    index = prints.select("print", F.explode(F.array(*variants)).alias("v")).select("print", "v.bit", "v.key")
-    other = index.select(F.col("print").alias("near"), F.col("bit").alias("near_bit"), F.col("key").alias("near_key"))
-    apart = F.col("print").bitwiseXOR(F.col("near"))
-    first_bits = [a for a, _ in SEGMENTS]
-    once = (F.getbit(apart, F.col("bit")) == 1) | F.col("bit").isin(*first_bits)
-    for a, b in SEGMENTS[:-1]:
+    cut = segments(bits)
+    variants = [F.struct(F.lit(bit).alias("bit"), F.col("print").bitwiseAND(_mask(a, b, bit)).alias("key")) for a, b in cut for bit in range(a, b)]
+    index = prints.select("cid", "print", F.explode(F.array(*variants)).alias("v")).select("cid", "print", "v.bit", "v.key")
+    other = index.select(*[F.col(c).alias(f"near_{c}") for c in index.columns])
+    apart = F.col("print").bitwiseXOR(F.col("near_print"))
+    once = (F.getbit(apart, F.col("bit")) == 1) | F.col("bit").isin(*[a for a, _ in cut])
+    for a, b in cut[:-1]:
         once = once & ((F.col("bit") < b) | (F.bit_count(apart.bitwiseAND(_mask(a, b))) >= 2))
-    met = (F.col("bit") == F.col("near_bit")) & (F.col("key") == F.col("near_key")) & (F.col("print") < F.col("near"))
-    return index.join(other, met & (F.bit_count(apart) <= 4) & once).select(F.col("print").alias("a"), F.col("near").alias("b"))
+    met = (F.col("bit") == F.col("near_bit")) & (F.col("key") == F.col("near_key")) & (F.col("cid") < F.col("near_cid"))
+    return index.join(other, met & (F.bit_count(apart) <= bits) & once).select(F.col("cid").alias("a"), F.col("near_cid").alias("b"))
+
 
+def near_duplicates(
+    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, similarity: float | None = None,
+) -> DataFrame:
+    """(key, print, component_id) for each row: its fingerprint and the smallest key reachable over links.
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(key, print, component_id) for each row: its fingerprint and the smallest key reachable over links of at most four bits.
+    Two texts are linked when their fingerprints differ in at most ``bits`` bits and, if ``similarity`` is given, their sets of
+    shingles also have at least that Jaccard similarity; the check reads the texts of linked classes only. Texts with equal
+    fingerprints (and equal texts, if they are checked) are one class before anything is compared, so copies are never paired,
+    however many there are.
 
-    Texts with equal fingerprints are one class before anything is compared, so copies are never paired, however many there
-    are. A null text is empty; texts without words share fingerprint zero and are linked like any other. Repeated rows and keys
+    A null text is empty; texts without words share fingerprint zero and are linked like any other. Repeated rows and keys
     each get their row. Null keys are never an id; a class of null keys alone has a null component. An empty table gives an
     empty table. Other columns are not read, whatever their names.
     """
-    prints = scratch.keep(docs.select(column(docs, key).alias("key"), fingerprint(column(docs, text), words).alias("print")))
-    classes = scratch.keep(prints.groupBy("print").agg(F.min("key").alias("head")))
-    met = links(classes.select("print"))
-    heads = classes.select(F.col("print").alias("p"), "head")
-    ends = met.join(heads, F.col("a") == F.col("p")).select("b", F.col("head").alias("u"))
-    ends = ends.join(heads, F.col("b") == F.col("p")).select("u", F.col("head").alias("v"))
-    found = components(ends, "u", "v", scratch)
-    named = classes.join(found, F.col("head") == F.col("node"), "left")
-    named = named.select("print", F.coalesce("component", "head").alias("component_id"))
-    return prints.join(named, "print").select(F.col("key").alias(key), "print", "component_id")
+    whole = F.coalesce(column(docs, text), F.lit(""))
+    mark = F.xxhash64(whole) if similarity else F.lit(0).cast("bigint")
+    source = docs.select(column(docs, key).alias("key"), whole.alias("text"), mark.alias("mark"))
+    prints = scratch.keep(source.select("key", "mark", fingerprint(F.col("text"), words).alias("print")))
+    classes = prints.groupBy("print", "mark").agg(F.min("key").alias("head"))
+    classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
+    met = links(classes.select("cid", "print"), bits)
+    if similarity:
+        met = scratch.keep(met)
+        linked = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
+        linked = linked.select("cid", "head", F.col("mark").alias("of_mark"))
+        heads = source.join(linked, F.col("key").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("of_mark"))).dropDuplicates(["cid"])
+        sets = scratch.keep(heads.select("cid", _shingle_set(F.col("text"), words).alias("shingles")))
+        one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
+        same = F.size(F.array_intersect("of_a", "of_b"))
+        alike = same >= similarity * (F.size("of_a") + F.size("of_b") - same)
+        met = met.join(one, "a").join(two, "b").filter(alike).select("a", "b")
+    found = components(met, "a", "b", scratch)
+    first = found.join(classes, F.col("node") == F.col("cid")).groupBy("component").agg(F.min("head").alias("first"))
+    named = found.join(first, "component").select(F.col("node").alias("cid"), "first")
+    named = classes.join(named, "cid", "left").select("print", "mark", F.coalesce("first", "head").alias("component_id"))
+    return prints.join(named, ["print", "mark"]).select(F.col("key").alias(key), "print", "component_id")
 
 
 @query("op3_simhash")
