@@ -2,24 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.llm.base import Scratch, table
+from almanac.llm.lattice import encode, model_path
+from almanac.llm.leaks import leaks
+from almanac.llm.private import personal_data, trained
+from almanac.llm.quality import scored
 from almanac.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+WORDS, BITS, SIMILARITY = 5, 7, 0.8
+
+
+def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose key is (not) among ``ids``; a null key is a key like any other."""
+    ids = ids.select(F.col("doc_id").alias("of_doc")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of_doc")), how).select(*COLUMNS)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    found = scored(docs, table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"))
+    return _where(docs, found.filter("predicted = 0"), "left_anti")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest doc_id stays."""
-    found = near_duplicates(docs, Scratch(spark, "pipeline-simhash"))
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id").select(*COLUMNS)
+    """Of every group of near copies the document with the smallest doc_id stays: texts whose five-word SimHash differs in at
+    most seven bits and whose five-word shingles have a similarity of at least 0.8."""
+    found = near_duplicates(docs, Scratch(spark, "pipeline-simhash"), words=WORDS, bits=BITS, similarity=SIMILARITY)
+    return _where(docs, found.filter("doc_id <> component_id"), "left_anti")
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, also a reworded one, go."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
+    return _where(docs, found.select(F.col("doc").alias("doc_id")), "left_anti")
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with each run of overlapping spans replaced by the kind of its first one, in capitals and brackets."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind"))))
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def step(done, s):
+        fresh = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(
+            F.when(s["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"), F.greatest(done["at"], -s["until"]).alias("at")
+        )
+
+    return F.aggregate(ordered, begin, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars is counted anew."""
+    found = personal_data(docs.select(*COLUMNS), trained(docs))
+    clean = F.when(F.size("pii_spans") > 0, _redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
+    return found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as sampled piece ids."""
+    return encode(docs.select(*COLUMNS), model_path()).select("doc_id", "lang", "source", "n_chars", "pieces")
 
 
-STAGES = [("simhash", without_near_copies)]
+STAGES = [
+    ("quality", of_quality), ("simhash", without_near_copies), ("decontamination", without_leaks),
+    ("personal_data", without_personal_data), ("pieces", as_pieces),
+]
 
-# Fingerprint classes over chained links have no SQL form.
+# A learnt model, chained links, latent retrieval and sampling have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
