@@ -16,10 +16,16 @@ MULTIPLIERS = (48271, 69621, 1299709, 104729, 7919)
 ROUNDS = ((31, 12345), (17, 6789))
 
 
+def _weighted(parts: Sequence) -> list[tuple]:
+    if len(parts) > len(MULTIPLIERS):
+        raise ValueError(f"at most {len(MULTIPLIERS)} parts, not {len(parts)}")
+    return list(zip(MULTIPLIERS, parts, strict=False))
+
+
 def mixed(parts: Sequence[Column | str], seed: int) -> Column:
-    """A number in [0, PRIME) from up to five integer columns."""
+    """A number in [0, PRIME) from up to five integer columns; more are an error."""
     total = F.lit(seed).cast("bigint")
-    for multiplier, part in zip(MULTIPLIERS, parts, strict=False):
+    for multiplier, part in _weighted(parts):
         column = F.col(part) if isinstance(part, str) else part
         total = total + (column.cast("bigint") % PRIME) * F.lit(multiplier).cast("bigint")
     for shift, constant in ROUNDS:
@@ -36,7 +42,7 @@ def pick(parts: Sequence[Column | str], size: Column, seed: int) -> Column:
 def mixed_sql(parts: Sequence[str], seed: int) -> str:
     """The SQL text of :func:`mixed`."""
     total = f"CAST({seed} AS BIGINT)"
-    for multiplier, part in zip(MULTIPLIERS, parts, strict=False):
+    for multiplier, part in _weighted(parts):
         total += f" + (CAST({part} AS BIGINT) % {PRIME}) * {multiplier}"
     for shift, constant in ROUNDS:
         rest = f"(({total}) % {PRIME})"

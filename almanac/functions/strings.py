@@ -62,3 +62,9 @@ def by_rules(column: Column | str, rules: Sequence[tuple[str, str]], rest: str)
 def request_key(columns: Sequence[str]) -> Column:
     """SHA-256 of the key-sorted JSON form of the named columns."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def any_script_words(text: Column | str) -> Column:
+    """Lower-case words and numbers of a whole text in any script, in order."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -8,13 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from almanac.functions.strings import request_key
+from almanac.functions.strings import any_script_words, request_key
 from almanac.operators.quantiles import quantiles
 
 
-def words(text: Column | str) -> Column:
-    column = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0))
+# Articles that do not count when answers are compared.
+ARTICLES = ("a", "an", "the")
 
 
 def common_subsequence(a: Sequence[str], b: Sequence[str]) -> int:
@@ -44,29 +43,39 @@ def rouge_l(predicted: pd.Series, gold: pd.Series) -> pd.Series:
 
 
 def normalized(text: str) -> Column:
-    """Lower case, articles and punctuation removed, single spaces."""
-    lower = F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9 ]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(lower, r"\b(a|an|the)\b", " "), " +", " "))
+    """Words in lower case without articles, with single spaces."""
+    return F.array_join(F.filter(any_script_words(text), lambda w: ~w.isin(*ARTICLES)), " ")
 
 
 def key_terms(text: str, *, longer_than: int = 6) -> Column:
-    return F.array_distinct(F.filter(words(text), lambda w: F.length(w) > longer_than))
+    return F.array_distinct(F.filter(any_script_words(text), lambda w: F.length(w) > longer_than))
 
 
 def evaluated(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """Exact match, key-term containment and ROUGE-L per pair."""
-    contains = F.size(F.array_except(key_terms(gold), words(predicted))) == 0
+    """Exact match, key-term containment, ROUGE-L and cosine of word counts per pair. Answers without a word match nothing."""
+    said, wanted = any_script_words(predicted), any_script_words(gold)
+    contains = (F.size(F.array_except(key_terms(gold), said)) == 0) & (F.size(wanted) > 0)
+    same = (normalized(predicted) == normalized(gold)) & (normalized(gold) != "")
     return df.select(
-        "*", (normalized(predicted) == normalized(gold)).alias("exact_match"), contains.alias("contains_answer"),
-        rouge_l(words(predicted), words(gold)).alias("rouge_l"),
+        "*", same.alias("exact_match"), contains.alias("contains_answer"), rouge_l(said, wanted).alias("rouge_l"),
+        word_cosine(said, wanted).alias("cosine"),
     )
 
 
-def invented_citations(answers: DataFrame, sources: DataFrame, *, answer_id: str, text: str, source_id: str, pattern: str = r"\[(\d{1,9})\]") -> DataFrame:
-    """Cited source numbers that are not in the retrieved set."""
+def word_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two answers' word counts, both given as arrays; zero when one has no word."""
+    terms = F.array_distinct(F.concat(a, b))
+    count = lambda words, term: (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
+    total = lambda x, y: F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + count(x, t) * count(y, t))
+    return F.coalesce(total(a, b) / F.nullif(F.sqrt(total(a, a) * total(b, b)), F.lit(0.0)), F.lit(0.0))
+
+
+def invented_citations(answers: DataFrame, sources: DataFrame, *, answer_id: str, text: str, source_id: str, pattern: str = r"\[([0-9]+)\]") -> DataFrame:
+    """Cited source numbers, of any length and without leading zeros, that are not in the retrieved set; as text."""
     cited = answers.select(answer_id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))).alias("n"))
-    numbers = cited.select(answer_id, F.col("n").cast("bigint").alias(source_id))
-    return numbers.join(sources.select(F.col(source_id).cast("bigint").alias(source_id)).distinct(), source_id, "left_anti")
+    bare = F.regexp_replace("n", "^0+", "")
+    numbers = cited.select(answer_id, F.when(bare == "", "0").otherwise(bare).alias(source_id)).distinct()
+    return numbers.join(sources.select(F.col(source_id).cast("string").alias(source_id)).distinct(), source_id, "left_anti")
 
 
 def request_summary(log: DataFrame, columns: Sequence[str], latency: str, confidence: str, *, min_confidence: float = 0.85) -> DataFrame:

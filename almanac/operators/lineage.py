@@ -1,13 +1,11 @@
-"""Materialised intermediate results and checked broadcasts."""
+"""Materialised intermediate results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from almanac.session import fresh_path
 
-BROADCAST_ROWS = 200_000
-
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
@@ -18,20 +16,3 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting: beyond ``max_rows`` the join stays a shuffle join.
-
-    The count stops after ``max_rows + 1`` rows, so the check costs no full pass over a large side.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(source: DataFrame) -> DataFrame:
-    """Rows of a source that comes in fewer splits than there are cores, dealt out to all of them.
-
-    A table of many files already has enough splits and is returned untouched, so nothing is shuffled at scale.
-    """
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source

@@ -8,29 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from almanac.operators.ordered import cumulate, join_on_keys
 
-GROUP_ROWS = 1_000_000
-
-
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per key, one column per entry of ``probs`` (name -> probability), plus ``n``.
 
-    ``percentile`` keeps a whole group's distinct values in one task, so it is used only where the largest group
-    was counted and is within ``group_rows``. Larger groups go through :func:`ranked_quantiles`.
+    By distributed ranking: equal values collapse before the shuffle, the rest is range-sorted, so that no task holds a group.
     """
-    clean = df.select(*keys, value).filter(F.col(value).isNotNull())
-    largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > group_rows:
-        return ranked_quantiles(clean, keys, value, probs)
-    names = list(probs)
-    points = F.percentile(value, F.array(*[F.lit(float(probs[n])) for n in names]))
-    grouped = clean.groupBy(*keys).agg(points.alias("__q"), F.count(F.lit(1)).alias("n"))
-    return grouped.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)], "n")
-
-
-def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """The same numbers by distributed ranking: equal values collapse before the shuffle, the rest is range-sorted."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     placed = cumulate(counts, keys, [value], "__n", "__upto")
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("n"))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.operators.dedup import first_n_per_group
-from almanac.operators.lineage import broadcast_if_small, spread, written
+from almanac.functions.strings import any_script_words
+from almanac.operators.lineage import written
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 2048
@@ -22,8 +23,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; NULL when either vector is zero."""
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+    """Cosine similarity; zero when either vector is zero, as for :func:`nearest`."""
+    return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
 def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -53,7 +54,7 @@ def nearest(
     rows = queries.select(*fields).orderBy(query_id)
     total = queries.count()
     parts = []
-    for start in range(0, total, block):
+    for start in range(0, max(1, total), block):
         parts.append(_nearest_block(rows.offset(start).limit(block), vectors, k, query_id, vector_id, vector, same))
     best = parts[0]
     for part in parts[1:]:
@@ -66,7 +67,7 @@ def nearest(
 def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vector_id: str, vector: str, same: str | None) -> DataFrame:
     held = queries.toPandas()  # at most ``block`` rows
     names = held[query_id].to_numpy()
-    matrix = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in held[vector]]))
+    matrix = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in held[vector]])) if len(held) else np.zeros((0, 0))
     groups = held[same].to_numpy() if same else None
     shared = vectors.sparkSession.sparkContext.broadcast((names, matrix, groups))
     schema = f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, score double"
@@ -74,7 +75,7 @@ def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
     def best_of_batch(batches):
         ids, unit, wanted = shared.value
         for pdf in batches:
-            if pdf.empty:
+            if pdf.empty or not len(ids):
                 continue
             found = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]]))
             scores = unit @ found.T
@@ -90,24 +91,19 @@ def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
     return vectors.select(*kept).mapInPandas(best_of_batch, schema)
 
 
-def tokens(text: str) -> Column:
-    """Lower-case words and numbers of a whole text, in order."""
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def bm25(
     docs: DataFrame, queries: DataFrame, *, doc_id: str, doc_text: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75
 ) -> DataFrame:
     """BM25 score of every (query, document) pair that shares a term.
 
-    Only postings of query terms survive the join. The query terms are broadcast where their counted size allows it, so
-    that a frequent term's postings are scored where they lie.
+    Only postings of query terms survive the join. How the terms' side is joined is left to adaptive execution, which sees
+    its size and splits a frequent term's postings.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(query_text))).alias("term")).filter(F.col("term") != "")
+    asked = queries.select(query_id, F.explode(F.array_distinct(any_script_words(query_text))).alias("term"))
     vocabulary = asked.select("term").distinct()
-    wanted = broadcast_if_small(vocabulary.unionByName(vocabulary.limit(1).select(F.lit("").alias("term"))))
+    wanted = vocabulary.unionByName(vocabulary.limit(1).select(F.lit("").alias("term")))
     # one pass over the texts: postings of asked terms, and one "" posting per text that carries its length
-    words = spread(docs.select(doc_id, doc_text)).select(doc_id, tokens(doc_text).alias("w"))
+    words = docs.select(doc_id, any_script_words(doc_text).alias("w"))
     each = words.select(doc_id, F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
     counted = each.join(wanted, "term", "left_semi").groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     postings = written(counted, "postings")
@@ -120,7 +116,7 @@ def bm25(
     weighted = asked.join(df, "term").select(query_id, "term", idf.alias("idf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len)
     contributions = relevant.select(doc_id, "term", (F.col("tf") * (k1 + 1) / norm).alias("w"))
-    scored = contributions.join(broadcast_if_small(weighted), "term")
+    scored = contributions.join(weighted, "term")
     return scored.groupBy(query_id, doc_id).agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
 
 
@@ -130,6 +126,21 @@ def top_scores(scores: DataFrame, query_id: str, doc_id: str, k: int, score: str
     return best.select(query_id, doc_id, score, place.alias("rank"))
 
 
+def semantic_scores(
+    queries: DataFrame, vectors: DataFrame, keyword: DataFrame, k: int, *, query_id: str, doc_id: str, vector: str
+) -> DataFrame:
+    """The cosines that can matter to the first ``k`` of a fusion with non-negative keyword scores.
+
+    Every pair with a keyword score gets its cosine by equi joins. A document without one is beaten by all documents with
+    higher cosines, so of those only each query's ``2 * k`` nearest are added (twice ``k`` leaves room for rounded ties).
+    """
+    asked = queries.select(query_id, F.col(vector).alias("__q"))
+    pairs = keyword.select(query_id, doc_id).join(vectors.select(doc_id, F.col(vector).alias("__v")), doc_id).join(asked, query_id)
+    known = pairs.select(query_id, doc_id, cosine(F.col("__q"), F.col("__v")).alias("score"))
+    best = nearest(queries, vectors, 2 * k, query_id=query_id, vector_id=doc_id, vector=vector).drop("rank")
+    return known.unionByName(best.join(keyword.select(query_id, doc_id), [query_id, doc_id], "left_anti").select(query_id, doc_id, "score"))
+
+
 # Words that mark a technical question.
 TECHNICAL_WORDS = ("error", "function", "api", "endpoint", "class")
 

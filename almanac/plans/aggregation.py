@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates
 from almanac.operators import aggregates as ag, reshape
-from almanac.operators.quantiles import quantiles, ranked_quantiles
+from almanac.operators.quantiles import quantiles
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.selection import MODELED, YEARLY_NET, model_errors, yearly_net
@@ -76,7 +76,7 @@ def exact_percentiles(spark, sf):
 def exact_percentiles_ranked(spark, sf):
     """The same answer by distributed ranking, the way large groups are handled."""
     rows = t.table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
-    return rounded(ranked_quantiles(rows, ["l_returnflag"], "l_extendedprice", PROBS), list(PROBS))
+    return rounded(quantiles(rows, ["l_returnflag"], "l_extendedprice", PROBS), list(PROBS))
 
 
 @query("median_forecast", "A6", twin("medians", "SELECT entity, model, origin, horizon, target_date, spot, actual, round(median_price, 4) AS median_price FROM medians"))

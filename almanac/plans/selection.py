@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates, numbers, strings
 from almanac.operators import dedup, joins, spine as sp
-from almanac.operators.lineage import broadcast_if_small
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
@@ -363,7 +362,7 @@ def common_dates(spark, sf):
   JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
 def join_checked_broadcast(spark, sf):
     """The customer side is broadcast only where its counted size allows it; otherwise the join shuffles."""
-    customers = broadcast_if_small(t.table(spark, sf, "customer").select("c_custkey", "c_nationkey"))
+    customers = t.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     nations = F.broadcast(t.table(spark, sf, "nation"))
     rows = t.table(spark, sf, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almanac.functions import strings
 from almanac.functions.picks import mixed_sql, pick_sql
 from almanac.operators import answers as an, chunks as ch, labels as lb, retrieval as rt
+from almanac.operators.lineage import written
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
@@ -150,8 +151,8 @@ def nearest_with_filter(spark, sf):
     return rounded(found, ["score"], 6)
 
 
-TERMS = """terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2), lens AS (SELECT doc_id, sum(tf) AS len FROM terms GROUP BY 1),
-  asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY 1), cnt AS (SELECT count(*) AS n FROM documents),
+TERMS = r"""terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2), lens AS (SELECT doc_id, sum(tf) AS len FROM terms GROUP BY 1),
+  asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark), dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY 1), cnt AS (SELECT count(*) AS n FROM documents),
   bm AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (SELECT sum(len) / CAST((SELECT n FROM cnt) AS DOUBLE) FROM lens)))) AS score
     FROM asked JOIN dfs USING (term) JOIN terms USING (term) JOIN lens USING (doc_id), cnt GROUP BY 1, 2)"""
 
@@ -165,7 +166,7 @@ def bm25_top(spark, sf):
     return rounded(rt.top_scores(keyword_scores(spark, sf), "item_id", "doc_id", 10), ["score"], 6)
 
 
-HYBRID = TERMS + ", " + VECTORS + """, sem AS (SELECT item_id, vec_id AS doc_id, s FROM (SELECT item_id, vec_id, list_cosine_similarity(c, v) AS s, row_number() OVER (PARTITION BY item_id ORDER BY list_cosine_similarity(c, v) DESC, vec_id) AS rk FROM benchmark JOIN cents ON cents.label = item_id % 10, vecs) WHERE rk <= 50),
+HYBRID = TERMS + ", " + VECTORS + """, sem AS (SELECT item_id, vec_id AS doc_id, list_cosine_similarity(c, v) AS s FROM benchmark JOIN cents ON cents.label = item_id % 10, vecs),
   kinds AS (SELECT item_id, CASE WHEN regexp_matches(lower(text), 'error|function|api|endpoint|class') THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS w FROM benchmark),
   fused AS (SELECT item_id, doc_id, w * coalesce(s, 0) + (1 - w) * coalesce(score, 0) AS score FROM (SELECT coalesce(sem.item_id, bm.item_id) AS item_id, coalesce(sem.doc_id, bm.doc_id) AS doc_id, s, score FROM sem FULL JOIN bm ON bm.item_id = sem.item_id AND bm.doc_id = sem.doc_id) JOIN kinds USING (item_id)),
   top_fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 10)"""
@@ -175,8 +176,9 @@ def hybrid(spark, sf):
     questions = t.table(spark, sf, "benchmark")
     queries = questions.select("item_id", (F.col("item_id") % 10).cast("int").alias("label")).join(class_centres(spark, sf), "label")
     vectors = t.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    semantic = rt.nearest(queries, vectors, 50, query_id="item_id", vector_id="doc_id", vector="embedding").drop("rank")
-    both = rt.fused(semantic, keyword_scores(spark, sf), questions, query_id="item_id", doc_id="doc_id", query_text="text")
+    keyword = written(keyword_scores(spark, sf), "keyword")
+    semantic = rt.semantic_scores(queries, vectors, keyword, 10, query_id="item_id", doc_id="doc_id", vector="embedding")
+    both = rt.fused(semantic, keyword, questions, query_id="item_id", doc_id="doc_id", query_text="text")
     return rt.top_scores(both, "item_id", "doc_id", 10)
 
 
@@ -217,9 +219,12 @@ def exchanges(spark, sf):
     return turns.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("predicted")).join(asked, ["conv_id", "turn"])
 
 
-@query("answer_matches", "N19", r"""SELECT conv_id, turn, n(predicted) = n(gold) AS exact_match, len(list_filter(list_filter(regexp_extract_all(lower(gold), '[a-z0-9]+'), lambda w: length(w) > 6), lambda w: NOT list_contains(regexp_extract_all(lower(predicted), '[a-z0-9]+'), w))) = 0 AS contains_answer
-  FROM (SELECT a.conv_id, a.turn, a.text AS predicted, u.text AS gold FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant')""".replace(
-    "n(predicted) = n(gold)", " = ".join(rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), ' +', ' ', 'g'))" for c in ("predicted", "gold"))))
+PAIRS = r"""pairs AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(a.text), '[\p{L}\p{N}]+') AS p, regexp_extract_all(lower(u.text), '[\p{L}\p{N}]+') AS g
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role = 'assistant')"""
+
+
+@query("answer_matches", "N19", twin("", """SELECT conv_id, turn, len(list_filter(g, lambda w: w NOT IN ('a', 'an', 'the'))) > 0 AND list_filter(p, lambda w: w NOT IN ('a', 'an', 'the')) = list_filter(g, lambda w: w NOT IN ('a', 'an', 'the')) AS exact_match,
+  len(g) > 0 AND len(list_filter(list_filter(g, lambda w: length(w) > 6), lambda w: NOT list_contains(p, w))) = 0 AS contains_answer FROM pairs""", PAIRS))
 def answer_matches(spark, sf):
     return an.evaluated(exchanges(spark, sf), "predicted", "gold").select("conv_id", "turn", "exact_match", "contains_answer")
 
@@ -229,10 +234,27 @@ def answer_overlap(spark, sf):
     return an.evaluated(exchanges(spark, sf), "predicted", "gold").select("conv_id", "turn", r("rouge_l", 6).alias("rouge_l"))
 
 
-@query("invented_citations", "N20 J16", """SELECT DISTINCT doc_id, CAST(n AS BIGINT) AS item_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]{1,9})', 1)) AS n FROM documents) WHERE CAST(n AS BIGINT) NOT IN (SELECT item_id FROM benchmark)""")
+@query("answer_cosine", "N19", twin("", """SELECT conv_id, turn, round(coalesce(sum(np * ng) / nullif(sqrt(sum(np * np) * sum(ng * ng)), 0), 0), 6) AS cosine FROM (
+  SELECT conv_id, turn, w, CAST(sum(x) AS DOUBLE) AS np, CAST(sum(y) AS DOUBLE) AS ng FROM (SELECT conv_id, turn, unnest(p) AS w, 1 AS x, 0 AS y FROM pairs
+    UNION ALL SELECT conv_id, turn, unnest(g), 0, 1 FROM pairs UNION ALL SELECT conv_id, turn, '', 0, 0 FROM pairs) GROUP BY 1, 2, 3) GROUP BY 1, 2""", PAIRS))
+def answer_cosine(spark, sf):
+    return an.evaluated(exchanges(spark, sf), "predicted", "gold").select("conv_id", "turn", r("cosine", 6).alias("cosine"))
+
+
+@query("answer_metrics", "N19", twin("", "SELECT count(*) AS n, round(avg(CASE WHEN exact_match THEN 1 ELSE 0 END), 6) AS exact_match, round(avg(CASE WHEN contains_answer THEN 1 ELSE 0 END), 6) AS contains_answer FROM matches", PAIRS + """,
+  matches AS (SELECT len(list_filter(g, lambda w: w NOT IN ('a', 'an', 'the'))) > 0 AND list_filter(p, lambda w: w NOT IN ('a', 'an', 'the')) = list_filter(g, lambda w: w NOT IN ('a', 'an', 'the')) AS exact_match,
+  len(g) > 0 AND len(list_filter(list_filter(g, lambda w: length(w) > 6), lambda w: NOT list_contains(p, w))) = 0 AS contains_answer FROM pairs)"""))
+def answer_metrics(spark, sf):
+    """The mean row of the metrics that SQL can state."""
+    rows = an.evaluated(exchanges(spark, sf), "predicted", "gold")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[r(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("exact_match", "contains_answer")])
+
+
+@query("invented_citations", "N20 J16", """SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END AS item_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]+)', 1)) AS n FROM documents))
+  WHERE item_id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)""")
 def invented_citations(spark, sf):
-    made = an.invented_citations(t.table(spark, sf, "documents"), t.table(spark, sf, "benchmark"), answer_id="doc_id", text="text", source_id="item_id", pattern="([0-9]{1,9})")
-    return made.distinct().select("doc_id", "item_id")
+    made = an.invented_citations(t.table(spark, sf, "documents"), t.table(spark, sf, "benchmark"), answer_id="doc_id", text="text", source_id="item_id", pattern="([0-9]+)")
+    return made.select("doc_id", "item_id")
 
 
 @query("request_log", "N22 X16 A5", """SELECT count(*) AS n_requests, count(DISTINCT k) AS n_distinct, round((count(*) - count(DISTINCT k)) / CAST(count(*) AS DOUBLE), 6) AS repeat_rate, round(CAST(count(*) FILTER (WHERE c > 1 AND conf >= 0.85) AS DOUBLE) / count(*), 6) AS cacheable_share,

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from almanac.operators import ordered as od
-from almanac.operators.quantiles import quantiles, ranked_quantiles
+from almanac.operators.quantiles import quantiles
 
 
 def skewed(spark, n=400):
@@ -44,9 +44,9 @@ def test_null_keys_keep_their_rows(spark):
 def test_quantiles_by_rank_and_by_group_agree(spark):
     df = skewed(spark)
     probs = {"p05": 0.05, "p50": 0.5, "p99": 0.99}
-    ranked = {r["k"]: r for r in ranked_quantiles(df, ["k"], "v", probs).collect()}
+    ranked = {r["k"]: r for r in quantiles(df, ["k"], "v", probs).collect()}
     small = {r["k"]: r for r in quantiles(df, ["k"], "v", probs).collect()}
-    forced = {r["k"]: r for r in quantiles(df, ["k"], "v", probs, group_rows=3).collect()}
+    forced = {r["k"]: r for r in quantiles(df.repartition(5), ["k"], "v", probs).collect()}
     for k, g in df.toPandas().groupby("k"):
         for name, p in probs.items():
             want = np.percentile(g["v"].dropna(), 100 * p)
