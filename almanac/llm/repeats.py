@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.llm.base import Scratch, column, query, table
 
-LENGTH, GRAM, PIECE, INDEX_BITS = 400, 16, 1 << 18, 22
+LENGTH, GRAM, GRAIN, PIECE, INDEX_BITS = 400, 16, 16, 1 << 18, 22
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -57,7 +57,7 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(roll: Rolling, pieces: list[tuple[int, int, bytes]], length: int):
-    """(piece, first, last, near, whole) of each run of start positions with the same chosen position."""
+    """(piece, first, last, shift, near, whole) of each run of start positions with the same chosen position."""
     depth = max(1, length // 4)
     gram, width = min(GRAM, depth), length - depth + 1
     sizes = np.array([len(p[2]) for p in pieces])
@@ -80,7 +80,7 @@ def _runs(roll: Rolling, pieces: list[tuple[int, int, bytes]], length: int):
     anchor = chosen[first]
     near = _mixed(roll.of(anchor, anchor + depth))
     whole = _mixed(roll.of(first, end + length) + (end - first).astype(np.uint64) * np.uint64(BASE))
-    return piece, first - begin[piece], end - begin[piece], near.view(np.int64), whole.view(np.int64)
+    return piece, first - begin[piece], end - begin[piece], (anchor - first).astype(np.int32), near.view(np.int64), whole.view(np.int64)
 
 
 def _cut(texts, length: int):
@@ -102,8 +102,13 @@ def _packed(pieces):
         yield held
 
 
+def _grain(length: int) -> int:
+    return max(1, min(GRAIN, length // 4))
+
+
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, mark, first, last, near, whole): start positions whose next chosen position is the same, with two fingerprints.
+    """(doc, mark, first, last, shift, near, whole): start positions whose next chosen position (``shift`` after the first) is
+    the same, with two fingerprints.
 
     The chosen position of a string is the smallest of its 16-byte fingerprints among its first three quarters, so equal
     strings choose alike. ``near`` ranks the chosen position at a quarter of the length; ``whole`` stands for everything the
@@ -115,50 +120,81 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             keys = batch.select(["doc", "mark"])
             for pieces in _packed(_cut(batch.column("text").cast(pa.binary()).to_pylist(), length)):
-                piece, first, last, near, whole = _runs(roll, pieces, length)
+                piece, first, last, *rest = _runs(roll, pieces, length)
                 row, offset = np.array([p[:2] for p in pieces], np.int64).T
                 parts = keys.take(pa.array(row[piece]))
                 yield pa.RecordBatch.from_arrays(
-                    [*parts.columns, *map(pa.array, (first + offset[piece], last + offset[piece], near, whole))],
-                    names=["doc", "mark", "first", "last", "near", "whole"],
+                    [*parts.columns, *map(pa.array, (first + offset[piece], last + offset[piece], *rest))],
+                    names=["doc", "mark", "first", "last", "shift", "near", "whole"],
                 )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc {kind}, mark long, first long, last long, near long, whole long")
+    return docs.mapInArrow(scan, f"doc {kind}, mark long, first long, last long, shift int, near long, whole long")
 
 
-def positions(touched: DataFrame, length: int) -> DataFrame:
-    """(low, high, alone, doc, mark, at): every start position of the listed runs with the ranks of its two halves."""
-    half = (length + 1) // 2
+def _asked(touched: DataFrame, length: int, ranked, names: str) -> DataFrame:
+    """``ranked`` of the strings at the ranges of start positions that the texts of ``touched`` list in ``asked``.
+
+    ``ranked`` gets the fingerprints of a buffer, the place of each range's text in it, the ranges as columns, and the range
+    of each output row; doc and mark are put before its columns.
+    """
 
     def scan(batches):
         roll = Rolling()
         for batch in batches:
             keys = batch.select(["doc", "mark"])
             texts, lists = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()
-            cuts = (
-                (row, at, texts[row][at:min(r["last"], at + PIECE - 1) + length], r["alone"])
-                for row, asked in enumerate(lists) for r in asked for at in range(r["first"], r["last"] + 1, PIECE)
-            )
+            cuts = ((row, r, texts[row][r["first"]:r["last"] + length]) for row, asked in enumerate(lists) for r in asked)
             for pieces in _packed(cuts):
                 sizes = np.array([len(p[2]) for p in pieces])
-                counts = sizes - length + 1
-                begin = np.cumsum(sizes) - sizes
-                piece = np.repeat(np.arange(len(pieces)), counts)
-                inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = begin[piece] + inner
                 roll.read(b"".join(p[2] for p in pieces))
-                low, high = roll.of(start, start + half), roll.of(start + length - half, start + length)
-                row, offset = np.array([p[:2] for p in pieces], np.int64).T
-                parts = keys.take(pa.array(row[piece]))
-                alone = np.array([p[3] for p in pieces])[piece]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, (_mixed(low).view(np.int64), _mixed(high).view(np.int64), alone)), *parts.columns, pa.array(offset[piece] + inner)],
-                    names=["low", "high", "alone", "doc", "mark", "at"],
-                )
+                columns = {n: np.array([p[1][n] for p in pieces]) for n in pieces[0][1]}
+                piece, made = ranked(roll, np.cumsum(sizes) - sizes, columns)
+                parts = keys.take(pa.array(np.array([p[0] for p in pieces])[piece]))
+                yield pa.RecordBatch.from_arrays([*parts.columns, *map(pa.array, made)], names=[n.split()[0] for n in names.split(", ")])
+
+    names = f"doc {touched.schema['doc'].dataType.simpleString()}, mark long, {names}"
+    return touched.mapInArrow(scan, names)
 
-    kind = touched.schema["doc"].dataType.simpleString()
-    return touched.mapInArrow(scan, f"low long, high long, alone boolean, doc {kind}, mark long, at long")
+
+def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, place in group) of every member of groups of these sizes."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def cores(touched: DataFrame, length: int) -> DataFrame:
+    """(doc, mark, near, core, first, last, alone): the listed runs in blocks of sixteen positions, counted from the chosen one.
+
+    ``core`` ranks the bytes that all strings of a full block share. Equal strings lie in like blocks and share their cores.
+    """
+    grain = _grain(length)
+
+    def ranked(roll, begin, asked):
+        low = (asked["shift"] - (asked["last"] - asked["first"])) // grain
+        piece, k = _repeated(asked["shift"] // grain - low + 1)
+        k = k + low[piece]
+        start = asked["shift"][piece] - grain * k
+        core = roll.of(begin[piece] + start, begin[piece] + start + length - grain + 1) + k.astype(np.uint64) * np.uint64(BASE)
+        span = asked["last"][piece] - asked["first"][piece]
+        first, last = np.maximum(0, start - grain + 1), np.minimum(span, start)
+        offset = asked["first"][piece]
+        return piece, (asked["near"][piece], _mixed(core).view(np.int64), offset + first, offset + last, asked["alone"][piece])
+
+    return _asked(touched, length, ranked, "near long, core long, first long, last long, alone boolean")
+
+
+def positions(touched: DataFrame, length: int) -> DataFrame:
+    """(doc, mark, low, high, alone, at): every listed start position with the ranks of its string's two halves."""
+    half = (length + 1) // 2
+
+    def ranked(roll, begin, asked):
+        piece, inner = _repeated(asked["last"] - asked["first"] + 1)
+        start = begin[piece] + inner
+        low, high = roll.of(start, start + half), roll.of(start + length - half, start + length)
+        return piece, (_mixed(low).view(np.int64), _mixed(high).view(np.int64), asked["alone"][piece], asked["first"][piece] + inner)
+
+    return _asked(touched, length, ranked, "low long, high long, alone boolean, at long")
 
 
 def _kept(raw: bytes, covered: list[dict], length: int) -> tuple[int, int, bytes]:
@@ -184,38 +220,41 @@ def without_repeats(
     Prefix doubling over every byte would shuffle each byte several times. Equal strings choose the same position among their
     bytes, so the first ranks are of chosen positions only, at a quarter of the length; unique ones are out. A run of strings
     with the same chosen position is then ranked as a whole: if all runs of a group agree, or two of a kind are found, they are
-    covered. What is left is ranked byte by byte, by the pair of ranks of a string's two halves; one run of every kind stands
-    for all. Ranks are counted with partial aggregation and joined back by plain equi joins, so a string that a third of
-    all texts hold is never gathered; lists are per text only.
+    covered, and one run of every kind stands for all in what follows. Blocks of sixteen positions are ranked by what their
+    strings share, which is fifteen bytes short of the length; unique ones are out. What is left is ranked byte by byte, by the
+    pair of ranks of a string's two halves. Ranks are counted with partial aggregation and joined back by plain equi joins, so
+    a string that a third of all texts hold is never gathered; lists are per text only.
     """
     raw = F.coalesce(column(docs, text), F.lit(""))
     source = docs.select(column(docs, key).alias("doc"), raw.alias("text")).withColumn("mark", F.xxhash64("text"))
-    place = F.struct("doc", "mark", "first", "last")
+    place = F.struct("doc", "mark", "first", "last", "shift")
     found = scratch.keep(runs(source, length))
     ranked = found.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
     again = found.join(ranked.filter("n > 1").drop("n"), "near").withColumn("agreed", F.col("least") == F.col("most")).drop("least", "most")
     again = scratch.keep(again)
+    scratch.drop(found)
     kinds = again.filter(~F.col("agreed")).groupBy("near", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     kinds = scratch.keep(kinds)
     paired = again.filter(~F.col("agreed")).join(kinds.filter("n > 1").select("near", "whole"), ["near", "whole"])
     covered = again.filter("agreed").select("doc", "mark", "first", "last").unionByName(paired.select("doc", "mark", "first", "last"))
-    asked = kinds.select("one.*", (F.col("n") == 1).alias("alone"))
+    asked = kinds.select("one.*", "near", (F.col("n") == 1).alias("alone"))
 
-    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    lists = covered.withColumn("alone", F.lit(None).cast("boolean")).unionByName(asked).groupBy("doc", "mark").agg(
+    listed = F.struct("first", "last", "shift", "near", "alone")
+    lists = covered.withColumns({"shift": F.lit(0), "near": F.lit(0).cast("bigint"), "alone": F.lit(None).cast("boolean")}).unionByName(asked)
+    lists = lists.groupBy("doc", "mark").agg(
         F.collect_list(F.when(F.col("alone").isNull(), F.struct("first", "last"))).alias("covered"),
-        F.collect_list(F.when(F.col("alone").isNotNull(), F.struct("first", "last", "alone"))).alias("asked"),
-    ).withColumnsRenamed({"doc": "of_doc", "mark": "of_mark"})
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    touched = scratch.keep(source.join(lists, same("doc", "of_doc") & same("mark", "of_mark")).drop("of_doc", "of_mark"))
-    placed = scratch.keep(positions(touched.filter(F.size("asked") > 0), length))
-    twice = placed.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hits = placed.filter("alone").join(twice, ["low", "high"]).groupBy("doc", "mark").agg(F.collect_list("at").alias("at"))
-    hits = hits.withColumnsRenamed({"doc": "of_doc", "mark": "of_mark"})
-    spots = F.transform("at", lambda p: F.struct(p.alias("first"), p.alias("last")))
-    marked = touched.join(hits, same("doc", "of_doc") & same("mark", "of_mark"), "left").select(
-        "doc", "text", F.concat("covered", F.coalesce(spots, none)).alias("covered")
+        F.collect_list(F.when(F.col("alone").isNotNull(), listed)).alias("asked"),
     )
+    touched = scratch.keep(_with(source, lists, "inner"))
+    blocks = scratch.keep(cores(touched.filter(F.size("asked") > 0), length))
+    shared = blocks.groupBy("near", "core").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).filter("n > 1 AND any")
+    open_ = blocks.join(shared.select("near", "core"), ["near", "core"]).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last", "alone")).alias("asked"))
+    placed = scratch.keep(positions(_with(touched.select("doc", "mark", "text"), open_, "inner"), length))
+    twice = placed.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any")).filter("n > 1 AND any")
+    hits = placed.filter("alone").join(twice.select("low", "high"), ["low", "high"]).groupBy("doc", "mark").agg(F.collect_list("at").alias("at"))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    spots = F.transform("at", lambda p: F.struct(p.alias("first"), p.alias("last")))
+    marked = _with(touched.drop("asked"), hits, "left").select("doc", "text", F.concat("covered", F.coalesce(spots, none)).alias("covered"))
 
     def cut(batches):
         for batch in batches:
@@ -229,15 +268,21 @@ def without_repeats(
 
     kind = source.schema["doc"].dataType.simpleString()
     shorter = marked.mapInArrow(cut, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("kept", show(F.col("kept")))
-    ids = touched.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark")).distinct()
     free = source.select("doc", "mark", F.octet_length("text").cast("bigint").alias("n_bytes"), show(F.col("text").cast("binary")).alias("kept"))
     zero = F.lit(0).cast("bigint")
-    untouched = free.join(ids, same("doc", "of_doc") & same("mark", "of_mark"), "left_anti").select(
+    untouched = _with(free, touched.select("doc", "mark").distinct(), "left_anti").select(
         "doc", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept"
     )
     return shorter.unionByName(untouched).withColumnRenamed("doc", key)
 
 
+def _with(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Joined on doc and mark, null keys included; the left side's columns of these names stay."""
+    right = right.withColumnsRenamed({"doc": "of_doc", "mark": "of_mark"})
+    met = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("mark") == F.col("of_mark"))
+    return left.join(right, met, how).drop("of_doc", "of_mark")
+
+
 @query("op1_repeats")
 def op1_repeats(spark, sf):
     digest = lambda kept: F.sha2(kept, 256)
