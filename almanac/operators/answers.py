@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -62,12 +64,15 @@ def evaluated(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     )
 
 
-def word_cosine(a: Column, b: Column) -> Column:
+@F.pandas_udf(DoubleType())
+def word_cosine(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """Cosine of two answers' word counts, both given as arrays; zero when one has no word."""
-    terms = F.array_distinct(F.concat(a, b))
-    count = lambda words, term: (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
-    total = lambda x, y: F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + count(x, t) * count(y, t))
-    return F.coalesce(total(a, b) / F.nullif(F.sqrt(total(a, a) * total(b, b)), F.lit(0.0)), F.lit(0.0))
+    out = []
+    for p, g in zip(predicted, gold, strict=True):
+        a, b = Counter(() if p is None else p), Counter(() if g is None else g)
+        size = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+        out.append(sum(n * b[w] for w, n in a.items()) / size if size else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def invented_citations(answers: DataFrame, sources: DataFrame, *, answer_id: str, text: str, source_id: str, pattern: str = r"\[([0-9]+)\]") -> DataFrame:

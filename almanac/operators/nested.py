@@ -69,13 +69,10 @@ def column_safe(name: str) -> str:
     return name.replace(" ", "_").replace("-", "_")
 
 
-def distinct_regions(df: DataFrame, array: str, key_field: str, *, limit: int = 1000) -> list[str]:
-    """Sorted distinct element keys. The list becomes column names, so more than ``limit`` is an error."""
+def distinct_regions(df: DataFrame, array: str, key_field: str) -> list[str]:
+    """Sorted distinct element keys. They become column names, so the driver has to know them: one row for each column."""
     found = df.select(F.explode(array).alias("x")).select(F.col("x")[key_field].alias("k")).distinct()
-    names = [row["k"] for row in found.limit(limit + 1).collect() if row["k"] is not None]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} distinct {key_field} values cannot become columns")
-    return sorted(names)
+    return sorted(row["k"] for row in found.filter("k IS NOT NULL").toLocalIterator())
 
 
 class _ArrayStage(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):

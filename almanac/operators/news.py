@@ -10,19 +10,29 @@ from almanac.functions import dates, strings
 from almanac.operators import reshape
 from almanac.operators.nested import THEME_GROUPS, TONES
 
-# Themes that make a record relevant, by group.
+# The group of each theme.
 THEMES_BY_GROUP = {
     "SUPPLY": ("NATURAL_DISASTER", "CLIMATE_CHANGE", "TAX_DISEASE", "TAX_PLANTDISEASE", "TAX_PESTS", "STRIKE", "ECON_UNIONS"),
-    "LOGISTICS": ("CRISIS_LOGISTICS", "BLOCKADE", "DELAY", "CLOSURE", "BORDER"),
-    "TRADE": ("ECON_FREETRADE", "ECON_TRADE_DISPUTE", "TAX_TARIFFS", "ECON_SUBSIDIES", "ECON_CURRENCY_EXCHANGE_RATE"),
+    "LOGISTICS": ("CRISIS_LOGISTICS", "CRISISLEX_C04_LOGISTICS_TRANSPORT", "BLOCKADE", "DELAY", "CLOSURE", "BORDER"),
+    "TRADE": ("ECON_FREETRADE", "ECON_TRADE_DISPUTE", "TAX_TARIFFS", "ECON_SUBSIDIES", "ECON_CURRENCY_EXCHANGE_RATE", "WB_698_TRADE"),
     "MARKET": (
-        "ECON_STOCKMARKET", "ECON_EARNINGSREPORT", "ECON_INTEREST_RATES", "ECON_DEBT", "ECON_COST_OF_LIVING", "ENERGY", "OIL",
+        "ECON_STOCKMARKET", "ECON_EARNINGSREPORT", "ECON_INTEREST_RATES", "ECON_DEBT", "ECON_INFLATION", "ECON_COST_OF_LIVING", "ENERGY",
+        "OIL", "ECON_BITCOIN",
     ),
-    "POLICY": ("LEGISLATION", "GOV_REFORM", "GENERAL_GOVERNMENT", "STATE_OF_EMERGENCY", "ELECTION", "CORRUPTION"),
-    "CORE": ("AGRICULTURE", "FOOD_STAPLE", "FOOD_SECURITY"),
+    "POLICY": (
+        "LEGISLATION", "GOV_REFORM", "GENERAL_GOVERNMENT", "STATE_OF_EMERGENCY", "ELECTION", "CORRUPTION", "NEGOTIATIONS", "ALLIANCE",
+        "CEASEFIRE", "EPU_POLICY", "EPU_POLICY_GOVERNMENT",
+    ),
+    "CORE": ("AGRICULTURE", "FOOD_STAPLE", "FOOD_SECURITY", "WB_2044_RURAL_WATER"),
 }
-# Relevant themes that belong to no group.
-UNGROUPED_THEMES = ("WB_2044_RURAL_WATER", "GENERAL_HEALTH", "NEGOTIATIONS", "ALLIANCE", "CEASEFIRE", "ECON_IPO")
+# Themes that make a record relevant.
+RELEVANT_THEMES = (
+    "NATURAL_DISASTER", "CLIMATE_CHANGE", "TAX_DISEASE", "TAX_PLANTDISEASE", "TAX_PESTS", "STRIKE", "ECON_UNIONS", "CRISIS_LOGISTICS", "BLOCKADE",
+    "DELAY", "CLOSURE", "BORDER", "ECON_FREETRADE", "ECON_TRADE_DISPUTE", "TAX_TARIFFS", "ECON_SUBSIDIES", "ECON_CURRENCY_EXCHANGE_RATE",
+    "ECON_STOCKMARKET", "ECON_EARNINGSREPORT", "ECON_INTEREST_RATES", "ECON_DEBT", "ECON_COST_OF_LIVING", "ENERGY", "OIL", "LEGISLATION", "GOV_REFORM",
+    "GENERAL_GOVERNMENT", "STATE_OF_EMERGENCY", "ELECTION", "CORRUPTION", "AGRICULTURE", "FOOD_STAPLE", "FOOD_SECURITY", "WB_2044_RURAL_WATER",
+    "GENERAL_HEALTH", "NEGOTIATIONS", "ALLIANCE", "CEASEFIRE", "ECON_IPO",
+)
 # Keywords looked for in the names field.
 KEYWORDS = (
     "coffee", "arabica", "robusta", "sugar", "sugarcane", "sugar beet", "drought", "frost", "flood", "rainfall", "la nina",
@@ -31,7 +41,6 @@ KEYWORDS = (
 )
 
 THEME_TO_GROUP = {theme: group for group, themes in THEMES_BY_GROUP.items() for theme in themes}
-RELEVANT_THEMES = (*THEME_TO_GROUP, *UNGROUPED_THEMES)
 
 
 def relevant(themes: str = "themes", names: str = "all_names") -> Column:

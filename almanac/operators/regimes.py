@@ -3,29 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from almanac.operators.rolling import pct_change, rolling_mean, rolling_std
 from almanac.operators.signals import strategy_for_regime
 
-MAX_COLUMNS = 60
 
-
-def correlation_pairs(df: DataFrame, entities: Sequence[str], value: str, *, date: str = "date", entity: str = "entity") -> DataFrame:
-    """(a, b, corr) for an explicit list of entities: one pivot to a daily row, then all pairs in one pass."""
-    if len(entities) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} entities become columns; use mean_correlation for more")
-    names = [f"e{i}" for i in range(len(entities))]
-    wide = df.groupBy(date).agg(
-        *[F.max(F.when(F.col(entity) == e, F.col(value))).alias(n) for n, e in zip(names, entities, strict=True)]
-    )
-    pairs = [
-        F.struct(F.lit(entities[i]).alias("a"), F.lit(entities[j]).alias("b"), F.corr(names[i], names[j]).alias("corr"))
-        for i, j in combinations(range(len(entities)), 2)
-    ]
-    return wide.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+def correlation_pairs(df: DataFrame, value: str, *, date: str = "date", entity: str = "entity") -> DataFrame:
+    """(a, b, corr) for all pairs of entities, however many: sums over common days are combined before the shuffle."""
+    one = df.select(date, F.col(entity).alias("a"), F.col(value).alias("__x"))
+    two = df.select(date, F.col(entity).alias("b"), F.col(value).alias("__y"))
+    return one.join(two, date).filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.corr("__x", "__y").alias("corr"))
 
 
 def mean_correlation(df: DataFrame, value: str, *, date: str = "date", entity: str = "entity") -> DataFrame:

@@ -126,13 +126,14 @@ def best_available_model(spark, sf):
     return rounded(made, ["mean_metric"])
 
 
-@query("financial_impact", "P27", twin("paths fx_raw", """SELECT s.entity, s.model, s.origin, f.currency, round(sell_now_value * 50 * f.rate, 2) AS value_now, round(best_value * 50 * f.rate, 2) AS value_best, round((best_value - sell_now_value) * 50 * f.rate, 2) AS gain
-  FROM sale s, (SELECT currency, max(rate) / 1000000 AS rate FROM (UNPIVOT fx_raw ON africa_usd, asia_usd, europe_usd INTO NAME currency VALUE rate) GROUP BY 1) f""", POINTS + ", " + SALE))
+@query("financial_impact", "P27", twin("paths fx_raw", """SELECT s.entity, s.model, s.origin, f.currency, round(sell_now_value * 50 * f.rate, 2) AS value_now, round(best_value * 50 * f.rate, 2) AS value_best, round((best_value - sell_now_value) * 50 * f.rate, 2) AS gain, round(100 * (best_value - sell_now_value) / sell_now_value, 4) AS gain_pct
+  FROM sale s, (SELECT currency, max(rate) / 1000000 AS rate FROM (UNPIVOT fx_raw ON africa_usd, america_usd, asia_usd, europe_usd, mideast_usd INTO NAME currency VALUE rate) GROUP BY 1) f""", POINTS + ", " + SALE))
 def financial_impact(spark, sf):
     sale = sg.optimal_sale(points(spark, sf), FORECAST, "spot", "price").select(*FORECAST, "sell_now_value", "best_value")
-    rates = t.fx_wide(spark, sf).unpivot(["date"], ["africa_usd", "asia_usd", "europe_usd"], "currency", "rate").filter(F.col("rate").isNotNull())
+    rates = t.fx_wide(spark, sf).unpivot(["date"], list(t.REGION_COLUMNS.values()), "currency", "rate").filter(F.col("rate").isNotNull())
     made = rec.financial_impact(sale, rates.withColumn("rate", F.col("rate") / 1000000), inventory=50.0)
-    return rounded(made.drop("sell_now_value", "best_value"), ["value_now", "value_best", "gain"], 2)
+    percent = r(100 * (F.col("best_value") - F.col("sell_now_value")) / F.col("sell_now_value")).alias("gain_pct")
+    return rounded(made.select("*", percent).drop("sell_now_value", "best_value"), ["value_now", "value_best", "gain"], 2)
 
 
 @query("signal_vote", "P35", twin("paths", """SELECT entity, origin, CASE WHEN count(*) FILTER (WHERE b <= 0.5) * 2 > count(*) THEN 'SELL' ELSE 'HOLD' END AS primary_action, count(*) FILTER (WHERE b <= 0.5) AS n_sell, count(*) AS n_signals,
@@ -160,13 +161,10 @@ def position_sizes(spark, sf):
     return day_view(spark, sf).select(*FORECAST, r(size, 2).alias("position"))
 
 
-ENTITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @query("correlation_pairs", "M27", twin("series", """SELECT a.entity AS a, b.entity AS b, round(corr(a.ret, b.ret), 6) AS corr FROM rets a JOIN rets b ON a.date = b.date AND a.entity < b.entity GROUP BY 1, 2""", RET))
 def correlation_pairs(spark, sf):
     rows = ro.with_returns(t.series(spark, sf), ["entity"], "close")
-    return rounded(regimes.correlation_pairs(rows, ENTITIES, "ret"), ["corr"], 6)
+    return rounded(regimes.correlation_pairs(rows, "ret"), ["corr"], 6)
 
 
 FULL_DAYS = RET + """, whole AS (SELECT * FROM rets WHERE ret IS NOT NULL AND date IN (SELECT date FROM rets WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT entity) FROM rets)))"""

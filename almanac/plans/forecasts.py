@@ -426,19 +426,23 @@ def dashboard_crps_against_mae(spark, sf):
     return rows.select(*FORECAST, r("mae_14d").alias("point_forecast_mae"), r("crps_14d", 3).alias("distribution_crps"))
 
 
-@query("dashboard_recent_heatmap", "P30 D6", twin("medians", """SELECT model, entity, round(avg(mae_14d), 4) AS recent_mae, count(*) AS num_recent_forecasts FROM (SELECT *, row_number() OVER (PARTITION BY entity, model ORDER BY origin DESC) AS rn FROM meta WHERE mae_14d IS NOT NULL) WHERE rn <= 30 GROUP BY 1, 2""", META))
+@query("dashboard_recent_heatmap", "P30 D6", twin("medians scored", """SELECT model, entity, round(avg(mae_14d), 4) AS recent_mae, round(avg(crps_14d), 3) AS recent_crps, round(avg(coverage_80_14d), 6) AS recent_coverage, count(*) AS num_recent_forecasts
+  FROM (SELECT *, row_number() OVER (PARTITION BY entity, model ORDER BY origin DESC) AS rn FROM prob WHERE mae_14d IS NOT NULL) WHERE rn <= 30 GROUP BY 1, 2""", FULL))
 def dashboard_recent_heatmap(spark, sf):
-    known = metadata(spark, sf).filter(F.col("mae_14d").isNotNull())
+    known = with_probabilistic(spark, sf).filter(F.col("mae_14d").isNotNull())
     recent = dedup.first_n_per_group(known, ["entity", "model"], [F.col("origin").desc()], 30)
-    return recent.groupBy("model", "entity").agg(r(F.avg("mae_14d")).alias("recent_mae"), F.count(F.lit(1)).alias("num_recent_forecasts"))
+    return recent.groupBy("model", "entity").agg(
+        r(F.avg("mae_14d")).alias("recent_mae"), r(F.avg("crps_14d"), 3).alias("recent_crps"), r(F.avg("coverage_80_14d"), 6).alias("recent_coverage"),
+        F.count(F.lit(1)).alias("num_recent_forecasts"),
+    )
 
 
-@query("dashboard_horizon_detail", "P30 T5", twin("medians", " UNION ALL ".join(
-    f"SELECT model, '{m.upper()}' AS metric, round(avg({m}_1d), 4) AS day_1, round(avg({m}_7d), 4) AS day_7, round(avg({m}_14d), 4) AS day_14 FROM meta GROUP BY 1" for m in ("mae", "rmse")), META))
+@query("dashboard_horizon_detail", "P30 T5", twin("medians scored", " UNION ALL ".join(
+    f"SELECT model, '{m.upper()}' AS metric, round(avg({m}_1d), 3) AS day_1, round(avg({m}_7d), 3) AS day_7, round(avg({m}_14d), 3) AS day_14 FROM prob GROUP BY 1" for m in ("mae", "crps")), FULL))
 def dashboard_horizon_detail(spark, sf):
     """Both metrics from one scan: aggregate wide, then unpivot by an inline array."""
-    cells = [F.struct(F.lit(m.upper()).alias("metric"), *[r(F.avg(f"{m}_{h}d")).alias(f"day_{h}") for h in (1, 7, 14)]) for m in ("mae", "rmse")]
-    return metadata(spark, sf).groupBy("model").agg(F.array(*cells).alias("x")).select("model", F.inline("x")).orderBy("model", "metric")
+    cells = [F.struct(F.lit(m.upper()).alias("metric"), *[r(F.avg(f"{m}_{h}d"), 3).alias(f"day_{h}") for h in (1, 7, 14)]) for m in ("mae", "crps")]
+    return with_probabilistic(spark, sf).groupBy("model").agg(F.array(*cells).alias("x")).select("model", F.inline("x")).orderBy("model", "metric")
 
 
 @query("dashboard_best_by_date", "P30 W7", twin("medians", f"SELECT entity, origin, model, CASE WHEN row_number() OVER (PARTITION BY entity, origin ORDER BY round(mae_14d, 6), model) = 1 THEN 1 ELSE 0 END AS is_best_model FROM meta WHERE mae_14d IS NOT NULL AND origin >= DATE '{SINCE}'", META))
@@ -466,10 +470,12 @@ def dashboard_monthly(spark, sf):
     return rows.groupBy(F.date_format("origin", "yyyy-MM").alias("forecast_month"), "model").agg(r(F.avg("mae_14d")).alias("monthly_mae"), F.count(F.lit(1)).alias("num_forecasts"))
 
 
-@query("dashboard_availability", "P30 A3", twin("medians", """SELECT model, count(*) AS total_forecasts, CAST(sum(CASE WHEN mae_1d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_1d_metrics, CAST(sum(CASE WHEN mae_7d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_7d_metrics,
-  CAST(sum(CASE WHEN mae_14d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_14d_metrics, min(origin) AS earliest_forecast, max(origin) AS latest_forecast FROM meta GROUP BY 1""", META))
+@query("dashboard_availability", "P30 A3", twin("medians scored", """SELECT model, count(*) AS total_forecasts, CAST(sum(CASE WHEN mae_1d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_1d_metrics, CAST(sum(CASE WHEN mae_7d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_7d_metrics,
+  CAST(sum(CASE WHEN mae_14d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_14d_metrics, CAST(sum(CASE WHEN crps_14d IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS has_probabilistic_metrics,
+  min(origin) AS earliest_forecast, max(origin) AS latest_forecast FROM meta LEFT JOIN (SELECT entity, model, origin, crps_14d FROM prob) p USING (entity, model, origin) GROUP BY 1""", FULL))
 def dashboard_availability(spark, sf):
-    known = {f"has_{h}d_metrics": F.count(f"mae_{h}d") for h in (1, 7, 14)}
-    return metadata(spark, sf).groupBy("model").agg(
+    known = {f"has_{h}d_metrics": F.count(f"mae_{h}d") for h in (1, 7, 14)} | {"has_probabilistic_metrics": F.count("crps_14d")}
+    rows = metadata(spark, sf).join(with_probabilistic(spark, sf).select(*FORECAST, "crps_14d"), FORECAST, "left")
+    return rows.groupBy("model").agg(
         F.count(F.lit(1)).alias("total_forecasts"), *[c.alias(n) for n, c in known.items()], F.min("origin").alias("earliest_forecast"), F.max("origin").alias("latest_forecast")
     )

@@ -9,15 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from almanac.operators.aggregates import finish_means, merge_means, partial_means
 from almanac.sources.writers import replace_partitions
 
 
-def file_stream(spark: SparkSession, path: str, schema, *, fmt: str = "parquet", glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+def merged_schema(spark: SparkSession, path: str) -> StructType:
+    """The columns of all files of a table, also those that only later files have."""
+    return spark.read.option("mergeSchema", "true").parquet(path).schema
+
+
+def file_stream(spark: SparkSession, path: str, schema, *, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    """A table that is one file or a folder of files, as a stream; columns that a file lacks are NULL.
+
+    A stream takes a plain path for a folder. As a pattern that only the path itself matches, it may be either.
+    """
+    path = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
     reader = spark.readStream.schema(schema).format(fmt)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)
@@ -45,6 +54,22 @@ def daily_windows(df: DataFrame, keys: Sequence[str], ts: str, metrics: Sequence
     return grouped.agg(F.count(F.lit(1)).alias("rows"), *parts).select(F.to_date("w.start").alias("day"), *keys, "rows", *[c for m in metrics for c in (f"{m}_sum", f"{m}_n")])
 
 
+def newest_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Each batch of an updating aggregate replaces its own partition; :func:`newest_rows` reads what holds in the end."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        replace_partitions(batch.withColumn("batch", F.lit(batch_id)), path, ["batch"])
+
+    return sink
+
+
+def newest_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row of the latest batch: one aggregation, combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row"))
+    return best.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+
+
 def partial_sink(path: str, keys: Sequence[str], metrics: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """Each batch replaces its own partition of partial sums; late records just add another partial."""
 

@@ -39,3 +39,21 @@ def test_a_record_sent_twice_is_kept_once(spark):
     stream = intake.file_stream(spark, source, SCHEMA, files_per_batch=1)
     intake.run_available(intake.first_seen(stream, "id", "ts", "10 days"), mark, path=out)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def test_folder_tables_with_new_columns(spark, tmp_path):
+    """A table of several part files, one with a column more, streams as it reads in batch."""
+    from almanac.plans import storage, streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = str(tmp_path / "events.parquet")
+    events.filter("event_id % 2 = 0").repartition(3).write.parquet(path)
+    events.filter("event_id % 2 = 1").withColumn("extra", F.col("event_id")).repartition(2).write.mode("append").parquet(path)
+    single = "/root/testdata/sf0.001"
+    for run in (storage.incremental_copy, streams.stream_bronze, streams.stream_daily_windows):
+        assert sorted(map(str, run(spark, str(tmp_path)).collect())) == sorted(map(str, run(spark, single).collect())) != []
+    schema = intake.merged_schema(spark, path)
+    out = str(tmp_path / "out")
+    intake.run_available(intake.file_stream(spark, path, schema), str(tmp_path / "mark"), path=out)
+    kept = spark.read.schema(schema).parquet(out)
+    assert kept.count() == events.count() and kept.filter("extra IS NOT NULL").count() == events.filter("event_id % 2 = 1").count()
