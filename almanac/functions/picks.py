@@ -7,6 +7,7 @@ integer arithmetic inside generated code.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -52,3 +53,14 @@ def mixed_sql(parts: Sequence[str], seed: int) -> str:
 
 def pick_sql(parts: Sequence[str], size: str, seed: int) -> str:
     return f"({mixed_sql(parts, seed)} % ({size}) + 1)"
+
+
+def normal(parts: Sequence[Column | str], seed: int) -> Column:
+    """A standard normal draw that depends on the parts and the seed alone (Box-Muller on two mixed numbers)."""
+    one, two = ((mixed(parts, seed + k) + 0.5) / F.lit(float(PRIME)) for k in (0, 1))
+    return F.sqrt(-2 * F.ln(one)) * F.cos(2 * math.pi * two)
+
+
+def normal_sql(parts: Sequence[str], seed: int) -> str:
+    one, two = (f"(({mixed_sql(parts, seed + k)} + 0.5::DOUBLE) / {PRIME}.0::DOUBLE)" for k in (0, 1))
+    return f"(sqrt(-2 * ln({one})) * cos(2 * pi() * {two}))"

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from almanac.functions.picks import pick
+from almanac.functions.picks import PRIME, normal, pick
 
 
 def walk_origins(df: DataFrame, index: str, *, first: int, step: int) -> DataFrame:
@@ -112,40 +112,46 @@ def bootstrap_paths(
 ) -> DataFrame:
     """Block-bootstrap paths around point forecasts, for any number of forecasts at once.
 
-    ``points``: keys, origin, horizon, forecast, target_date. ``residual_rows``: keys, row_id (1..n), horizon, residual,
-    n_rows. Each (path, block of horizons) copies one residual row's slice; the row is picked by an integer hash of
-    (origin, path, block), so a re-run or a lost task gives the same paths.
+    ``points``: keys, origin, horizon, forecast, target_date. ``residual_rows``: keys, row_id (1..n), horizon, residual.
+    Each (path, block of horizons) copies one residual row's slice; the row is picked by an integer hash of
+    (origin, path, block), so a re-run or a lost task gives the same paths. A point gets its horizon's residuals as one
+    array (as many as there are complete origins, which the calendar bounds) before it is expanded to paths, so paths are
+    never shuffled.
     """
-    grid = points.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_paths))).alias("path_id"))
+    rows = F.sort_array(F.collect_list(F.struct("row_id", "residual")))
+    slices = residual_rows.groupBy(*keys, "horizon").agg(rows.alias("__r"), F.max("row_id").alias("__n"))
     sizes = residual_rows.groupBy(*keys).agg(F.max("row_id").alias("__n"))
-    picked = grid.join(sizes, list(keys)).withColumn(
-        "row_id",
-        pick(
-            [F.datediff("origin", F.lit("1970-01-01")), F.col("path_id"), F.floor((F.col("horizon") - 1) / block)],
-            F.col("__n"), seed,
-        ),
-    )
-    drawn = picked.join(residual_rows.select(*keys, "row_id", "horizon", "residual"), [*keys, "row_id", "horizon"])
-    return drawn.select(
-        *keys, "origin", "horizon", "target_date", "path_id", (F.col("forecast") + F.col("residual")).alias("price")
-    )
+    known = points.join(slices.drop("__n"), [*keys, "horizon"]).join(sizes, list(keys))
+    grid = known.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_paths))).alias("path_id"))
+    parts = [F.datediff("origin", F.lit("1970-01-01")), F.col("path_id"), F.floor((F.col("horizon") - 1) / block)]
+    drawn = F.get("__r", (pick(parts, F.col("__n"), seed) - 1).cast("int"))["residual"]
+    return grid.select(*keys, "origin", "horizon", "target_date", "path_id", (F.col("forecast") + drawn).alias("price"))
+
 
+def key_number(keys: Sequence[str]) -> Column:
+    """An integer for a key, to be mixed into its draws."""
+    return F.pmod(F.xxhash64(*keys), F.lit(PRIME))
 
-def gaussian_paths(points: DataFrame, *, n_paths: int, sigma: Column | str, seed: int) -> DataFrame:
-    """Baseline paths: independent normal noise of ``sigma`` around each point forecast."""
+
+def gaussian_paths(points: DataFrame, keys: Sequence[str], *, n_paths: int, sigma: Column | str, seed: int, number: Column | None = None) -> DataFrame:
+    """Baseline paths: independent normal noise of ``sigma`` around each point forecast.
+
+    A draw depends on (key, origin, horizon, path) alone; ``number`` is the key's integer, by default a hash.
+    """
     spread = F.col(sigma) if isinstance(sigma, str) else sigma
     grid = points.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_paths))).alias("path_id"))
-    return grid.withColumn("price", F.col("forecast") + F.randn(seed) * spread)
+    parts = [F.datediff("origin", F.lit("1970-01-01")), F.col("path_id"), F.col("horizon"), key_number(keys) if number is None else number]
+    return grid.withColumn("price", F.col("forecast") + normal(parts, seed) * spread)
 
 
 def calibrated_paths(
     series: DataFrame, keys: Sequence[str], value: str, *, target_accuracy: float, n_paths: int, horizon: int,
-    seed: int, date: str = "date",
+    seed: int, date: str = "date", number: Column | None = None,
 ) -> DataFrame:
     """Synthetic forecasts with a chosen error: log-normal noise centred at ± the target error around the realised future.
 
-    With accuracy 1 every path equals the realised value. The bias direction is one draw per (key, origin) and the
-    run factor one draw per path, both by integer hash; the log-normal part is ``randn``.
+    With accuracy 1 every path equals the realised value. The bias direction is one draw per (key, origin), the run factor one
+    per path and the log-normal part one per point, all by integer hash; ``number`` is the key's integer, by default a hash.
     """
     error = 1.0 - target_accuracy
     order = Window.partitionBy(*keys).orderBy(date)
@@ -157,10 +163,10 @@ def calibrated_paths(
     grid = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_paths))).alias("path_id"))
     if error == 0:
         return grid.withColumn("price", F.col("realised"))
-    day = F.datediff("origin", F.lit("1970-01-01"))
-    up = pick([day, F.hash(*keys).cast("bigint") % 1000 + 1000], F.lit(2), seed) == 1
+    day, own = F.datediff("origin", F.lit("1970-01-01")), key_number(keys) if number is None else number
+    up = pick([day, own], F.lit(2), seed) == 1
     centre = F.when(up, F.log(F.lit(1 + error))).otherwise(F.log(F.lit(1 - error)))
     sigma = error * (3.141592653589793 / 2) ** 0.5
     run_unit = (pick([day, F.col("path_id")], F.lit(2001), seed + 1) - 1001) / F.lit(1000.0)
     run_factor = 1 + run_unit * F.lit(0.02 * 3**0.5)
-    return grid.withColumn("price", F.col("realised") * F.exp(centre + F.randn(seed) * sigma) * run_factor)
+    return grid.withColumn("price", F.col("realised") * F.exp(centre + normal([day, F.col("path_id"), F.col("horizon"), own], seed + 2) * sigma) * run_factor)

@@ -13,6 +13,17 @@ def latest_run(df: DataFrame, run: str, condition: Column) -> DataFrame:
     return kept.filter(F.col(run) == kept.agg(F.max(run)).scalar())
 
 
+SALTS = 64
+
+
+def spread_join(df: DataFrame, small: DataFrame, keys: Sequence[str], *, salts: int = SALTS) -> DataFrame:
+    """Raw rows with a per-group table whose few keys may each hold a third of the rows: every key is dealt to ``salts`` parts,
+    and the small side has a copy for each. Rows keep their place when the optimizer can broadcast the small side anyway."""
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def newer_than(df: DataFrame, done: DataFrame, column: str) -> DataFrame:
     """Rows after the high-water mark of ``done``; all rows when ``done`` is empty."""
     mark = done.agg(F.max(column)).scalar()
@@ -27,7 +38,7 @@ def newest_with_actuals(forecasts: DataFrame, actuals: DataFrame, on: Sequence[s
 def zscores(df: DataFrame, keys: Sequence[str], value: str, *, name: str = "z") -> DataFrame:
     """Distance from the group mean in sample deviations: one small aggregate joined back."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    joined = df.join(stats, list(keys))
+    joined = spread_join(df, stats, list(keys))
     return joined.select(*df.columns, ((F.col(value) - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))).alias(name))
 
 

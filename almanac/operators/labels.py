@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions.picks import mixed, pick
+from almanac.operators.joins import spread_join
 from almanac.operators.lineage import written
 from almanac.operators.ordered import number_rows
 
@@ -60,7 +61,7 @@ def matched_to_distribution(df: DataFrame, target: DataFrame, label: str, confid
     n = df.agg(F.count(F.lit(1))).scalar()
     quota = shares.select(label, F.floor(F.col("__c") / whole * n).alias("__quota"))
     ranked = number_rows(df, [label], [F.col(confidence).desc(), F.col(key)], "__rank")
-    return ranked.join(quota, label).filter(F.col("__rank") <= F.col("__quota")).select(*df.columns)
+    return spread_join(ranked, quota, [label]).filter(F.col("__rank") <= F.col("__quota")).select(*df.columns)
 
 
 def rebalanced(df: DataFrame, label: str, key: str, *, seed: int = 0) -> DataFrame:
@@ -69,7 +70,8 @@ def rebalanced(df: DataFrame, label: str, key: str, *, seed: int = 0) -> DataFra
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     smallest = sizes.agg(F.min("__n")).scalar()
     # every class has at least ``smallest`` rows, so its own first positions serve as the draws, where they lie
-    draws = numbered.select(label, F.col("__pos").alias("draw")).filter(F.col("draw") <= smallest).join(sizes, label)
+    draws = numbered.select(label, F.col("__pos").alias("draw")).filter(F.col("draw") <= smallest)
+    draws = spread_join(draws, sizes, [label])
     picked = draws.select(label, "draw", pick([F.col("draw"), F.col(label)], F.col("__n"), seed).alias("__pos"))
     return picked.join(numbered, [label, "__pos"]).drop("__pos")
 

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanac.operators.joins import spread_join
 from almanac.operators.rolling import drawdown
 
 
@@ -121,7 +122,7 @@ def efficiency(results: DataFrame, best: DataFrame, on: Sequence[str], value: st
 def immediate_sale_difference(trades: DataFrame, baseline: DataFrame, *, fee_pct: float) -> DataFrame:
     """Each trade against selling the same amount at the baseline's mean price of that year (one row per year joined)."""
     yearly = baseline.groupBy(F.year("date").alias("year")).agg(F.avg("price").alias("immediate_price"))
-    joined = trades.withColumn("year", F.year("date")).join(yearly, "year")
+    joined = spread_join(trades.withColumn("year", F.year("date")), yearly, ["year"])
     net = F.col("amount") * F.col("immediate_price") * (1 - fee_pct / 100)
     return joined.withColumn("immediate_net", net).withColumn("difference", F.col("revenue") - F.col("transaction_cost") - F.col("immediate_net"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from almanac.functions.picks import pick_sql
+from almanac.functions.picks import normal_sql, pick_sql
 from almanac.operators import dedup, forecast as fc, scoring as sc
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
@@ -130,19 +130,30 @@ def block_bootstrap_paths(spark, sf):
     return paths.drop("target_date")
 
 
-@query("gaussian_paths", "P3")
+DAY_NUMBER = "date_diff('day', DATE '1970-01-01', origin)"
+
+
+@query("gaussian_paths", "P3", twin("origins", f"""SELECT p.entity, origin, p.horizon, path_id, round(forecast + sigma * {normal_sql([DAY_NUMBER, 'path_id', 'p.horizon', 'ascii(p.entity)'], 5)}, 2) AS price FROM (
+  SELECT entity, origin, CAST(h AS INTEGER) AS horizon, spot + h * drift AS forecast FROM origins, generate_series(1, 14) g(h)) p JOIN (SELECT entity, horizon, stddev_samp(residual) AS sigma FROM resid GROUP BY 1, 2) s ON s.entity = p.entity AND s.horizon = p.horizon,
+  (SELECT CAST(q AS INTEGER) AS path_id FROM generate_series(1, 10) g(q))""", RESIDUALS))
 def gaussian_paths(spark, sf):
     daily = t.series(spark, sf)
     sigma = residual_rows(daily).groupBy("entity", "horizon").agg(F.stddev_samp("residual").alias("sigma"))
     points = drift_points(daily).join(sigma, ["entity", "horizon"])
-    paths = fc.gaussian_paths(points, n_paths=10, sigma="sigma", seed=5)
-    return paths.select("entity", "origin", "horizon", "path_id", "price")
+    paths = fc.gaussian_paths(points, ["entity"], n_paths=10, sigma="sigma", seed=5, number=F.ascii("entity"))
+    return paths.select("entity", "origin", "horizon", "path_id", r("price", 2).alias("price"))
+
+
+AHEAD = """ahead AS (SELECT a.entity, a.date AS origin, CAST(b.t - a.t AS INTEGER) AS horizon, b.date AS target_date, CAST(p AS INTEGER) AS path_id, b.close AS realised FROM
+  (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS t, count(*) OVER (PARTITION BY entity) AS n FROM series) a JOIN (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS t FROM series) b
+  ON a.entity = b.entity AND b.t BETWEEN a.t + 1 AND a.t + 14 CROSS JOIN generate_series(1, 5) g(p) WHERE a.t + 14 <= a.n)"""
 
 
-@query("calibrated_paths", "P4")
+@query("calibrated_paths", "P4", twin("series", f"""SELECT entity, origin, horizon, target_date, path_id, round(realised * exp(CASE WHEN {pick_sql([DAY_NUMBER, 'ascii(entity)'], '2', 3)} = 1 THEN ln(1.1::DOUBLE) ELSE ln(0.9::DOUBLE) END
+  + {normal_sql([DAY_NUMBER, 'path_id', 'horizon', 'ascii(entity)'], 5)} * 0.1::DOUBLE * sqrt(3.141592653589793::DOUBLE / 2)) * (1 + ({pick_sql([DAY_NUMBER, 'path_id'], '2001', 4)} - 1001) / 1000.0::DOUBLE * 0.02::DOUBLE * sqrt(3.0::DOUBLE)), 2) AS price FROM ahead""", AHEAD))
 def calibrated_paths(spark, sf):
-    made = fc.calibrated_paths(t.series(spark, sf), ["entity"], "close", target_accuracy=0.9, n_paths=5, horizon=t.HORIZON, seed=3)
-    return made.select("entity", "origin", "horizon", "target_date", "path_id", "price")
+    made = fc.calibrated_paths(t.series(spark, sf), ["entity"], "close", target_accuracy=0.9, n_paths=5, horizon=t.HORIZON, seed=3, number=F.ascii("entity"))
+    return made.select("entity", "origin", "horizon", "target_date", "path_id", r("price", 2).alias("price"))
 
 
 @query("perfect_paths", "P4", twin("series", """SELECT a.entity, a.date AS origin, CAST(b.t - a.t AS INTEGER) AS horizon, b.date AS target_date, CAST(p AS INTEGER) AS path_id, b.close AS price FROM
@@ -297,19 +308,19 @@ def model_comparison(spark, sf):
 @query("degradation_monitor", "P31", twin("medians", """SELECT entity, model, n_recent, n_prior, round(recent_mae, 4) AS recent_mae, round(prior_mae, 4) AS prior_mae, round(u, 4) AS u, round((u - n_recent * n_prior / 2.0 - 0.5)
   / sqrt(n_recent * n_prior / 12.0 * (n_recent + n_prior + 1)), 6) AS z, round(100 * (recent_mae - prior_mae) / prior_mae, 4) AS change_pct FROM (SELECT entity, model, count(*) FILTER (WHERE recent) AS n_recent, count(*) FILTER (WHERE NOT recent) AS n_prior,
   avg(mae_14d) FILTER (WHERE recent) AS recent_mae, avg(mae_14d) FILTER (WHERE NOT recent) AS prior_mae, CAST(sum(rk) FILTER (WHERE recent) AS DOUBLE) - count(*) FILTER (WHERE recent) * (count(*) FILTER (WHERE recent) + 1) / 2.0 AS u
-  FROM (SELECT *, rank() OVER (PARTITION BY entity, model ORDER BY mae_14d) AS rk FROM (SELECT *, date_diff('day', origin, (SELECT max(origin) FROM meta WHERE mae_14d IS NOT NULL)) < 90 AS recent FROM meta
-  WHERE mae_14d IS NOT NULL AND date_diff('day', origin, (SELECT max(origin) FROM meta WHERE mae_14d IS NOT NULL)) < 180)) GROUP BY 1, 2)""", META))
+  FROM (SELECT *, rank() OVER (PARTITION BY entity, model ORDER BY mae_14d) AS rk FROM (SELECT *, date_diff('day', origin, (SELECT max(origin) FROM meta WHERE mae_14d IS NOT NULL)) < 30 AS recent FROM meta
+  WHERE mae_14d IS NOT NULL AND date_diff('day', origin, (SELECT max(origin) FROM meta WHERE mae_14d IS NOT NULL)) < 60)) GROUP BY 1, 2)""", META))
 def degradation_monitor(spark, sf):
     known = metadata(spark, sf).select(*FORECAST, "mae_14d").filter(F.col("mae_14d").isNotNull())
     today = known.agg(F.max("origin")).scalar()
-    made = sc.degradation(known, ["entity", "model"], "mae_14d", today, date="origin", window_days=90)
+    made = sc.degradation(known, ["entity", "model"], "mae_14d", today, date="origin", window_days=30)
     return rounded(rounded(made, ["recent_mae", "prior_mae", "u", "change_pct"]), ["z"], 6).drop("p_value", "status")
 
 
 @query("degradation_alerts", "P31")
 def degradation_alerts(spark, sf):
     known = metadata(spark, sf).select(*FORECAST, "mae_14d").filter(F.col("mae_14d").isNotNull())
-    made = sc.degradation(known, ["entity", "model"], "mae_14d", known.agg(F.max("origin")).scalar(), date="origin", window_days=90)
+    made = sc.degradation(known, ["entity", "model"], "mae_14d", known.agg(F.max("origin")).scalar(), date="origin", window_days=30)
     return made.select("entity", "model", "change_pct", "p_value", "status")
 
 

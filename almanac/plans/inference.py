@@ -60,7 +60,7 @@ def signed_rank_test(spark, sf):
     return rounded(ht.signed_rank(month_diffs(spark, sf), ["strategy"]).drop("p_value"), ["w_plus", "w_minus", "z"], 6)
 
 
-B = 400
+B = 10_000
 BOOT_PICK = pick_sql(["b", "d.i"], "k.n", 21)
 
 
@@ -116,9 +116,9 @@ U = f"({mixed_sql(['b', *ROW_ID], 51)} % 1000000)"
 
 
 @query("trade_bootstrap", "L15", twin("trades", f"""SELECT strategy, round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high, round(max(o), 4) AS observed FROM (SELECT strategy, b, sum(revenue * w) / sum(amount * w) AS m FROM (
-  SELECT strategy, b, revenue, amount, {' + '.join(f'CASE WHEN u >= {s} THEN 1 ELSE 0 END' for s in rs.POISSON_STEPS)} AS w FROM (SELECT strategy, b, revenue, amount, {U} AS u FROM trades, generate_series(1, 25) g(b))) GROUP BY 1, 2) JOIN (SELECT strategy, sum(revenue) / sum(amount) AS o FROM trades GROUP BY 1) USING (strategy) GROUP BY 1"""))
+  SELECT strategy, b, revenue, amount, {' + '.join(f'CASE WHEN u >= {s} THEN 1 ELSE 0 END' for s in rs.POISSON_STEPS)} AS w FROM (SELECT strategy, b, revenue, amount, {U} AS u FROM trades, generate_series(1, 1000) g(b))) GROUP BY 1, 2) JOIN (SELECT strategy, sum(revenue) / sum(amount) AS o FROM trades GROUP BY 1) USING (strategy) GROUP BY 1"""))
 def trade_bootstrap(spark, sf):
-    made = rs.poisson_bootstrap(t.trades(spark, sf), ["strategy"], ROW_ID, "revenue", "amount", n_replicates=25, seed=51)
+    made = rs.poisson_bootstrap(t.trades(spark, sf), ["strategy"], ROW_ID, "revenue", "amount", n_replicates=1000, seed=51)
     return rounded(made, ["ci_low", "ci_high", "observed"])
 
 

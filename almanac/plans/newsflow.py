@@ -53,7 +53,7 @@ def theme_mentions(spark, sf):
     return rows.groupBy(F.col("gkg_record_id").alias("id"), "commodity", "theme", "theme_group").agg(F.count(F.lit(1)).alias("n"))
 
 
-GROUPS, TRACKED = ("SUPPLY", "LOGISTICS", "TRADE", "MARKET", "POLICY", "CORE", "OTHER"), ("NATURAL_DISASTER", "OIL", "TAX_TARIFFS", "ELECTION")
+GROUPS, TRACKED = ("SUPPLY", "LOGISTICS", "TRADE", "MARKET", "POLICY", "CORE", "OTHER"), tuple(nw.THEME_TO_GROUP)
 
 
 def _wide_sql():

@@ -59,12 +59,12 @@ def entropy_guard(spark, sf):
     return lb.entropy_guard(rows, ["p1", "p0"], "confidence").select("doc_id", "model", "label")
 
 
-@query("distribution_matched", "N6", twin("", """SELECT doc_id, model, label, confidence FROM (SELECT v.*, row_number() OVER (PARTITION BY label ORDER BY confidence DESC, doc_id) AS rk FROM votes v WHERE model = 'b') v
-  JOIN (SELECT quality, floor(count(*) / CAST((SELECT count(*) FROM labels) AS DOUBLE) * (SELECT count(*) FROM votes WHERE model = 'b')) AS q FROM labels GROUP BY 1) k ON k.quality = v.label WHERE rk <= q""", VOTES))
+@query("distribution_matched", "N6", twin("", """SELECT doc_id, model, label, confidence FROM (SELECT v.*, row_number() OVER (PARTITION BY label ORDER BY confidence DESC, doc_id * 3 + ascii(model)) AS rk FROM votes v) v
+  JOIN (SELECT quality, floor(count(*) / CAST((SELECT count(*) FROM labels) AS DOUBLE) * (SELECT count(*) FROM votes)) AS q FROM labels GROUP BY 1) k ON k.quality = v.label WHERE rk <= q""", VOTES))
 def distribution_matched(spark, sf):
-    rows = votes(spark, sf).filter(F.col("model") == "b").drop("truth")
+    rows = votes(spark, sf).drop("truth").withColumn("vote", F.col("doc_id") * 3 + F.ascii("model"))
     target = t.table(spark, sf, "labels").select(F.col("quality").alias("label"))
-    return lb.matched_to_distribution(rows, target, "label", "confidence", "doc_id")
+    return lb.matched_to_distribution(rows, target, "label", "confidence", "vote").drop("vote")
 
 
 @query("rebalanced_classes", "N7", twin("", f"""SELECT p.label, p.draw, x.doc_id FROM (SELECT label, draw, {pick_sql(['draw', 'label'], 'n', 5)} AS pos FROM (SELECT quality AS label, count(*) AS n FROM labels GROUP BY 1),
@@ -197,11 +197,11 @@ def merged_variants(spark, sf):
     return rounded(made, ["score"], 6)
 
 
-@query("similar_vectors", "N18", twin("", """SELECT vec_id, other, round(score, 6) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rk FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rk = 1 AND score > 0.4""", VECTORS))
+@query("similar_vectors", "N18", twin("", """SELECT vec_id, other, round(score, 6) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rk FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rk = 1 AND score > 0.95""", VECTORS))
 def similar_vectors(spark, sf):
     """Batch form of a semantic cache: the most similar other vector above the threshold."""
-    centres = [row["embedding"] for row in class_centres(spark, sf).orderBy("label").limit(2).collect()]
-    found = rt.similar_pairs(t.table(spark, sf, "embeddings"), key="vec_id", vector="embedding", threshold=0.4, pivots=centres)
+    centres = [row["embedding"] for row in class_centres(spark, sf).orderBy("label").limit(4).collect()]
+    found = rt.similar_pairs(t.table(spark, sf, "embeddings"), key="vec_id", vector="embedding", threshold=0.95, pivots=centres)
     return rounded(found, ["score"], 6)
 
 
