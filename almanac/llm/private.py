@@ -292,5 +292,6 @@ def op8_personal_data(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = personal_data(docs, trained(docs))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("pii_spans").alias("spans"))
