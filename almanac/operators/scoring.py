@@ -32,8 +32,33 @@ def error_table(df: DataFrame, keys: Sequence[str], forecast: str, actual: str)
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in error_metrics(forecast, actual).items()])
 
 
-def errors_at_horizons(df: DataFrame, keys: Sequence[str], forecast: str, actual: str, horizons: Sequence[int]) -> DataFrame:
-    """One row per window with ``mae_<h>d``, ``rmse_<h>d`` and ``mape_<h>d`` over the first ``h`` days.
+def point_scores(
+    paths: DataFrame, keys: Sequence[str], value: str, actual: str, levels: Mapping[str, tuple[float, float]], *, median: str = "median_price"
+) -> DataFrame:
+    """Median, interval hits and widths, and CRPS of each forecast in one pass: the sorted sample of its paths, whose number
+    is fixed, gives all of them."""
+    sample = F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("__x")
+    grouped = paths.groupBy(*keys).agg(sample, F.max(actual).alias(actual)).withColumn("__n", F.size("__x"))
+
+    def at(p: float) -> Column:
+        place = (F.col("__n") - 1) * F.lit(float(p))
+        low = F.get("__x", F.floor(place).cast("int"))
+        return low + (place - F.floor(place)) * (F.get("__x", F.ceil(place).cast("int")) - low)
+
+    def mean(of) -> Column:
+        return F.aggregate(F.transform("__x", of), F.lit(0.0), lambda a, b: a + b) / F.col("__n")
+
+    spread = mean(lambda x, i: (2 * i + 1) * x) / F.col("__n") - mean(lambda x, i: x)
+    made = [at(0.5).alias(median), (mean(lambda x, i: F.abs(x - F.col(actual))) - spread).alias("crps")]
+    for name, (lo, hi) in levels.items():
+        made += [F.col(actual).between(at(lo), at(hi)).cast("int").alias(f"{name}_hit"), (at(hi) - at(lo)).alias(f"{name}_width")]
+    return grouped.select(*keys, actual, *made)
+
+
+def errors_at_horizons(
+    df: DataFrame, keys: Sequence[str], forecast: str, actual: str, horizons: Sequence[int], more: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per window with ``mae_<h>d``, ``rmse_<h>d`` and ``mape_<h>d`` over the first ``h`` days, and ``more`` aggregates.
 
     NULL where day ``h`` itself has no actual yet.
     """
@@ -48,7 +73,7 @@ def errors_at_horizons(df: DataFrame, keys: Sequence[str], forecast: str, actual
             ("mape", 100 * F.avg(F.when(within, F.abs(gap) / F.abs(F.col(actual))))),
         ):
             columns.append(F.when(known, column).alias(f"{name}_{h}d"))
-    return df.groupBy(*keys).agg(*columns)
+    return df.groupBy(*keys).agg(*columns, *more)
 
 
 def interval_scores(

@@ -205,9 +205,8 @@ META = f"meta AS ({_window_sql()})"
 META_COLUMNS = [f"{m}_{h}d" for h in (1, 7, 14) for m in ("mae", "rmse", "mape")]
 
 
-def metadata(spark, sf, scored=None):
-    points = t.medians(spark, sf) if scored is None else t.medians_of(scored)
-    return sc.errors_at_horizons(points, FORECAST, "median_price", "actual", (1, 7, 14))
+def metadata(spark, sf):
+    return sc.errors_at_horizons(t.medians(spark, sf), FORECAST, "median_price", "actual", (1, 7, 14))
 
 
 @query("errors_per_window", "P7", twin("medians", "SELECT entity, model, origin, " + ", ".join(f"round({c}, 4) AS {c}" for c in META_COLUMNS) + " FROM meta", META))
@@ -298,11 +297,11 @@ def ensemble_features(spark, sf):
   FROM (SELECT entity, model, origin, horizon, max(actual) AS actual, quantile_cont(price, 0.5) AS median_price FROM scored GROUP BY 1, 2, 3, 4) GROUP BY 1) m JOIN (SELECT model, avg(i80_hit) AS i80 FROM hits GROUP BY 1) h ON h.model = m.model
   JOIN (SELECT model, avg(crps) AS crps FROM crps GROUP BY 1) c ON c.model = m.model""", HITS + ", " + CRPS))
 def model_comparison(spark, sf):
-    scored = t.scored(spark, sf)
-    errors = sc.error_table(t.medians_of(scored), ["model"], "median_price", "actual").select("model", r("mae").alias("mae"), "n")
-    covered = hits(spark, sf, scored).groupBy("model").agg(r(F.avg("i80_hit"), 6).alias("i80"))
-    spread = sc.crps(scored, POINT, "price", "actual").groupBy("model").agg(r(F.avg("crps"), 3).alias("crps"))
-    return errors.join(covered, "model").join(spread, "model")
+    points = sc.point_scores(t.scored(spark, sf), POINT, "price", "actual", BANDS).groupBy("model")
+    return points.agg(
+        r(F.avg(F.abs(F.col("median_price") - F.col("actual")))).alias("mae"), F.count(F.lit(1)).alias("n"), r(F.avg("i80_hit"), 6).alias("i80"),
+        r(F.avg("crps"), 3).alias("crps"),
+    )
 
 
 @query("degradation_monitor", "P31", twin("medians", """SELECT entity, model, n_recent, n_prior, round(recent_mae, 4) AS recent_mae, round(prior_mae, 4) AS prior_mae, round(u, 4) AS u, round((u - n_recent * n_prior / 2.0 - 0.5)
@@ -361,15 +360,12 @@ def load_quality(spark, sf):
 # ---- dashboards over one row per (entity, model, origin)
 
 def with_probabilistic(spark, sf):
-    """Mean CRPS to 1, 7 and 14 days, coverage and width of the 80 and 95 percent intervals."""
-    upto = {h: F.when(F.col("horizon") <= h, F.col("crps")) for h in (1, 7, 14)}
-    rows = t.scored(spark, sf)
-    spread = sc.crps(rows, POINT, "price", "actual").groupBy(*FORECAST).agg(*[F.avg(c).alias(f"crps_{h}d") for h, c in upto.items()])
-    covered = hits(spark, sf, rows).groupBy(*FORECAST).agg(
-        F.avg("i80_hit").alias("coverage_80_14d"), F.avg("i95_hit").alias("coverage_95_14d"), F.avg("i80_width").alias("sharpness_80_14d")
-    )
-    scored = covered.withColumn("calibration_score_14d", F.abs(F.col("coverage_80_14d") - 0.8))
-    return metadata(spark, sf, rows).join(spread, FORECAST).join(scored, FORECAST)
+    """Errors, mean CRPS to 1, 7 and 14 days, coverage and width of the 80 and 95 percent intervals: one pass over the paths."""
+    points = sc.point_scores(t.scored(spark, sf), POINT, "price", "actual", BANDS)
+    more = [F.avg(F.when(F.col("horizon") <= h, F.col("crps"))).alias(f"crps_{h}d") for h in (1, 7, 14)]
+    more += [F.avg("i80_hit").alias("coverage_80_14d"), F.avg("i95_hit").alias("coverage_95_14d"), F.avg("i80_width").alias("sharpness_80_14d")]
+    rows = sc.errors_at_horizons(points, FORECAST, "median_price", "actual", (1, 7, 14), more)
+    return rows.withColumn("calibration_score_14d", F.abs(F.col("coverage_80_14d") - 0.8))
 
 
 PROB = """prob AS (SELECT m.*, c.crps_1d, c.crps_7d, c.crps_14d, h.coverage_80_14d, h.coverage_95_14d, h.sharpness_80_14d, abs(h.coverage_80_14d - 0.8::DOUBLE) AS calibration_score_14d FROM meta m
@@ -431,9 +427,7 @@ def dashboard_coverage_rate(spark, sf):
 
 @query("dashboard_crps_against_mae", "P30", twin("medians scored", f"SELECT entity, model, origin, round(mae_14d, 4) AS point_forecast_mae, round(crps_14d, 3) AS distribution_crps FROM prob WHERE mae_14d IS NOT NULL AND origin >= DATE '{SINCE}'", FULL))
 def dashboard_crps_against_mae(spark, sf):
-    scored = t.scored(spark, sf)
-    spread = sc.crps(scored, POINT, "price", "actual").groupBy(*FORECAST).agg(F.avg("crps").alias("crps_14d"))
-    rows = metadata(spark, sf, scored).filter(F.col("mae_14d").isNotNull() & (F.col("origin") >= SINCE)).join(spread, FORECAST)
+    rows = with_probabilistic(spark, sf).filter(F.col("mae_14d").isNotNull() & (F.col("origin") >= SINCE))
     return rows.select(*FORECAST, r("mae_14d").alias("point_forecast_mae"), r("crps_14d", 3).alias("distribution_crps"))
 
 
@@ -486,7 +480,6 @@ def dashboard_monthly(spark, sf):
   min(origin) AS earliest_forecast, max(origin) AS latest_forecast FROM meta LEFT JOIN (SELECT entity, model, origin, crps_14d FROM prob) p USING (entity, model, origin) GROUP BY 1""", FULL))
 def dashboard_availability(spark, sf):
     known = {f"has_{h}d_metrics": F.count(f"mae_{h}d") for h in (1, 7, 14)} | {"has_probabilistic_metrics": F.count("crps_14d")}
-    rows = metadata(spark, sf).join(with_probabilistic(spark, sf).select(*FORECAST, "crps_14d"), FORECAST, "left")
-    return rows.groupBy("model").agg(
+    return with_probabilistic(spark, sf).groupBy("model").agg(
         F.count(F.lit(1)).alias("total_forecasts"), *[c.alias(n) for n, c in known.items()], F.min("origin").alias("earliest_forecast"), F.max("origin").alias("latest_forecast")
     )

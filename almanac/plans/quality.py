@@ -9,6 +9,7 @@ from almanac.plans import tables as t
 from almanac.plans.daily import region_arrays
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
+from almanac.session import fresh_path
 
 NOW = "TIMESTAMP '2001-12-01 00:00:00'"
 
@@ -187,8 +188,13 @@ def quarantined_rows(spark, sf):
 
 @query("partition_type_drift", "Q22", """SELECT * FROM (VALUES ('old', 'key', 'bigint'), ('new', 'key', 'string')) v("partition", "column", "type")""")
 def partition_type_drift(spark, sf):
+    """Two partitions are written with different types; their files' own schemas are compared."""
+    path = fresh_path(spark, "drift")
     rows = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
-    return q.partition_types({"old": rows, "new": rows.withColumn("key", F.col("key").cast("string"))})
+    kinds = {"old": rows, "new": rows.withColumn("key", F.col("key").cast("string"))}
+    for name, part in kinds.items():
+        part.write.parquet(f"{path}/part={name}")
+    return q.partition_types({name: spark.read.parquet(f"{path}/part={name}") for name in kinds})
 
 
 @query("partition_rewritten_types", "Q22 S7", "SELECT o_orderkey AS key, CAST(o_totalprice AS BIGINT) AS price, CAST(NULL AS VARCHAR) AS note FROM (SELECT o_orderkey, trunc(o_totalprice) AS o_totalprice FROM orders)")

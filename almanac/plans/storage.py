@@ -117,3 +117,12 @@ def json_by_day(spark, sf):
 def normalized_columns(spark, sf):
     raw = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").toDF("Market and Exchange Names", "Report-Date", "Open Interest_all")
     return rd.normalized_names(raw, {"Market and Exchange Names": "market_name"}, suffixes=("_all",))
+
+
+@query("dates_from_file_paths", "X8", "SELECT event_id, CAST(ts AS DATE) AS file_date FROM events")
+def dates_from_file_paths(spark, sf):
+    """Files that carry their day in the path alone; the day is read back from there."""
+    path = fresh_path(spark, "dated")
+    rows = t.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd").alias("file"))
+    rows.repartition("file").write.partitionBy("file").json(path)
+    return rd.with_file_date(spark.read.schema("event_id bigint").json(path)).select("event_id", "file_date")

@@ -50,7 +50,8 @@ def read_days(spark: SparkSession, path: str, first: str, last: str, *, day: str
 
 
 def with_file_date(df: DataFrame) -> DataFrame:
-    return df.withColumn("file_date", date_in_name(F.input_file_name()))
+    """The day in the path of each row's file: an eight-digit run right after a slash, an equals sign or a name's first part."""
+    return df.withColumn("file_date", date_in_name(F.regexp_extract(F.input_file_name(), r"[/=_-](\d{8})(?:[/._-][^/]*)*$|[/=](\d{8})/[^/]*$", 0)))
 
 
 def as_strings(df: DataFrame) -> DataFrame:
