@@ -25,10 +25,19 @@ def _weighted(parts: Sequence) -> list[tuple]:
 
 def mixed(parts: Sequence[Column | str], seed: int) -> Column:
     """A number in [0, PRIME) from up to five integer columns; more are an error."""
-    total = F.lit(seed).cast("bigint")
-    for multiplier, part in _weighted(parts):
+    return finished(F.lit(seed).cast("bigint") + linear(parts))
+
+
+def linear(parts: Sequence[Column | str], after: int = 0) -> Column:
+    """The linear part of :func:`mixed` for parts that follow ``after`` others: what repeats on many rows is formed once."""
+    total = F.lit(0).cast("bigint")
+    for multiplier, part in _weighted([0] * after + list(parts))[after:]:
         column = F.col(part) if isinstance(part, str) else part
         total = total + (column.cast("bigint") % PRIME) * F.lit(multiplier).cast("bigint")
+    return total
+
+
+def finished(total: Column) -> Column:
     for shift, constant in ROUNDS:
         rest = total % PRIME
         total = rest * (rest + shift) + constant

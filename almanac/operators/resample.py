@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from almanac.functions.picks import mixed, pick
+from almanac.functions.picks import finished, linear, mixed, pick
 
 # Cumulative probabilities of a Poisson variable with mean one, in millionths.
 POISSON_STEPS = (367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990)
@@ -100,8 +100,9 @@ def poisson_bootstrap(
 
     Every row weighs itself in each replicate; only (key, replicate) sums are shuffled.
     """
-    unit = mixed(["replicate", *row_id], seed) % 1000000
-    units = _replicates(df.select(*keys, *row_id, top, bottom), n_replicates).select(
+    own = df.select(*keys, top, bottom, linear(row_id, after=1).alias("__own"))
+    unit = finished(F.lit(seed).cast("bigint") + linear(["replicate"]) + F.col("__own")) % 1000000
+    units = _replicates(own, n_replicates).select(
         *keys, "replicate", top, bottom, F.explode(F.array(unit)).alias("__u")  # one evaluation: a generator is not inlined
     )
     weighted = units.select(*keys, "replicate", top, bottom, poisson_weight("__u").alias("__w"))
