@@ -12,12 +12,14 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def canonical_url(url: Column) -> Column:
-    """Host and path without scheme, www., default port, closing slash and fragment; parameters sorted, utm_* and ref left out."""
+    """Host and path without scheme, www., default port, closing slash and fragment; parameters sorted, utm_* and ref left out.
+    Null for an address without a host."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(path_of(url), r"/+$", "")
     asked = F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&")
     kept = F.filter(asked, lambda p: (p != "") & ~F.rlike(p, F.lit("^(utm_[^=]*|ref)(=|$)")))
-    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(""))
+    asked = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise("")
+    return F.when(host != "", F.concat(host, path, asked))
 
 
 def _field(headers: Column, name: str) -> Column:
@@ -35,7 +37,7 @@ def resolve_revisits(records: DataFrame, scratch: Scratch) -> DataFrame:
     (no validator in common) or no_response. A resolved or unverified revisit gets the response's headers, renewed by those
     of its own that a 304 may renew; otherwise a record shows its own.
 
-    A null url or captured_at resolves nothing and is resolved by nothing; null headers are none; a kind other than
+    A null url, one without a host, or a null captured_at resolves nothing and is resolved by nothing; null headers are none; a kind other than
     ``response`` is a revisit. Repeated rows each get their row. Other columns are not read, whatever their names.
 
     Rows are range-partitioned by (URL, moment), so a URL with a third of all captures spans many tasks; what earlier
