@@ -93,14 +93,17 @@ def entity_coverage(expected: DataFrame, actual: DataFrame, entity: str) -> Data
     return a.join(b, entity, "full").select(entity, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), status.alias("status"))
 
 
-def health_score(fresh: DataFrame, nulls: DataFrame, kept: DataFrame, covered: DataFrame) -> DataFrame:
-    """40 points freshness, 30 completeness, 20 retention, 10 coverage; each input is a handful of summary rows."""
-    freshness_score = fresh.agg(40 * F.avg((F.col("status") == "OK").cast("double"))).scalar()
+def health_score(fresh: DataFrame, nulls: DataFrame, covered: DataFrame, base: str) -> DataFrame:
+    """40 points freshness, 30 completeness, 20 retention against the ``base`` layer, 10 coverage; each input is a handful of
+    summary rows, and the freshness rows already carry the layers' sizes, so no layer is read again for its retention."""
+    whole = F.max(F.when(F.col("layer") == base, F.col("total_rows")))
+    layered = fresh.agg(
+        (40 * F.avg((F.col("status") == "OK").cast("double"))).alias("f"), (20 * F.avg("total_rows") / F.nullif(whole, F.lit(0))).alias("k")
+    )
     null_score = nulls.agg(F.greatest(F.lit(0.0), 30 * (1 - F.coalesce(F.avg("null_pct"), F.lit(0.0)) / 100))).scalar()
-    kept_score = kept.agg(20 * F.avg("retention_pct") / 100).scalar()
-    coverage = covered.agg((10 * F.avg((F.col("status") == "PRESENT").cast("double"))).alias("coverage_score"))
-    parts = coverage.select(
-        freshness_score.alias("freshness_score"), null_score.alias("null_score"), kept_score.alias("retention_score"), "coverage_score"
+    coverage = covered.agg(10 * F.avg((F.col("status") == "PRESENT").cast("double"))).scalar()
+    parts = layered.select(
+        F.col("f").alias("freshness_score"), null_score.alias("null_score"), F.col("k").alias("retention_score"), coverage.alias("coverage_score")
     )
     total = F.col("freshness_score") + F.col("null_score") + F.col("retention_score") + F.col("coverage_score")
     return parts.select("*", total.alias("total_score"))

@@ -125,10 +125,12 @@ def fill_forward_arrays(spark, sf):
 def unified_daily(spark, sf):
     """Bars, one global series, a wide currency series and nested regions on one gap-free (entity, date) grid.
 
-    Every source is reduced to its daily grain before any join, so the joins and windows after that see at most
-    entities × days rows however many raw rows there are.
+    The orders are read once and reduced to days, entities and nations; bars, currencies and regions come from that. Every
+    source is at its daily grain before any join, so the joins and windows after that see at most entities × days rows
+    however many raw rows there are.
     """
-    daily = written(t.bars(spark, sf), "bars")
+    days = written(t.nation_days(spark, sf), "days")
+    daily = t.bars_of(days)
     raw = sp.complete_grid(sp.data_spine(daily, ["entity"]), daily, ["entity", "date"])
     flagged = raw.select(
         "*", F.col("close").isNotNull().alias("traded"),
@@ -138,9 +140,9 @@ def unified_daily(spark, sf):
     any_missing = F.lit(False)
     for name in FX:
         any_missing = any_missing | F.col(name).isNull()
-    market = sp.full_merge([sp.date_spine(daily), t.global_series(spark, sf), t.fx_wide(spark, sf)], ["date"])
+    market = sp.full_merge([sp.date_spine(daily), t.global_series(spark, sf), t.fx_of(days)], ["date"])
     market = fill.fill_days(market.select("*", any_missing.cast("int").alias("fx_missing")), ["vix", *FX])
-    arrays = region_arrays(spark, sf)
+    arrays = nested.nest(t.regional_of(days), ["date", "entity"], ("region", "temp_max_c"), "weather_data")
     regions = arrays.select(
         "date", "entity", F.size("weather_data").cast("bigint").alias("n_regions"),
         nested.array_high("weather_data", "temp_max_c").alias("hottest"),

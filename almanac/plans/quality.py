@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.operators import nested, quality as q, spine as sp
+from almanac.operators.lineage import written
 from almanac.plans import tables as t
 from almanac.plans.daily import region_arrays
 from almanac.plans.registry import query, r, rounded
@@ -14,10 +15,10 @@ from almanac.session import fresh_path
 NOW = "TIMESTAMP '2001-12-01 00:00:00'"
 
 
-def layers(spark, sf):
+def layers(spark, sf, bars=None):
     return {
         "landing": (t.table(spark, sf, "lineitem"), "l_shipdate"), "bronze": (t.table(spark, sf, "orders"), "o_orderdate"),
-        "silver": (t.bars(spark, sf), "date"),
+        "silver": (t.bars(spark, sf) if bars is None else bars, "date"),
     }
 
 
@@ -26,8 +27,8 @@ FRESH = LAYERS + f""", fresh AS (SELECT layer, CAST(max(d) AS DATE) AS latest_da
   CASE WHEN date_diff('second', max(d), {NOW}) / 3600.0 > 2000 THEN 'CRITICAL' WHEN date_diff('second', max(d), {NOW}) / 3600.0 > 1500 THEN 'WARNING' ELSE 'OK' END AS status FROM layers GROUP BY 1)"""
 
 
-def fresh(spark, sf):
-    return q.freshness(layers(spark, sf), F.lit("2001-12-01").cast("timestamp"), max_age_hours=2000)
+def fresh(spark, sf, bars=None):
+    return q.freshness(layers(spark, sf, bars), F.lit("2001-12-01").cast("timestamp"), max_age_hours=2000)
 
 
 @query("freshness_by_layer", "Q1 A1", twin("bars", "SELECT layer, latest_date, round(hours_old, 4) AS hours_old, total_rows, distinct_dates, status FROM fresh", FRESH))
@@ -93,7 +94,8 @@ def entity_coverage(spark, sf):
   (SELECT avg(CASE WHEN status = 'OK' THEN 1 ELSE 0 END) FROM fresh) AS f, (SELECT greatest(0, 30 * (1 - avg(null_pct) / 100)) FROM nulls) AS n, (SELECT 20 * avg(retention_pct) / 100 FROM kept) AS k, (SELECT 10 * avg(CASE WHEN status = 'PRESENT' THEN 1 ELSE 0 END) FROM cover) AS c)""",
   FRESH + ", " + NULLS + ", " + KEPT.replace(LAYERS + ", ", "") + ", " + COVER))
 def health_score(spark, sf):
-    made = q.health_score(fresh(spark, sf), q.null_rates(t.grid(spark, sf), CHECKED), kept(spark, sf), covered(spark, sf))
+    bars = written(t.bars(spark, sf), "bars")
+    made = q.health_score(fresh(spark, sf, bars), q.null_rates(t.grid_of(bars), CHECKED), covered(spark, sf), "landing")
     return rounded(made, made.columns, 6)
 
 

@@ -28,7 +28,10 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     """The daily bars are written once, so the raw table is scanned once for the spine's ends, its entities and the values."""
-    daily = written(bars(spark, sf), "bars")
+    return grid_of(written(bars(spark, sf), "bars"))
+
+
+def grid_of(daily: DataFrame) -> DataFrame:
     return sp.complete_grid(sp.data_spine(daily, ["entity"]), daily, ["entity", "date"])
 
 
@@ -72,6 +75,39 @@ def regional(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nation_days(spark: SparkSession, sf: str) -> DataFrame:
+    """All that the bars, the currency series and the regions need, from one pass over the orders: (date, entity, nation) rows,
+    bounded by the calendar."""
+    regions = F.broadcast(table(spark, sf, "region"))  # 5 rows
+    nations = F.broadcast(table(spark, sf, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left"))  # 25 rows
+    customers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return orders.groupBy(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("entity"), "n_name", "r_name").agg(
+        F.min_by("o_totalprice", "o_orderkey").alias("open"), F.max_by("o_totalprice", "o_orderkey").alias("close"),
+        F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.max("o_totalprice").alias("high"),
+        F.min("o_totalprice").alias("low"), F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("balance"),
+    )
+
+
+def bars_of(days: DataFrame) -> DataFrame:
+    return days.groupBy("entity", "date").agg(
+        F.min_by("open", "first_key").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_key").alias("close"),
+        F.sum("n").alias("volume"),
+    )
+
+
+def fx_of(days: DataFrame) -> DataFrame:
+    wide = [F.max(F.when(F.col("r_name") == name, F.col("high"))).alias(c) for name, c in REGION_COLUMNS.items()]
+    return days.filter("r_name IS NOT NULL").groupBy("date").agg(*wide)
+
+
+def regional_of(days: DataFrame) -> DataFrame:
+    return days.filter("n_name IS NOT NULL").select(
+        "date", "entity", F.col("n_name").alias("region"), F.col("high").alias("temp_max_c"), F.col("low").alias("temp_min_c"),
+        F.col("n").alias("n_orders"), F.col("balance").alias("precipitation_mm"),
+    )
+
+
 def news(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "event_id", F.to_date("ts").alias("article_date"), "ts",
