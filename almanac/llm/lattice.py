@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from almanac.llm.base import query, table
 from almanac.llm.repeats import Rolling, _mixed
 
-SMOOTHING, SEED, LONGEST, GROUP, MASK = 0.5, 17, 512, 1 << 22, (1 << 64) - 1
+SMOOTHING, SEED, LONGEST, GROUP, MASK = 0.5, 17, 512, 1 << 20, (1 << 64) - 1
 SPACE_MARK = "▁"
 WIDTHS = 1 + sum((np.arange(256) >= first).astype(np.int64) for first in (0xC0, 0xE0, 0xF0))  # bytes of a character, by its first
 MODEL = "piece_bpe_32k.model"
@@ -105,10 +105,10 @@ class Lattice:
         order = np.argsort(starts - ends, kind="stable")
         starts, size = starts[order], (ends - starts)[order]
         count = len(size) - np.searchsorted(size[::-1], np.arange(size[0] + 1))
-        base = np.cumsum(count) - count
-        step = np.repeat(np.arange(size[0] + 1), count)
-        rank = np.arange(len(step)) - base[step]
-        here = np.flatnonzero(step < size[rank])
+        starts, size, base = starts.astype(np.int32), size.astype(np.int32), (np.cumsum(count) - count).astype(np.int32)
+        step = np.repeat(np.arange(size[0] + 1, dtype=np.int32), count)
+        rank = np.arange(len(step), dtype=np.int32) - base[step]
+        here = np.flatnonzero(step < size[rank]).astype(np.int32)
         at, row, offset = starts[rank[here]] + step[here], rank[here], step[here]
         covered, missing = np.zeros(len(buffer), bool), (here, at, row, offset)
         whole = lead[at] == at
@@ -134,7 +134,8 @@ class Lattice:
         from_.append(here[bare])
         to.append(base[offset[bare] + 1] + row[bare])
         piece.append(pieces.byte_id[buffer[at[bare]]])
-        from_, to, piece = np.concatenate(from_), np.concatenate(to), np.concatenate(piece)
+        from_, to, piece = np.concatenate(from_), np.concatenate(to), np.concatenate(piece).astype(np.int32)
+        del here, at, row, offset, missing, bare, rank
         sorted_ = np.argsort(to, kind="stable")
         from_, to, piece = from_[sorted_], to[sorted_], piece[sorted_]
         value, weight, total = np.empty(len(to)), pieces.score[piece], np.full(len(step), -np.inf)
@@ -156,7 +157,7 @@ class Lattice:
         reached = total[to]
         reached[reached == -np.inf] = 0
         self.sums = np.concatenate([[0.0], np.cumsum(np.exp(value - reached))])
-        self.low, self.high = np.zeros(len(step), np.int64), np.zeros(len(step), np.int64)
+        self.low, self.high = np.zeros(len(step), np.int32), np.zeros(len(step), np.int32)
         self.low[to[first]], self.high[to[first]] = first, last - 1
         self.from_, self.piece = from_, piece
         self.node, self.node_end = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
@@ -232,6 +233,14 @@ def _parts(raw: bytes):
     yield raw[at:]
 
 
+def _sliced(batch: pa.RecordBatch, sizes: pa.Array):
+    """A batch in slices of some megabytes, by a size for each row."""
+    total = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False))) if len(sizes) else np.zeros(0)
+    edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(total // GROUP)) + 1, [len(sizes)]]))
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def encode(
     docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", out: str = "pieces", smoothing: float = SMOOTHING, seed: int = SEED,
 ) -> DataFrame:
@@ -252,15 +261,16 @@ def encode(
     def run(batches):
         roll = Rolling()
         for batch in batches:
-            values = batch.column(text_at).to_pylist()
-            marks = [xxhash.xxh64_intdigest(repr(k), seed) for k in batch.column(key_at).to_pylist()]
-            found = [None if v is None else [] for v in values]
-            for jobs in _grouped(values):
-                keys = [(marks[row] + 7919 * n) & MASK for row, n, _ in jobs]
-                for (row, _, _), ids in zip(jobs, segment(pieces, roll, [raw for *_, raw in jobs], keys), strict=True):
-                    found[row].append(ids)
-            lists = pa.array([None if f is None else np.concatenate(f) if f else [] for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], schema=pa.schema([*batch.schema, pa.field(out, lists.type)]))
+            for part in _sliced(batch, pc.binary_length(batch.column(text_at))):
+                values = part.column(text_at).to_pylist()
+                marks = [xxhash.xxh64_intdigest(repr(k), seed) for k in part.column(key_at).to_pylist()]
+                found = [None if v is None else [] for v in values]
+                for jobs in _grouped(values):
+                    keys = [(marks[row] + 7919 * n) & MASK for row, n, _ in jobs]
+                    for (row, _, _), ids in zip(jobs, segment(pieces, roll, [raw for *_, raw in jobs], keys), strict=True):
+                        found[row].append(ids)
+                lists = pa.array([None if f is None else np.concatenate(f) if f else [] for f in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], schema=pa.schema([*part.schema, pa.field(out, lists.type)]))
 
     return clean.mapInArrow(run, T.StructType([*clean.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -296,12 +306,13 @@ def decode(rows: DataFrame, model: str, pieces: str = "pieces", out: str = "deco
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(at)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.array([0 if v is None else v for v in pc.list_value_length(lists).to_pylist()], np.int64)
-            split = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-            texts = [None if null else decoded(table_, ids).decode() for ids, null in zip(split, lists.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, "string")], schema=pa.schema([*batch.schema, pa.field(out, pa.string())]))
+            for part in _sliced(batch, pc.list_value_length(batch.column(at))):
+                lists = part.column(at)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.array([0 if v is None else v for v in pc.list_value_length(lists).to_pylist()], np.int64)
+                split = np.split(flat, np.cumsum(sizes)[:-1])
+                texts = [None if null else decoded(table_, ids).decode() for ids, null in zip(split, lists.is_null().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, "string")], schema=pa.schema([*part.schema, pa.field(out, pa.string())]))
 
     return clean.mapInArrow(run, T.StructType([*clean.schema.fields, T.StructField(out, T.StringType())]))
 

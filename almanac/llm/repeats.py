@@ -30,13 +30,15 @@ class Rolling:
     def read(self, raw: bytes) -> int:
         size = len(raw)
         if len(self.up) <= size:
-            step = np.ones(2 * size + 2, np.uint64)
+            step = np.ones(size + size // 4 + 2, np.uint64)
             step[1:] = BASE
             self.up = np.multiply.accumulate(step)
             step[1:] = pow(BASE, -1, 1 << 64)
             self.down = np.multiply.accumulate(step)
         self.sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.values[np.frombuffer(raw, np.uint8)] * self.up[:size], out=self.sums[1:])
+        terms = self.values[np.frombuffer(raw, np.uint8)]
+        terms *= self.up[:size]
+        np.cumsum(terms, out=self.sums[1:])
         return size
 
     def of(self, start, end) -> np.ndarray:
