@@ -36,19 +36,25 @@ def shingle_hashes(raw: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b - 1], SEED) for a, b in cut], "<u8")
 
 
-def simhash(raw: bytes, words: int = WORDS) -> int:
-    """Fingerprint of one text, as a signed 64-bit integer; zero for a text without words."""
+def shingle_set(raw: bytes, words: int) -> np.ndarray:
+    every = list(shingle_hashes(raw, words))
+    return np.unique(np.concatenate(every)) if every else np.zeros(0, "<u8")
+
+
+def simhash(raw: bytes, words: int = WORDS, distinct: bool = False) -> int:
+    """Fingerprint of one text, as a signed 64-bit integer; zero for a text without words. With ``distinct`` a repeated shingle
+    counts once."""
     set_bits, total = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(raw, words):
+    for hashes in [shingle_set(raw, words)] if distinct else shingle_hashes(raw, words):
         set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(hashes)
     return int(np.packbits(2 * set_bits > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: Column, words: int = WORDS) -> Column:
+def fingerprint(text: Column, words: int = WORDS, distinct: bool = False) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash((t or "").encode(), words) for t in texts], dtype="int64")
+        return pd.Series([simhash((t or "").encode(), words, distinct) for t in texts], dtype="int64")
 
     return of(text)
 
@@ -61,8 +67,7 @@ def _mask(low: int, high: int, without: int | None = None) -> int:
 def _shingle_set(text: Column, words: int) -> Column:
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        every = (list(shingle_hashes((t or "").encode(), words)) for t in texts)
-        return pd.Series([np.unique(np.concatenate(h)).view(np.int64) if h else np.zeros(0, np.int64) for h in every])
+        return pd.Series([shingle_set((t or "").encode(), words).view(np.int64) for t in texts])
 
     return of(text)
 
@@ -88,12 +93,15 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, similarity: float | None = None,
+    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, distinct: bool = False,
+    similarity: float | None = None, shingle: int = 5,
 ) -> DataFrame:
     """(key, print, component_id) for each row: its fingerprint and the smallest key reachable over links.
 
-    Two texts are linked when their fingerprints differ in at most ``bits`` bits and, if ``similarity`` is given, their sets of
-    shingles also have at least that Jaccard similarity; the check reads the texts of linked classes only. Texts with equal
+    Two texts are linked when their fingerprints (of ``words``-word shingles) differ in at most ``bits`` bits and, if ``similarity``
+    is given, their sets of ``shingle``-word shingles also have at least that Jaccard similarity; the check reads the texts of
+    linked classes only. Fingerprints of distinct single words move least when few words change, so with a check they find
+    nearly all similar texts at seven bits. Texts with equal
     fingerprints (and equal texts, if they are checked) are one class before anything is compared, so copies are never paired,
     however many there are.
 
@@ -104,7 +112,7 @@ def near_duplicates(
     whole = F.coalesce(column(docs, text), F.lit(""))
     mark = F.xxhash64(whole) if similarity else F.lit(0).cast("bigint")
     source = docs.select(column(docs, key).alias("key"), whole.alias("text"), mark.alias("mark"))
-    prints = scratch.keep(source.select("key", "mark", fingerprint(F.col("text"), words).alias("print")))
+    prints = scratch.keep(source.select("key", "mark", fingerprint(F.col("text"), words, distinct).alias("print")))
     classes = prints.groupBy("print", "mark").agg(F.min("key").alias("head"))
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
     met = links(classes.select("cid", "print"), bits)
@@ -113,7 +121,7 @@ def near_duplicates(
         linked = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
         linked = linked.select("cid", "head", F.col("mark").alias("of_mark"))
         heads = source.join(linked, F.col("key").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("of_mark"))).dropDuplicates(["cid"])
-        sets = scratch.keep(heads.select("cid", _shingle_set(F.col("text"), words).alias("shingles")))
+        sets = scratch.keep(heads.select("cid", _shingle_set(F.col("text"), shingle).alias("shingles")))
         one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
         same = F.size(F.array_intersect("of_a", "of_b"))
         alike = same >= similarity * (F.size("of_a") + F.size("of_b") - same)

@@ -11,10 +11,10 @@ from almanac.llm.components import components
 from almanac.llm.simhash import links, near_duplicates, segments, simhash
 
 
-def plain(text, words=4):
+def plain(text, words=4, distinct=False):
     tokens = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()]
     shingles = [b" ".join(tokens[i:i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
-    hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+    hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in (set(shingles) if distinct else shingles)]
     bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
     return (bits - (1 << 64) if bits >> 63 else bits), set(hashes)
 
@@ -30,9 +30,9 @@ def roots(n, linked):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="aB é\n\tÉ", max_size=60), st.integers(1, 5))
-def test_fingerprints(text, words):
-    assert simhash(text.encode(), words) == plain(text, words)[0]
+@given(st.text(alphabet="aB é\n\tÉ", max_size=60), st.integers(1, 5), st.booleans())
+def test_fingerprints(text, words, distinct):
+    assert simhash(text.encode(), words, distinct) == plain(text, words, distinct)[0]
 
 
 @pytest.mark.parametrize("bits", [4, 7])
@@ -67,12 +67,12 @@ def corpus(seed):
     return [*texts, texts[0].upper(), texts[0], "", None, " \n ", "one"]
 
 
-@pytest.mark.parametrize(("words", "bits", "similarity"), [(4, 4, None), (5, 7, 0.8)])
-def test_components_match_brute_force(spark, words, bits, similarity):
+@pytest.mark.parametrize(("words", "bits", "distinct", "similarity"), [(4, 4, False, None), (1, 7, True, 0.8)])
+def test_components_match_brute_force(spark, words, bits, distinct, similarity):
     texts = corpus(words)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, print int").repartition(3)
-    got = {r.doc_id: (r.print, r.component_id) for r in near_duplicates(docs, Scratch(spark, "t"), words=words, bits=bits, similarity=similarity).collect()}
-    seen = [plain(t, words) for t in texts]
+    got = {r.doc_id: (r.print, r.component_id) for r in near_duplicates(docs, Scratch(spark, "t"), words=words, bits=bits, distinct=distinct, similarity=similarity).collect()}
+    seen = [(plain(t, words, distinct)[0], plain(t, 5)[1]) for t in texts]
     mask = (1 << 64) - 1
 
     def linked(i, j):
