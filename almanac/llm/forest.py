@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.llm.base import Scratch, column, query, table
+from almanac.llm.base import Scratch, bounded_sample, column, query, table
 from almanac.llm.components import components
 
 TREES, LEAF, SPILL, SAMPLE, LEAST = 10, 1024, 0.05, 20_000, 64
@@ -156,7 +156,7 @@ def linked_vectors(
 
 def _fitted(classes: DataFrame, threshold: float, trees: int, leaf: int, spill: float, sample: int, seed: int) -> dict[int, list]:
     total = classes.count()
-    drawn = classes.select("vector").orderBy(F.xxhash64("cid")).limit(sample).toPandas()["vector"]
+    drawn = bounded_sample(classes, sample, "cid").select("vector").toPandas()["vector"]
     forests = {}
     for length, part in drawn.groupby(drawn.map(len)):
         x = _unit(part.to_list())

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from almanac.llm.base import Scratch, column, query, table
+from almanac.llm.base import Scratch, bounded_sample, column, query, table
 
 KINDS = ("email", "ip", "card", "phone")
 CORE, SIDE, HIDDEN, TAGS = 32, 32, 16, 2 * len(KINDS) + 1
@@ -239,7 +239,7 @@ def all_spans(text: str, own: list, model_spans: list) -> list[tuple[str, int, i
     return sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def trained(docs: DataFrame, text: str = "text", windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger:
+def trained(docs: DataFrame, scratch: Scratch, text: str = "text", windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger:
     """A tagger learnt from at most ``windows`` windows with a digit or an at sign, those with the smallest hashes, half of them
     (if there are so many) with a span; the spans of the fixed patterns are the labels."""
 
@@ -254,9 +254,9 @@ def trained(docs: DataFrame, text: str = "text", windows: int = TRAIN_WINDOWS, e
             yield pa.RecordBatch.from_arrays([pa.array(x, "binary"), pa.array(y, "binary")], names=["x", "y"])
 
     marked = docs.select(column(docs, text).alias("text")).filter(F.rlike("text", F.lit("[0-9@]")))
-    cut = marked.mapInArrow(label, "x binary, y binary").distinct()
+    cut = scratch.keep(marked.mapInArrow(label, "x binary, y binary").distinct())
     some = F.hex("y") != "0" * (2 * WIDTH)
-    half = [cut.filter(wanted).orderBy(F.xxhash64("x"), "x", "y").limit(windows // 2) for wanted in (some, ~some)]
+    half = [bounded_sample(cut.filter(wanted), windows // 2, "x", "y") for wanted in (some, ~some)]
     drawn = half[0].unionByName(half[1]).toPandas()
     read = lambda c: np.array([np.frombuffer(bytes(v), np.uint8) for v in drawn[c]], np.int64).reshape(-1, WIDTH)
     model = Tagger()
@@ -290,7 +290,7 @@ def personal_data(docs: DataFrame, model: Tagger, key: str = "doc_id", text: str
 @query("op8_personal_data")
 def op8_personal_data(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = personal_data(docs, trained(docs))
+    found = personal_data(docs, trained(docs, Scratch(spark, "op8")))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]

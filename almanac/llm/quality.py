@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almanac.llm.base import Scratch, column, query, table
+from almanac.llm.base import Scratch, bounded_sample, column, query, table
 
 TRAIN_ROWS, BINS, COARSE, PAIRS = 20_000, 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, SHRINK, LEAST = 150, 60, 0.1, 1.0, 10
@@ -184,7 +184,7 @@ def scored(
     seen = scratch.keep(featured(docs, key, text))
     marks = labels.select(column(labels, key).alias("of"), column(labels, label).alias("label")).dropna().groupBy("of").agg(F.min("label").alias("label"))
     known = seen.filter(~held_out(F.col("key"))).join(marks, F.col("key") == F.col("of")).select("key", "features", "label")
-    drawn = known.orderBy(F.xxhash64("key"), "key", "features").limit(train_rows).select("features", "label").toPandas()
+    drawn = bounded_sample(scratch.keep(known), train_rows, "key", "features").select("features", "label").toPandas()
     x = np.stack(drawn["features"].to_list()) if len(drawn) else np.zeros((0, len(FEATURES)))
     model = AdditiveModel(x, (drawn["label"].to_numpy() > 0).astype(float))
 

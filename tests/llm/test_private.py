@@ -6,6 +6,7 @@ import re
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
+from almanac.llm.base import Scratch
 from almanac.llm.private import KINDS, TAGS, WIDTH, Tagger, _tagged, _windows, all_spans, base_spans, found_spans, personal_data, trained, valid
 
 PLAIN = {
@@ -65,7 +66,7 @@ def planted(seed, n):
 
 
 def test_the_network_finds_held_out_spans(spark):
-    model = trained(spark.createDataFrame([(t,) for t in planted(1, 500)], "text string"))
+    model = trained(spark.createDataFrame([(t,) for t in planted(1, 500)], "text string"), Scratch(spark, "t"))
     texts = planted(2, 120)
     hit = total = 0
     for text, spans in zip(texts, found_spans(texts, model), strict=True):
@@ -90,4 +91,4 @@ def test_rows_nulls_and_clashing_names(spark):
     got = personal_data(docs, Tagger()).collect()
     assert sorted((str(r.doc_id), [tuple(s) for s in r.base_spans]) for r in got) == [("1", [("email", 5, 11)])] * 2 + [("3", []), ("None", [])]
     assert personal_data(docs.limit(0), Tagger()).collect() == []
-    assert trained(docs.limit(0)).p["move"].shape == (TAGS, TAGS)
+    assert trained(docs.limit(0), Scratch(spark, "t")).p["move"].shape == (TAGS, TAGS)
