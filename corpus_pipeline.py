@@ -12,7 +12,7 @@ from almanac.llm.quality import scored
 from almanac.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-WORDS, BITS, SIMILARITY = 5, 7, 0.8
+SHINGLE, SIMILARITY, BITS = 5, 0.8, 7
 
 
 def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -28,9 +28,10 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest doc_id stays: texts whose five-word SimHash differs in at
-    most seven bits and whose five-word shingles have a similarity of at least 0.8."""
-    found = near_duplicates(docs, Scratch(spark, "pipeline-simhash"), words=WORDS, bits=BITS, similarity=SIMILARITY)
+    """Of every group of near copies the document with the smallest doc_id stays: texts whose SimHash over distinct words differs
+    in at most seven bits and whose five-word shingles have a similarity of at least 0.8."""
+    scratch = Scratch(spark, "pipeline-simhash")
+    found = near_duplicates(docs, scratch, words=1, distinct=True, bits=BITS, similarity=SIMILARITY, shingle=SHINGLE)
     return _where(docs, found.filter("doc_id <> component_id"), "left_anti")
 
 
@@ -56,7 +57,7 @@ def _redacted(text: Column, spans: Column) -> Column:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; n_chars is counted anew."""
-    found = personal_data(docs.select(*COLUMNS), trained(docs))
+    found = personal_data(docs.select(*COLUMNS), trained(docs, Scratch(spark, "pipeline-private")))
     clean = F.when(F.size("pii_spans") > 0, _redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
     return found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
