@@ -70,9 +70,10 @@ def t_quantile(p: float, df: float) -> float:
 
 
 def binomial_upper(k: int, n: int) -> float:
-    """P(X >= k) for a fair coin."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(int(k), int(n) + 1)]
-    return min(1.0, float(np.exp(logs).sum())) if logs else 0.0
+    """P(X >= k) for a fair coin, by the incomplete beta function."""
+    if k <= 0:
+        return 1.0
+    return 0.0 if k > n else min(1.0, beta_share(float(k), float(n - k + 1), 0.5))
 
 
 @F.pandas_udf(DoubleType())

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 # Chunk size and overlap by kind of text.
 SIZES = {"code": (1024, 200), "faq": (256, 50), "narrative": (512, 100), "general": (512, 50)}
@@ -27,11 +28,29 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+@F.pandas_udf(ArrayType(StructType().add("a", "integer").add("b", "integer").add("n", "integer")))
+def _spans(counts: pd.Series, size: pd.Series, keep: pd.Series) -> pd.Series:
+    """Chunks (first and last sentence, words) of one text from its sentences' word counts; only the counts come here."""
+    out = []
+    for words, most, held in zip(counts, size, keep, strict=True):
+        done, first, total = [], 0, 0
+        for i, n in enumerate(words):
+            if total + n > most and i > first:
+                done.append({"a": first + 1, "b": i, "n": total})
+                first, total = i, 0
+                while first > done[-1]["a"] - 1 and total + words[first - 1] <= held:
+                    first -= 1
+                    total += words[first]
+            total += n
+        out.append([*done, {"a": first + 1, "b": len(words), "n": total}])
+    return pd.Series(out)
+
+
 def adaptive_chunks(df: DataFrame, key: str, text: str, kind: str, sizes: Mapping[str, tuple[int, int]] = SIZES) -> DataFrame:
     """Sentences packed up to the kind's size in words, each chunk starting with the overlap of the one before.
 
-    A fold over the sentence array of one text; the last chunk is emitted too. A sentence longer than the size becomes
-    a chunk of its own (with its overlap).
+    The packing walks once over the word counts of a text's sentences; the texts stay where they are. The last chunk is
+    emitted too. A sentence longer than the size becomes a chunk of its own (with its overlap).
     """
     def by_kind(i: int) -> Column:
         column = F.lit(sizes["general"][i])
@@ -40,19 +59,10 @@ def adaptive_chunks(df: DataFrame, key: str, text: str, kind: str, sizes: Mappin
         return column
 
     cut = df.select(key, sentences(text).alias("s"), by_kind(0).alias("size"), by_kind(1).alias("keep")).filter(F.size("s") > 0)
-    prefix = "aggregate(transform(s, x -> size(filter(split(x, '\\\\s+'), w -> w != ''))), array(0), (acc, n) -> concat(acc, array(element_at(acc, -1) + n)))"
-    counted = cut.withColumn("p", F.expr(prefix))
-    # state: finished spans and the first sentence of the open chunk; p[i] is the number of words in sentences 1..i
-    spans = """aggregate(sequence(1, size(s)),
-        named_struct('done', cast(array() as array<struct<a:int,b:int>>), 'a', 1),
-        (acc, i) -> if(p[i] - p[acc.a - 1] > size and i > acc.a,
-            named_struct('done', concat(acc.done, array(named_struct('a', acc.a, 'b', i - 1))),
-                         'a', i - size(filter(sequence(acc.a, i - 1), k -> p[i - 1] - p[k - 1] <= keep))),
-            acc),
-        acc -> concat(acc.done, array(named_struct('a', acc.a, 'b', size(s)))))"""
-    made = counted.select(key, "s", "p", F.posexplode(F.expr(spans)).alias("chunk", "span"))
+    counts = F.transform("s", word_count)
+    made = cut.select(key, "s", _spans(counts, F.col("size"), F.col("keep")).alias("x")).select(key, "s", F.posexplode("x").alias("chunk", "span"))
     return made.select(
-        key, "chunk", F.expr("p[span.b] - p[span.a - 1]").cast("bigint").alias("n_words"),
+        key, "chunk", F.col("span.n").cast("bigint").alias("n_words"),
         F.expr("array_join(slice(s, span.a, span.b - span.a + 1), ' ')").alias("text"),
     )
 

@@ -47,7 +47,7 @@ def nearest(
     """Exact cosine top-``k`` per query, optionally only among vectors whose ``same`` column equals the query's.
 
     Queries go out in blocks of at most ``block`` vectors, so the broadcast size is fixed; each further block is another
-    pass over the vectors. Every Arrow batch keeps its own best ``k`` per query, so at most k × queries × batches rows
+    pass over the vectors. Every partition keeps one running best ``k`` per query, so at most k × queries × partitions rows
     are shuffled, never all pairs.
     """
     fields = [query_id, vector, *([same] if same else [])]
@@ -72,8 +72,9 @@ def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
     shared = vectors.sparkSession.sparkContext.broadcast((names, matrix, groups))
     schema = f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, score double"
 
-    def best_of_batch(batches):
+    def best_of_part(batches):
         ids, unit, wanted = shared.value
+        held = pd.DataFrame({"q": np.zeros(0, np.int64), vector_id: [], "score": []})
         for pdf in batches:
             if pdf.empty or not len(ids):
                 continue
@@ -81,14 +82,15 @@ def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
             scores = unit @ found.T
             if wanted is not None:
                 scores = np.where(wanted[:, None] == pdf[same].to_numpy()[None, :], scores, -np.inf)
-            keys = pdf[vector_id].to_numpy()
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-            top = np.take_along_axis(scores, order, axis=1)
-            out = pd.DataFrame({query_id: np.repeat(ids, order.shape[1]), vector_id: keys[order.ravel()], "score": top.ravel()})
-            yield out[np.isfinite(out["score"])]
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)
+            row, column = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            made = pd.DataFrame({"q": row, vector_id: pdf[vector_id].to_numpy()[column], "score": scores[row, column]})
+            held = made if held.empty else pd.concat([held, made])
+            held = held.sort_values(["q", "score", vector_id], ascending=[True, False, True]).groupby("q").head(k)
+        yield pd.DataFrame({query_id: ids[held["q"].to_numpy()], vector_id: held[vector_id].to_numpy(), "score": held["score"].to_numpy()})
 
     kept = [vector_id, vector, *([same] if same else [])]
-    return vectors.select(*kept).mapInPandas(best_of_batch, schema)
+    return vectors.select(*kept).mapInPandas(best_of_part, schema)
 
 
 def bm25(
