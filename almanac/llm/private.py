@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from almanac.llm.base import Scratch, bounded_sample, column, query, table
 KINDS = ("email", "ip", "card", "phone")
 CORE, SIDE, HIDDEN, TAGS = 32, 32, 16, 2 * len(KINDS) + 1
 WIDTH = CORE + 2 * SIDE
-TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 3000, 6, 64, 0.025
+TRAIN_WINDOWS, STEPS, BATCH, RATE = 3000, 360, 64, 0.025
 
 # One input class for each of these characters; digits, small letters, capitals, controls and all else share one each.
 SINGLE = "@.-+()_% \n:,/'\"=[]{}|<>;#*&!?$"
@@ -53,7 +54,13 @@ def valid(kind: str, span: str) -> bool:
     return 8 <= len(digits) <= 15
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
+def shaped(kind: str, span: str) -> bool:
+    """Whether a span has its kind's shape; sums and limits, which no tagger sees in character classes, are left to :func:`valid`."""
+    digits = sum("0" <= c <= "9" for c in span)
+    return {"ip": digits <= 12, "card": 16 <= digits <= 19, "phone": 8 <= digits <= 15}[kind]
+
+
+def base_spans(text: str, check: Callable[[str, str], bool] = valid) -> list[tuple[str, int, int]]:
     """(kind, start, end) by the fixed patterns, by kind and start. Every pattern starts at a place that no earlier place of
     the same run could replace, so long runs of one character class are read once."""
     found, done = [], 0
@@ -67,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("email", start, m.end()))
             done = m.end()
     for kind, pattern in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
-        found += [(kind, *m.span()) for m in pattern.finditer(text) if valid(kind, m.group())]
+        found += [(kind, *m.span()) for m in pattern.finditer(text) if check(kind, m.group())]
     return found
 
 
@@ -87,9 +94,10 @@ def _windows(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _tagged(length: int, spans) -> np.ndarray:
     tags = np.zeros(length, np.int64)
-    for kind, start, end in spans:
-        tags[start:end] = 2 * KINDS.index(kind) + 2
-        tags[start] -= 1
+    for kind, start, end in sorted(spans, key=lambda s: s[1] - s[2]):
+        if not tags[start:end].any():
+            tags[start:end] = 2 * KINDS.index(kind) + 2
+            tags[start] -= 1
     return tags
 
 
@@ -169,10 +177,10 @@ class Tagger:
             grads |= {f"{side}_in": one_hot.T @ flat, f"{side}_on": earlier.reshape(-1, HIDDEN).T @ flat}
         return float((whole - score).mean()), grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 6) -> list[float]:
+        """Adam over shuffled batches, in whole epochs of at least ``steps`` batches together; the mean loss of each epoch."""
         rng, first, second, step, losses = np.random.default_rng(seed), {}, {}, 0, []
-        for _ in range(epochs if len(x) else 0):
+        while len(x) and step < steps:
             order, seen = rng.permutation(len(x)), []
             for at in range(0, len(order), BATCH):
                 rows, step = order[at:at + BATCH], step + 1
@@ -239,16 +247,16 @@ def all_spans(text: str, own: list, model_spans: list) -> list[tuple[str, int, i
     return sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def trained(docs: DataFrame, scratch: Scratch, text: str = "text", windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger:
+def trained(docs: DataFrame, scratch: Scratch, text: str = "text", windows: int = TRAIN_WINDOWS, steps: int = STEPS) -> Tagger:
     """A tagger learnt from at most ``windows`` windows with a digit or an at sign, those with the smallest hashes, half of them
-    (if there are so many) with a span; the spans of the fixed patterns are the labels."""
+    (if there are so many) with a span; the labels are what has the shape of the fixed patterns, as checks follow the tagger too."""
 
     def label(batches):
         for batch in batches:
             x, y = [], []
             for value in batch.column(0).to_pylist():
                 starts, codes = _windows(value)
-                tags = np.pad(_tagged(len(value), base_spans(value)), (SIDE, SIDE + CORE))
+                tags = np.pad(_tagged(len(value), base_spans(value, shaped)), (SIDE, SIDE + CORE))
                 x += [r.astype(np.uint8).tobytes() for r in codes]
                 y += [tags[s:s + WIDTH].astype(np.uint8).tobytes() for s in starts]
             yield pa.RecordBatch.from_arrays([pa.array(x, "binary"), pa.array(y, "binary")], names=["x", "y"])
@@ -260,7 +268,7 @@ def trained(docs: DataFrame, scratch: Scratch, text: str = "text", windows: int
     drawn = half[0].unionByName(half[1]).toPandas()
     read = lambda c: np.array([np.frombuffer(bytes(v), np.uint8) for v in drawn[c]], np.int64).reshape(-1, WIDTH)
     model = Tagger()
-    model.fit(read("x"), read("y"), epochs)
+    model.fit(read("x"), read("y"), steps)
     return model
 
 
