@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from almanac.functions.picks import finished, linear, mixed, pick
+from almanac.functions.picks import MULTIPLIERS, PRIME, ROUNDS, linear, mixed, pick
 
 # Cumulative probabilities of a Poisson variable with mean one, in millionths.
 POISSON_STEPS = (367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990)
@@ -85,29 +87,43 @@ def permutation_test(
     return flagged.groupBy(*keys, "observed").agg(F.avg("__far").alias("p_value"))
 
 
-def poisson_weight(unit: str):
-    """A Poisson(1) multiplicity from a column of uniform integers below one million."""
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + (F.col(unit) >= step).cast("int")
-    return weight
-
-
 def poisson_bootstrap(
-    df: DataFrame, keys: Sequence[str], row_id: Sequence[str], top: str, bottom: str, *, n_replicates: int, seed: int
+    df: DataFrame, keys: Sequence[str], row_id: Sequence[str], top: str, bottom: str, *, n_replicates: int, seed: int,
+    steps: Sequence[int] = POISSON_STEPS, rows: int = 2048,
 ) -> DataFrame:
     """Interval of a ratio of sums over raw rows of any number.
 
-    Every row weighs itself in each replicate; only (key, replicate) sums are shuffled.
+    Every row draws a Poisson(1) multiplicity in each replicate: how many of ``steps`` its uniform integer below one million
+    reaches. A task weighs ``rows`` rows at a time in all replicates and keeps the sums of each (key, replicate); a row's
+    replicates are never shuffled.
     """
-    own = df.select(*keys, top, bottom, linear(row_id, after=1).alias("__own"))
-    unit = finished(F.lit(seed).cast("bigint") + linear(["replicate"]) + F.col("__own")) % 1000000
-    units = _replicates(own, n_replicates).select(
-        *keys, "replicate", top, bottom, F.explode(F.array(unit)).alias("__u")  # one evaluation: a generator is not inlined
-    )
-    weighted = units.select(*keys, "replicate", top, bottom, poisson_weight("__u").alias("__w"))
-    ratios = weighted.filter(F.col("__w") > 0).groupBy(*keys, "replicate").agg(
-        (F.sum(F.col(top) * F.col("__w")) / F.sum(F.col(bottom) * F.col("__w"))).alias("__m")
-    )
+    offsets = np.arange(1, n_replicates + 1, dtype=np.int64) * MULTIPLIERS[0] + seed
+    names = [f"__k{i}" for i in range(len(keys))]
+
+    def weighed(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(names, dropna=False):
+                total = sums.setdefault(key, np.zeros((n_replicates, 2)))
+                own, values = part["__own"].to_numpy(), part[["__t", "__b"]].to_numpy(dtype=np.float64)
+                for at in range(0, len(own), rows):
+                    unit = offsets[:, None] + own[None, at:at + rows]
+                    for shift, constant in ROUNDS:
+                        unit %= PRIME
+                        unit = unit * (unit + shift) + constant
+                    unit = unit % PRIME % 1000000
+                    total += np.searchsorted(steps, unit, "right") @ values[at:at + rows]
+        for key, total in sums.items():
+            made = pd.DataFrame({"replicate": np.arange(1, n_replicates + 1), "__t": total[:, 0], "__b": total[:, 1]})
+            yield made.assign(**dict(zip(names, key, strict=True)))[[*names, "replicate", "__t", "__b"]]
+
+    kinds = dict(df.dtypes)
+    fields = ", ".join(f"{n} {kinds[k]}" for n, k in zip(names, keys, strict=True))
+    given = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(top).cast("double").alias("__t"), F.col(bottom).cast("double").alias("__b"), linear(row_id, after=1).alias("__own"))
+    # A row is weighed as often as there are replicates, so dealing the rows out evenly first costs little beside that.
+    spread = given.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__own")
+    parts = spread.mapInPandas(weighed, f"{fields}, replicate int, __t double, __b double")
+    ratios = parts.groupBy(*names, "replicate").agg((F.sum("__t") / F.nullif(F.sum("__b"), F.lit(0.0))).alias("__m"))
+    ratios = ratios.withColumnsRenamed(dict(zip(names, keys, strict=True)))
     observed = df.groupBy(*keys).agg((F.sum(top) / F.sum(bottom)).alias("observed"))
     return _interval(ratios, keys, "__m").join(observed, list(keys))
