@@ -73,7 +73,8 @@ def _shingle_set(text: Column, words: int) -> Column:
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b) of the ``cid`` of all rows of ``prints`` (cid, print) whose prints differ in at most ``bits`` bits, once each.
+    """(a, b) of the ``cid`` of all rows of ``prints`` (cid, print, and maybe group) whose prints differ in at most ``bits`` bits,
+    once each; rows of one group are not linked again.
 
     Every fingerprint is indexed 64 times: by a segment with one of its bits blanked. Two fingerprints within the limit meet
     in a segment that differs in at most one bit; they are linked in the first such segment, under the differing bit's
@@ -82,26 +83,41 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """
     cut = segments(bits)
     variants = [F.struct(F.lit(bit).alias("bit"), F.col("print").bitwiseAND(_mask(a, b, bit)).alias("key")) for a, b in cut for bit in range(a, b)]
-    index = prints.select("cid", "print", F.explode(F.array(*variants)).alias("v")).select("cid", "print", "v.bit", "v.key")
+    index = prints.select("*", F.explode(F.array(*variants)).alias("v")).select(*prints.columns, "v.bit", "v.key")
     other = index.select(*[F.col(c).alias(f"near_{c}") for c in index.columns])
     apart = F.col("print").bitwiseXOR(F.col("near_print"))
     once = (F.getbit(apart, F.col("bit")) == 1) | F.col("bit").isin(*[a for a, _ in cut])
     for a, b in cut[:-1]:
         once = once & ((F.col("bit") < b) | (F.bit_count(apart.bitwiseAND(_mask(a, b))) >= 2))
     met = (F.col("bit") == F.col("near_bit")) & (F.col("key") == F.col("near_key")) & (F.col("cid") < F.col("near_cid"))
+    if "group" in prints.columns:
+        met = met & (F.col("group") != F.col("near_group"))
     return index.join(other, met & (F.bit_count(apart) <= bits) & once).select(F.col("cid").alias("a"), F.col("near_cid").alias("b"))
 
 
+def _similar(source: DataFrame, classes: DataFrame, met: DataFrame, scratch: Scratch, *, words: int, similarity: float) -> DataFrame:
+    """The links whose texts' shingle sets are similar enough; only linked classes' texts are read, one for each class."""
+    linked = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
+    linked = linked.select("cid", "head", F.col("mark").alias("of_mark"))
+    heads = source.join(linked, F.col("key").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("of_mark"))).dropDuplicates(["cid"])
+    sets = scratch.keep(heads.select("cid", _shingle_set(F.col("text"), words).alias("shingles")))
+    one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
+    same = F.size(F.array_intersect("of_a", "of_b"))
+    alike = same >= similarity * (F.size("of_a") + F.size("of_b") - same)
+    return met.join(one, "a").join(two, "b").filter(alike).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, distinct: bool = False,
-    similarity: float | None = None, shingle: int = 5,
+    similarity: float | None = None, shingle: int = 5, first: tuple[int, ...] = (),
 ) -> DataFrame:
     """(key, print, component_id) for each row: its fingerprint and the smallest key reachable over links.
 
     Two texts are linked when their fingerprints (of ``words``-word shingles) differ in at most ``bits`` bits and, if ``similarity``
     is given, their sets of ``shingle``-word shingles also have at least that Jaccard similarity; the check reads the texts of
     linked classes only. Fingerprints of distinct single words move least when few words change, so with a check they find
-    nearly all similar texts at seven bits. Texts with equal
+    nearly all similar texts at seven bits. Smaller limits given as ``first`` are linked before: what is then one component is
+    not compared again, so a large group of near copies is joined up by its nearest pairs and not by all. Texts with equal
     fingerprints (and equal texts, if they are checked) are one class before anything is compared, so copies are never paired,
     however many there are.
 
@@ -115,20 +131,20 @@ def near_duplicates(
     prints = scratch.keep(source.select("key", "mark", fingerprint(F.col("text"), words, distinct).alias("print")))
     classes = prints.groupBy("print", "mark").agg(F.min("key").alias("head"))
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
-    met = links(classes.select("cid", "print"), bits)
-    if similarity:
-        met = scratch.keep(met)
-        linked = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
-        linked = linked.select("cid", "head", F.col("mark").alias("of_mark"))
-        heads = source.join(linked, F.col("key").eqNullSafe(F.col("head")) & (F.col("mark") == F.col("of_mark"))).dropDuplicates(["cid"])
-        sets = scratch.keep(heads.select("cid", _shingle_set(F.col("text"), shingle).alias("shingles")))
-        one, two = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
-        same = F.size(F.array_intersect("of_a", "of_b"))
-        alike = same >= similarity * (F.size("of_a") + F.size("of_b") - same)
-        met = met.join(one, "a").join(two, "b").filter(alike).select("a", "b")
-    found = components(met, "a", "b", scratch)
-    first = found.join(classes, F.col("node") == F.col("cid")).groupBy("component").agg(F.min("head").alias("first"))
-    named = found.join(first, "component").select(F.col("node").alias("cid"), "first")
+    found = None
+    for limit in (*first, bits):
+        asked = classes.select("cid", "print")
+        if found is not None:
+            asked = asked.join(found, F.col("cid") == F.col("node"), "left")
+            asked = asked.select("cid", "print", F.coalesce("component", "cid").alias("group"))
+        met = links(asked, limit)
+        if similarity:
+            met = _similar(source, classes, scratch.keep(met), scratch, words=shingle, similarity=similarity)
+        if found is not None:
+            met = met.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = components(met, "a", "b", scratch)
+    least = found.join(classes, F.col("node") == F.col("cid")).groupBy("component").agg(F.min("head").alias("first"))
+    named = found.join(least, "component").select(F.col("node").alias("cid"), "first")
     named = classes.join(named, "cid", "left").select("print", "mark", F.coalesce("first", "head").alias("component_id"))
     return prints.join(named, ["print", "mark"]).select(F.col("key").alias(key), "print", "component_id")
 
