@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.llm.base import Scratch, column, query, table
 from almanac.llm.components import components
 
-WORDS, BITS, SEED, BLOCK = 4, 4, 42, 65536
+WORDS, BITS, SEED, BLOCK, ROWS = 4, 4, 42, 65536, 5
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -72,6 +72,39 @@ def _shingle_set(text: Column, words: int) -> Column:
     return of(text)
 
 
+def band_keys(raw: bytes, words: int, bands: int, rows: int) -> np.ndarray:
+    """One key a band of ``rows`` minima of the text's shingle hashes under different mixings; two texts share a band's key with the
+    chance of their Jaccard similarity to the power ``rows``."""
+    salts = np.random.default_rng(SEED).integers(1, 1 << 63, (2, bands * rows), dtype=np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in shingle_hashes(raw, words):
+        for at in range(0, len(hashes), 2048):
+            mixed = (hashes[None, at:at + 2048] ^ salts[0][:, None]) * (salts[1] | np.uint64(1))[:, None]
+            least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(bands, rows))], np.uint64)
+
+
+def _bands(text: Column, words: int, bands: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([band_keys((t or "").encode(), words, bands, ROWS).view(np.int64) for t in texts])
+
+    return of(text)
+
+
+def _bucket_links(keyed: DataFrame) -> DataFrame:
+    """(a, b) of the ``cid`` of rows that share a key of ``keys``: without a ``group`` each with the smallest of its bucket, so that their number
+    follows the rows; with it all pairs of different groups."""
+    index = keyed.select("*", F.explode("keys").alias("bucket")).drop("keys")
+    if "group" not in keyed.columns:
+        heads = index.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a < z").select("bucket", "a")
+        return index.join(heads, "bucket").filter("a < cid").select("a", F.col("cid").alias("b")).distinct()
+    shared = index.groupBy("bucket").agg(F.min("group").alias("g"), F.max("group").alias("h")).filter("g < h").select("bucket")
+    index = index.join(shared, "bucket")
+    other = index.select("bucket", F.col("cid").alias("b"), F.col("group").alias("near_group"))
+    return index.join(other, "bucket").filter("cid < b AND group <> near_group").select(F.col("cid").alias("a"), "b").distinct()
+
+
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b) of the ``cid`` of all rows of ``prints`` (cid, print, and maybe group) whose prints differ in at most ``bits`` bits,
     once each; rows of one group are not linked again.
@@ -109,7 +142,7 @@ def _similar(source: DataFrame, classes: DataFrame, met: DataFrame, scratch: Scr
 
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, distinct: bool = False,
-    similarity: float | None = None, shingle: int = 5, first: tuple[int, ...] = (),
+    similarity: float | None = None, shingle: int = 5, first: tuple[int, ...] = (), bands: int = 0,
 ) -> DataFrame:
     """(key, print, component_id) for each row: its fingerprint and the smallest key reachable over links.
 
@@ -121,6 +154,10 @@ def near_duplicates(
     fingerprints (and equal texts, if they are checked) are one class before anything is compared, so copies are never paired,
     however many there are.
 
+    A bit limit misses similar texts, above all those with a block added or cut. With ``bands``, texts that share one of so many keys of five
+    minimal shingle hashes are checked too: a pair of similarity s is missed with the chance (1 - s ** 5) ** bands, whatever was
+    changed. Each text is first linked to the smallest of its bucket, then all pairs that are not one component yet are compared.
+
     A null text is empty; texts without words share fingerprint zero and are linked like any other. Repeated rows and keys
     each get their row. Null keys are never an id; a class of null keys alone has a null component. An empty table gives an
     empty table. Other columns are not read, whatever their names.
@@ -128,16 +165,20 @@ def near_duplicates(
     whole = F.coalesce(column(docs, text), F.lit(""))
     mark = F.xxhash64(whole) if similarity else F.lit(0).cast("bigint")
     source = docs.select(column(docs, key).alias("key"), whole.alias("text"), mark.alias("mark"))
-    prints = scratch.keep(source.select("key", "mark", fingerprint(F.col("text"), words, distinct).alias("print")))
-    classes = prints.groupBy("print", "mark").agg(F.min("key").alias("head"))
+    if bands and not similarity:
+        raise ValueError("bands give candidates only: a similarity is needed to check them")
+    keyed = [_bands(F.col("text"), shingle, bands).alias("keys")] if bands else []
+    prints = scratch.keep(source.select("key", "mark", fingerprint(F.col("text"), words, distinct).alias("print"), *keyed))
+    classes = prints.groupBy("print", "mark").agg(F.min("key").alias("head"), *[F.first(c).alias(c) for c in prints.columns[3:]])
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
     found = None
-    for limit in (*first, bits):
-        asked = classes.select("cid", "print")
+    for limit in (*(["bucket"] * 2 if bands else []), *first, bits):
+        what = "keys" if limit == "bucket" else "print"
+        asked = classes.select("cid", what)
         if found is not None:
             asked = asked.join(found, F.col("cid") == F.col("node"), "left")
-            asked = asked.select("cid", "print", F.coalesce("component", "cid").alias("group"))
-        met = links(asked, limit)
+            asked = asked.select("cid", what, F.coalesce("component", "cid").alias("group"))
+        met = _bucket_links(asked) if limit == "bucket" else links(asked, limit)
         if similarity:
             met = _similar(source, classes, scratch.keep(met), scratch, words=shingle, similarity=similarity)
         if found is not None:
@@ -146,7 +187,7 @@ def near_duplicates(
     least = found.join(classes, F.col("node") == F.col("cid")).groupBy("component").agg(F.min("head").alias("first"))
     named = found.join(least, "component").select(F.col("node").alias("cid"), "first")
     named = classes.join(named, "cid", "left").select("print", "mark", F.coalesce("first", "head").alias("component_id"))
-    return prints.join(named, ["print", "mark"]).select(F.col("key").alias(key), "print", "component_id")
+    return prints.select("key", "mark", "print").join(named, ["print", "mark"]).select(F.col("key").alias(key), "print", "component_id")
 
 
 @query("op3_simhash")

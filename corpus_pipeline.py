@@ -12,7 +12,7 @@ from almanac.llm.quality import scored
 from almanac.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SHINGLE, SIMILARITY, BITS = 5, 0.8, 7
+SHINGLE, SIMILARITY, BITS, BANDS = 5, 0.8, 7, 32
 
 
 def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -28,10 +28,11 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest doc_id stays: texts whose SimHash over distinct words differs
-    in at most seven bits and whose five-word shingles have a similarity of at least 0.8."""
+    """Of every group of near copies the document with the smallest doc_id stays: texts whose five-word shingles have a
+    similarity of at least 0.8, among those whose SimHash over distinct words differs in at most seven bits or that share one of 32
+    keys of minimal shingle hashes."""
     scratch = Scratch(spark, "pipeline-simhash")
-    found = near_duplicates(docs, scratch, words=1, distinct=True, bits=BITS, similarity=SIMILARITY, shingle=SHINGLE)
+    found = near_duplicates(docs, scratch, words=1, distinct=True, bits=BITS, similarity=SIMILARITY, shingle=SHINGLE, bands=BANDS)
     return _where(docs, found.filter("doc_id <> component_id"), "left_anti")
 
 

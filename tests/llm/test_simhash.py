@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
+import corpus_pipeline as cp
 from almanac.llm.base import Scratch
 from almanac.llm.components import components
 from almanac.llm.simhash import links, near_duplicates, segments, simhash
@@ -84,6 +85,30 @@ def test_components_match_brute_force(spark, words, bits, distinct, similarity,
     assert [got[i] for i in range(len(texts))] == [(p, f) for (p, _), f in zip(seen, lowest, strict=True)]
 
 
+def test_changed_appended_and_cut_copies_are_found_by_similarity_alone(spark):
+    rng = random.Random(9)
+    texts = []
+    for g in range(120):
+        body = [f"w{rng.randrange(800)}" for _ in range(rng.randint(60, 200))]
+        n = int(len(body) * rng.choice([0.05, 0.1, 0.17]))
+        if g % 3 == 0:
+            near = [*body, *(f"w{rng.randrange(800)}" for _ in range(n))]
+        elif g % 3 == 1:
+            near = body[:len(body) - n]
+        else:
+            near = list(body)
+            for i in rng.sample(range(len(body)), max(1, n // 6)):
+                near[i] = f"w{rng.randrange(800)}"
+        texts += [" ".join(body), " ".join(near)]
+    texts += ["", None, "one", "one"]
+    sets = [plain(t, 5)[1] for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    lowest = roots(len(texts), [[j for j in range(len(texts)) if alike(sets[i], sets[j])] for i in range(len(texts))])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = near_duplicates(docs, Scratch(spark, "t"), words=1, bits=cp.BITS, distinct=True, similarity=cp.SIMILARITY, bands=cp.BANDS).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(lowest)) and sum(i != r for i, r in enumerate(lowest)) > 100
+
+
 def test_repeated_rows_null_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b"), (None, "c d e f g"), (1, None)], "doc_id long, text string")
     for options in ({}, {"similarity": 0.8}):
