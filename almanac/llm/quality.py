@@ -46,12 +46,12 @@ def measures(raw: bytes) -> list[float]:
     ]
 
 
-def featured(docs: DataFrame, key: str, text: str) -> DataFrame:
+def featured(docs: DataFrame, key: str, text: str, *others: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, measures((t or "").encode()))) for t in texts])
 
-    return docs.select(column(docs, key).alias("key"), of(column(docs, text)).alias("features"))
+    return docs.select(column(docs, key).alias("key"), of(column(docs, text)).alias("features"), *[column(docs, c) for c in others])
 
 
 def _leaf(g, h):
@@ -168,9 +168,9 @@ def held_out(key: Column) -> Column:
 
 def scored(
     docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", label: str = "quality",
-    train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD,
+    train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, mark: str | None = None,
 ) -> DataFrame:
-    """(key, held_out, score, predicted) for each row of ``docs``.
+    """(key, held_out, score, predicted) for each row of ``docs``, and its column ``mark`` if one is named.
 
     Features come from the whole text alone. Shallow trees are boosted feature by feature in turn; each adds its values to the
     feature's lookup table, and the pairs of features that explain most of what is left get tables of their own. A score adds up
@@ -181,7 +181,8 @@ def scored(
     labels every score is 0.5, with labels of one kind it is their smoothed share. Repeated rows each get their row, null keys are
     scored but never learnt from. An empty table gives an empty table. Other columns are not read, whatever their names.
     """
-    seen = scratch.keep(featured(docs, key, text))
+    others = [mark] if mark else []
+    seen = scratch.keep(featured(docs, key, text, *others))
     marks = labels.select(column(labels, key).alias("of"), column(labels, label).alias("label")).dropna().groupBy("of").agg(F.min("label").alias("label"))
     known = seen.filter(~held_out(F.col("key"))).join(marks, F.col("key") == F.col("of")).select("key", "features", "label")
     drawn = bounded_sample(scratch.keep(known), train_rows, "key", "features").select("features", "label").toPandas()
@@ -192,7 +193,7 @@ def scored(
     def of(features: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(features.to_list())) if len(features) else [], dtype="float64")
 
-    found = seen.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), of("features").alias("score"))
+    found = seen.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), of("features").alias("score"), *others)
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -15,31 +15,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE, SIMILARITY, BITS, BANDS = 5, 0.8, 7, 32
 
 
-def _where(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose key is (not) among ``ids``; a null key is a key like any other."""
-    ids = ids.select(F.col("doc_id").alias("of_doc")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of_doc")), how).select(*COLUMNS)
+def _marked(docs: DataFrame) -> DataFrame:
+    """The rows with a mark made of all their columns: only rows that are the same throughout share it."""
+    whole = [c for name in COLUMNS for c in (F.col(name).isNull(), F.col(name))]
+    twice = [F.hex(F.xxhash64(F.lit(salt), *whole)) for salt in (1, 2)]
+    return docs.select(*COLUMNS, F.concat_ws("-", *twice).alias("mark"))
+
+
+def _where(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """The marked rows whose mark is (not) among ``marks``."""
+    return docs.join(marks.select("mark").distinct(), "mark", how)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go."""
-    found = scored(docs, table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"))
-    return _where(docs, found.filter("predicted = 0"), "left_anti")
+    """Rows that the quality model rejects go."""
+    docs = _marked(docs)
+    found = scored(docs, table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"), mark="mark")
+    return _where(docs, found.filter("predicted = 0"), "left_anti").select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest doc_id stays: texts whose five-word shingles have a
-    similarity of at least 0.8, among those whose SimHash over distinct words differs in at most seven bits or that share one of 32
-    keys of minimal shingle hashes."""
+    """Of every group of near copies one row stays, that with the smallest doc_id (a null one only if all are): texts whose five-word
+    shingles have a similarity of at least 0.8, among those whose SimHash over distinct words differs in at most seven bits or that
+    share one of 32 keys of minimal shingle hashes."""
     scratch = Scratch(spark, "pipeline-simhash")
-    found = near_duplicates(docs, scratch, words=1, distinct=True, bits=BITS, similarity=SIMILARITY, shingle=SHINGLE, bands=BANDS)
-    return _where(docs, found.filter("doc_id <> component_id"), "left_anti")
+    docs = _marked(docs)
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").alias("row"), "text")
+    found = near_duplicates(
+        rows, scratch, key="row", words=1, distinct=True, bits=BITS, similarity=SIMILARITY, shingle=SHINGLE, bands=BANDS
+    )
+    stay = found.filter("row = component_id").select("row.mark")
+    return _where(docs, stay, "left_semi").dropDuplicates(["mark"]).select(*COLUMNS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage, also a reworded one, go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
-    return _where(docs, found.select(F.col("doc").alias("doc_id")), "left_anti")
+    """Rows that hold a benchmark passage, also a reworded one, go."""
+    docs = _marked(docs)
+    found = leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"), key="mark")
+    return _where(docs, found.select(F.col("doc").alias("mark")), "left_anti").select(*COLUMNS)
 
 
 def _redacted(text: Column, spans: Column) -> Column:

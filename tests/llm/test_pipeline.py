@@ -53,3 +53,30 @@ def test_nulls_and_empty_tables(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, odd, SF).count() <= 3
         assert stage(spark, odd.limit(0), SF).collect() == []
+
+
+def test_only_the_judged_rows_go_with_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = ([t for d, t in sorted(rows.items()) if t and labels.get(d) == q] for q in (1, 0))
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    frame = lambda made: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in made], docs.schema)
+    after = lambda stage, made: sorted([(str(r.doc_id), r.text) for r in stage(spark, frame(made), SF).collect()])
+    told = lambda made: sorted([(str(d), t) for d, t in made])
+
+    mixed = [(None, good[0]), (None, bad[0]), (7000001, good[1]), (7000001, bad[1])]
+    made = after(cp.of_quality, [*rows.items(), *mixed])
+    stay = {t for d, t in made if int(d if d != "None" else -1) in rows}
+    assert {(d, t) for d, t in made if d in ("None", "7000001")} == {(str(d), t) for d, t in mixed if t in stay}
+    assert {good[0], good[1]} <= stay and not {bad[0], bad[1]} & stay
+
+    body = " ".join(f"w{i}" for i in range(60))
+    leaking = [(None, body), (None, f"{body} {passage} {body}"), (8, body), (8, f"x {passage}")]
+    assert after(cp.without_leaks, leaking) == told([(None, body), (8, body)])
+
+    other = " ".join(f"v{i}" for i in range(60))
+    copies = [(5, body), (5, body), (5, f"{body} end"), (5, other), (None, body), (None, f"{other} end"), (None, passage), (None, passage), (9, other)]
+    made = after(cp.without_near_copies, copies)
+    assert len(made) == 3 and made.count(("None", passage)) == 1
+    assert {("5", body), ("5", f"{body} end")} & set(made) and ("5", other) in made
