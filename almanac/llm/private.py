@@ -47,8 +47,8 @@ def valid(kind: str, span: str) -> bool:
     if kind == "email":
         return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", span) is not None
     if kind == "ip":
-        parts = [p.lstrip("0") for p in span.split(".")]
-        return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+        parts = span.split(".")
+        return len(parts) == 4 and all(re.fullmatch("0*[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
     if kind == "card":
         return 16 <= len(digits) <= 19 and _luhn(digits)
     return 8 <= len(digits) <= 15

@@ -92,3 +92,7 @@ def test_rows_nulls_and_clashing_names(spark):
     assert sorted((str(r.doc_id), [tuple(s) for s in r.base_spans]) for r in got) == [("1", [("email", 5, 11)])] * 2 + [("3", []), ("None", [])]
     assert personal_data(docs.limit(0), Tagger()).collect() == []
     assert trained(docs.limit(0), Scratch(spark, "t")).p["move"].shape == (TAGS, TAGS)
+
+
+def test_an_address_with_other_signs_is_no_ip():
+    assert [valid("ip", s) for s in ("10.0.0.x", "10.0.0.²", "10..0.1", "10.0.0.1", "010.000.0.255", "1.2.3.256")] == [False, False, False, True, True, False]
