@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.llm.base import Scratch, table
-from almanac.llm.lattice import encode, model_path
+from almanac.llm.lattice import decode, encode, model_path
 from almanac.llm.leaks import leaks
 from almanac.llm.private import personal_data, trained
 from almanac.llm.quality import scored
@@ -77,8 +77,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as sampled piece ids."""
-    return encode(docs.select(*COLUMNS), model_path()).select("doc_id", "lang", "source", "n_chars", "pieces")
+    """Each document as sampled piece ids, decoded again; ``lossless`` says whether that gives the text back."""
+    found = decode(encode(docs.select(*COLUMNS), model_path()), model_path())
+    lossless = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull())
+    return found.select("doc_id", "lang", "source", "n_chars", "pieces", lossless.alias("lossless"))
 
 
 STAGES = [

@@ -80,3 +80,10 @@ def test_only_the_judged_rows_go_with_null_and_repeated_ids(spark):
     made = after(cp.without_near_copies, copies)
     assert len(made) == 3 and made.count(("None", passage)) == 1
     assert {("5", body), ("5", f"{body} end")} & set(made) and ("5", other) in made
+
+
+def test_the_last_stage_decodes_its_pieces(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(1, "a  [EMAIL] é\n\u2581 x", None, None, 1), (2, "", None, None, 0), (3, None, None, None, None)]
+    got = cp.as_pieces(spark, spark.createDataFrame(rows, docs.schema), SF).collect()
+    assert sorted((r.doc_id, r.lossless) for r in got) == [(1, True), (2, True), (3, True)]
