@@ -1,4 +1,6 @@
 """Loads the modules that register this subpackage's queries."""
 
-from almanac.llm import forest, lattice, leaks, perspectives, private, quality, repeats, revisits, simhash, url_rules  # noqa: F401
+from almanac.llm import (  # noqa: F401
+    forest, lattice, leaks, manifest, periodic, perspectives, private, quality, repeats, revisits, simhash, token_counts, url_rules,
+)
 from almanac.llm.base import ORACLES, QUERIES  # noqa: F401
