@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from almanac.llm.base import Scratch
 
-ROWS = 1 << 19
+ROWS = 1 << 16
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = ROWS) -> Iterator[pd.DataFrame]:
@@ -35,6 +35,15 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = R
         yield pd.concat(held, ignore_index=True)
 
 
+def numbered(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """The number of each row's group, the rows being sorted."""
+    new = np.zeros(len(frame), bool)
+    for key in keys:
+        values = frame[key].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.cumsum(new)
+
+
 def pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of places with equal values in a sorted array, as many at a time as are the same distance apart."""
     at, step = np.arange(len(group)), 0
@@ -89,20 +98,22 @@ def compared(rows: DataFrame, bucket: str, block: int, close: Callable, scratch:
 
     def run(batches):
         for frame in whole_groups(batches, ["at", "one", "two"]):
-            group = frame.groupby(["at", "one", "two"], sort=False).ngroup().to_numpy()
+            group = numbered(frame, ["at", "one", "two"])
             cid, part, test = frame["cid"].to_numpy(), frame["block"].to_numpy(), close(frame)
             cross = (frame["one"] != frame["two"]).to_numpy()
+            cut = bool(cross.any())
             a, b, size = [], [], 0
             for i, j in pairs_of(group):
-                mixed = ~cross[i] | (part[i] != part[j])
-                i, j = i[mixed], j[mixed]
+                if cut:
+                    mixed = ~cross[i] | (part[i] != part[j])
+                    i, j = i[mixed], j[mixed]
                 for n in range(0, len(i), ROWS):
                     p, q = i[n:n + ROWS], j[n:n + ROWS]
                     got = test(p, q)
                     a.append(cid[p[got]])
                     b.append(cid[q[got]])
                     size += int(got.sum())
-                if size > 4 * ROWS:
+                if size > 16 * ROWS:  # pairs found so far are joined up
                     node, star = stars(np.concatenate(a), np.concatenate(b))
                     a, b, size = [node], [star], len(node)
             if size:

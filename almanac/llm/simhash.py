@@ -15,7 +15,7 @@ from almanac.llm.buckets import compared, dealt, stars, whole_groups
 from almanac.llm.components import components
 
 WORDS, BITS, SEED, BLOCK, ROWS = 4, 4, 42, 65536, 5
-BUCKET, MEMBERS, SHINGLES = 1024, 1024, 1 << 20
+BUCKET, MEMBERS, SHINGLES = 1024, 1024, 1 << 19
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -210,7 +210,7 @@ def _similar_stars(source: DataFrame, classes: DataFrame, clusters: DataFrame, b
     spread = dealt(sets, "component", sizes).repartition("component", "one", "two").sortWithinPartitions("component", "one", "two")
 
     def run(batches):
-        for frame in whole_groups(batches, ["component", "one", "two"], 4096):
+        for frame in whole_groups(batches, ["component", "one", "two"], 512):
             met = [_verified(g, bits, similarity) for _, g in frame.groupby(["component", "one", "two"], sort=False)]
             a, b = np.concatenate([x for x, _ in met]), np.concatenate([y for _, y in met])
             if len(a):
