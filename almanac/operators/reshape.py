@@ -25,8 +25,8 @@ def paths_to_wide(df: DataFrame, keys: Sequence[str], step: str, value: str, hor
 
 def wide_to_long(df: DataFrame, keys: Sequence[str], horizon: int, *, step: str = "horizon", value: str = "price") -> DataFrame:
     """The reverse of :func:`paths_to_wide`; NULL days are kept."""
-    long = df.unpivot(list(keys), [f"day_{h}" for h in range(1, horizon + 1)], "__name", value)
-    return long.select(*keys, F.regexp_extract("__name", "([0-9]+)$", 1).cast("int").alias(step), value)
+    days = F.array(*[F.struct(F.lit(h).alias(step), F.col(f"day_{h}").alias(value)) for h in range(1, horizon + 1)])
+    return df.select(*keys, F.inline(days))
 
 
 def zero_fill(df: DataFrame, counts: Sequence[str], metrics: Sequence[str] = ()) -> DataFrame:

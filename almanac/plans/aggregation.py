@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.functions import dates
-from almanac.operators import aggregates as ag, reshape
+from almanac.operators import aggregates as ag, path_arrays as pa, reshape
 from almanac.operators.quantiles import quantiles
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
@@ -52,9 +52,9 @@ def conditional_sums(spark, sf):
 
 
 @query("two_level_aggregation", "A4", twin("paths", """SELECT model, round(avg(n), 4) AS mean_paths, min(n) AS min_paths, max(n) AS max_paths,
-  quantile_cont(CAST(n AS DOUBLE), 0.5) AS median_paths, count(*) AS n_dates FROM (SELECT model, entity, origin, count(DISTINCT path_id) AS n FROM paths GROUP BY 1, 2, 3) GROUP BY 1"""))
+  quantile_cont(CAST(n AS DOUBLE), 0.5) AS median_paths, count(*) AS n_dates FROM (SELECT model, entity, origin, max(len(prices)) AS n FROM paths GROUP BY 1, 2, 3) GROUP BY 1"""))
 def two_level_aggregation(spark, sf):
-    inner = t.paths(spark, sf).groupBy("model", "entity", "origin").agg(F.count_distinct("path_id").alias("n"))
+    inner = t.paths(spark, sf).groupBy("model", "entity", "origin").agg(F.max(F.size("prices").cast("bigint")).alias("n"))
     return inner.groupBy("model").agg(
         r(F.avg("n")).alias("mean_paths"), F.min("n").alias("min_paths"), F.max("n").alias("max_paths"),
         F.percentile("n", F.lit(0.5)).cast("double").alias("median_paths"), F.count(F.lit(1)).alias("n_dates"),
@@ -118,16 +118,24 @@ def pivot_themes(spark, sf):
     return reshape.zero_fill(wide, [f"theme_{v}_count" for v in THEMES])
 
 
-@query("pivot_paths", "A11", twin("paths", "SELECT entity, model, origin, path_id, " + ", ".join(
-    f"max(price) FILTER (WHERE horizon = {h}) AS day_{h}" for h in range(1, 15)) + " FROM paths GROUP BY 1, 2, 3, 4"))
+EACH_PATH = "each AS (SELECT entity, model, origin, horizon, unnest(range(1, 2001)) AS path_id, unnest(prices) AS price FROM paths)"
+DAYS = [f"day_{h}" for h in range(1, t.HORIZON + 1)]
+
+
+def wide_paths(spark, sf):
+    return pa.to_wide(t.paths(spark, sf), ["entity", "model", "origin"], t.HORIZON)
+
+
+@query("pivot_paths", "A11", twin("paths", "SELECT model, path_id, " + ", ".join(
+    f"round(avg(price) FILTER (WHERE horizon = {h}), 4) AS day_{h}" for h in range(1, 15)) + " FROM each GROUP BY 1, 2", EACH_PATH))
 def pivot_paths(spark, sf):
-    return reshape.paths_to_wide(t.paths(spark, sf), ["entity", "model", "origin", "path_id"], "horizon", "price", t.HORIZON)
+    """Every path as one row of days, and the mean of each over entities and origins."""
+    return rounded(wide_paths(spark, sf).groupBy("model", "path_id").agg(*[F.avg(d).alias(d) for d in DAYS]), DAYS)
 
 
-@query("unpivot_paths", "A12", twin("paths", "SELECT entity, model, origin, horizon, count(*) AS n, min(price) AS lowest, max(price) AS highest FROM paths GROUP BY 1, 2, 3, 4"))
+@query("unpivot_paths", "A12", twin("paths", "SELECT entity, model, origin, horizon, count(*) AS n, min(price) AS lowest, max(price) AS highest FROM each GROUP BY 1, 2, 3, 4", EACH_PATH))
 def unpivot_paths(spark, sf):
-    keys = ["entity", "model", "origin", "path_id"]
-    long = reshape.wide_to_long(reshape.paths_to_wide(t.paths(spark, sf), keys, "horizon", "price", t.HORIZON), keys, t.HORIZON)
+    long = reshape.wide_to_long(wide_paths(spark, sf), ["entity", "model", "origin", "path_id"], t.HORIZON)
     return long.groupBy("entity", "model", "origin", "horizon").agg(F.count("price").alias("n"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
 
 

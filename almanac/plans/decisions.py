@@ -4,29 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import indicators as ind, recommend as rec, regimes, rolling as ro, scoring as sc, signals as sg
+from almanac.operators import indicators as ind, path_arrays as pa, recommend as rec, regimes, rolling as ro, scoring as sc, signals as sg
 from almanac.plans import tables as t
 from almanac.plans.forecasts import FORECAST, META, POINT, metadata
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
 from almanac.plans.windows import ADX, ADX_VALUE, RET, RSI, RSI_VALUE
 
-POINTS = "points AS (SELECT entity, model, origin, horizon, max(spot) AS spot, quantile_cont(price, 0.5) AS price, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi FROM paths GROUP BY 1, 2, 3, 4)"
+POINTS = """points AS (SELECT entity, model, origin, horizon, spot, q[1] AS price, q[2] AS lo, q[3] AS hi
+  FROM (SELECT entity, model, origin, horizon, spot, list_aggregate(prices, 'quantile_cont', [0.5, 0.1, 0.9]) AS q FROM paths))"""
 
 
 def points(spark, sf):
-    q = F.percentile("price", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    grouped = t.paths(spark, sf).groupBy(*POINT).agg(F.max("spot").alias("spot"), q.alias("q"))
-    return grouped.select(*POINT, "spot", *[F.col("q")[i].alias(n) for i, n in enumerate(("price", "lo", "hi"))])
+    return pa.percentiles(t.paths(spark, sf), [*POINT, "spot"], {"price": 0.5, "lo": 0.1, "hi": 0.9})
 
 
-CV = """spread AS (SELECT entity, model, origin, CASE WHEN quantile_cont(price, 0.5) > 0 THEN stddev_pop(price) / quantile_cont(price, 0.5) ELSE 1 END AS cv FROM paths WHERE horizon = 14 GROUP BY 1, 2, 3)"""
+CV = """spread AS (SELECT entity, model, origin, CASE WHEN q > 0 THEN list_aggregate(prices, 'stddev_pop') / q ELSE 1 END AS cv
+  FROM (SELECT *, list_aggregate(prices, 'quantile_cont', 0.5) AS q FROM paths WHERE horizon = 14))"""
 
 
 @query("prediction_confidence", "P18", twin("paths", "SELECT entity, model, origin, round(cv, 6) AS cv FROM spread", CV))
 def prediction_confidence(spark, sf):
     last_day = t.paths(spark, sf).filter(F.col("horizon") == 14)
-    return rounded(sg.confidence_cv(last_day, FORECAST, "price"), ["cv"], 6)
+    return rounded(pa.confidence_cv(last_day, FORECAST), ["cv"], 6)
 
 
 SALE = """evs AS (SELECT *, price - spot * 0.00005::DOUBLE * horizon - price * 0.0001::DOUBLE AS ev FROM points),
@@ -54,19 +54,19 @@ def _chain(rows, rest):
   FROM (SELECT s.*, s.net_benefit_pct AS b, c.cv, {ADX_VALUE} AS adx FROM sale s JOIN spread c USING (entity, model, origin) JOIN dirs d ON d.entity = s.entity AND d.date = s.origin)""", ", ".join([POINTS, SALE, CV, ADX])))
 def expected_value_signal(spark, sf):
     sale = sg.optimal_sale(points(spark, sf), FORECAST, "spot", "price")
-    cv = sg.confidence_cv(t.paths(spark, sf).filter(F.col("horizon") == 14), FORECAST, "price")
+    cv = pa.confidence_cv(t.paths(spark, sf).filter(F.col("horizon") == 14), FORECAST)
     rows = sale.join(cv, FORECAST).join(daily_adx(spark, sf), ["entity", "origin"])
     batch, reason = sg.expected_value_rule("net_benefit_pct", "cv", "adx")
     return rows.select(*FORECAST, batch.alias("batch_size"), reason.alias("reason"))
 
 
-VIEW = """views AS (SELECT entity, model, origin, avg(CASE WHEN (price - spot) / spot > 0.03::DOUBLE THEN 1.0 ELSE 0.0 END) AS bullish, (quantile_cont(price, 0.5) - max(spot)) / max(spot) AS er,
-  CASE WHEN quantile_cont(price, 0.5) > 0 THEN stddev_pop(price) / quantile_cont(price, 0.5) ELSE 1 END AS cv, 100 * ((quantile_cont(price, 0.5) - max(spot)) / max(spot) - (0.00005::DOUBLE * 14 + 0.0001::DOUBLE)) AS nb
-  FROM paths WHERE horizon = 14 GROUP BY 1, 2, 3)"""
+VIEW = """views AS (SELECT entity, model, origin, len(list_filter(prices, lambda x: (x - spot) / spot > 0.03::DOUBLE)) / len(prices) AS bullish, (q - spot) / spot AS er,
+  CASE WHEN q > 0 THEN list_aggregate(prices, 'stddev_pop') / q ELSE 1 END AS cv, 100 * ((q - spot) / spot - (0.00005::DOUBLE * 14 + 0.0001::DOUBLE)) AS nb
+  FROM (SELECT *, list_aggregate(prices, 'quantile_cont', 0.5) AS q FROM paths WHERE horizon = 14))"""
 
 
 def day_view(spark, sf):
-    return sg.horizon_view(t.paths(spark, sf), FORECAST, "price", "spot", day=14, min_return=0.03)
+    return pa.horizon_view(t.paths(spark, sf), FORECAST, "spot", day=14, min_return=0.03, **sg.COSTS)
 
 
 @query("consensus_signal", "P21", twin("paths", f"""SELECT entity, model, origin, round(bullish, 4) AS bullish, round(nb, 4) AS net_benefit_pct, {_chain([('bullish >= 0.85 AND nb > 0.5', '0.0::DOUBLE'), ('bullish >= 0.7 AND nb > 0.5 AND cv < 0.05', '0.0::DOUBLE'),
@@ -88,7 +88,7 @@ def risk_adjusted_signal(spark, sf):
   {_chain([('b > 2', "'STRONG_UPWARD'"), ('b > 0.5', "'MODERATE_UPWARD'"), ('b < -1', "'STRONG_DOWNWARD'"), ('b < -0.5', "'MODERATE_DOWNWARD'")], "'NEUTRAL'")} AS direction FROM (SELECT s.*, net_benefit_pct AS b, cv FROM sale s JOIN spread USING (entity, model, origin))""", ", ".join([POINTS, SALE, CV])))
 def confidence_and_direction(spark, sf):
     sale = sg.optimal_sale(points(spark, sf), FORECAST, "spot", "price")
-    cv = sg.confidence_cv(t.paths(spark, sf).filter(F.col("horizon") == 14), FORECAST, "price")
+    cv = pa.confidence_cv(t.paths(spark, sf).filter(F.col("horizon") == 14), FORECAST)
     return sale.join(cv, FORECAST).select(*FORECAST, sg.confidence_tier("cv").alias("confidence"), sg.direction_tier("net_benefit_pct").alias("direction"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from almanac.functions.picks import normal_sql, pick_sql
-from almanac.operators import dedup, forecast as fc, scoring as sc
+from almanac.operators import dedup, forecast as fc, path_arrays as pa, scoring as sc
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
@@ -116,52 +116,59 @@ def numbered_residuals(daily):
     return rows.join(ids, ["entity", "origin"]).select("entity", "row_id", "horizon", "residual")
 
 
-BOOT = pick_sql(["date_diff('day', DATE '1970-01-01', origin)", "path_id", "(horizon - 1) // 3"], "n", 11)
+N_PATHS, DAY_NUMBER = 2000, "date_diff('day', DATE '1970-01-01', origin)"
+PATH_LEVELS = {"p025": 0.025, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p975": 0.975}
+PATH_SUMMARY = "len(prices) AS n_paths, round(list_avg(prices), 4) AS mean, " + ", ".join(f"round(list_aggregate(prices, 'quantile_cont', {p}), 4) AS {n}" for n, p in PATH_LEVELS.items()) + ", round(list_sum(list_transform(prices, lambda x, i: x * i)) / len(prices) / len(prices), 4) AS by_place"
+BOOT = pick_sql([DAY_NUMBER, "p", "(horizon - 1) // 3"], "n", 11)
 
 
-@query("block_bootstrap_paths", "P1 P2 P34", twin("origins", f"""SELECT p.entity, p.origin, p.horizon, p.path_id, p.forecast + c.residual AS price FROM (
-  SELECT o.entity, o.origin, CAST(h AS INTEGER) AS horizon, CAST(path_id AS INTEGER) AS path_id, o.spot + h * o.drift AS forecast, {BOOT.replace('(horizon - 1)', '(h - 1)')} AS row_id
-  FROM origins o JOIN (SELECT entity, max(n) AS n FROM complete GROUP BY 1) k ON k.entity = o.entity CROSS JOIN generate_series(1, 14) g(h) CROSS JOIN generate_series(1, 10) q(path_id)) p
-  JOIN complete c ON c.entity = p.entity AND c.row_id = p.row_id AND c.horizon = p.horizon""", RESIDUALS))
-def block_bootstrap_paths(spark, sf):
-    """All origins, paths and horizons at once: the residual slice of each block is found by a join, not a loop."""
-    daily = t.series(spark, sf)
-    paths = fc.bootstrap_paths(drift_points(daily), numbered_residuals(daily), ["entity"], n_paths=10, block=3, seed=11)
-    return paths.drop("target_date")
+def summary(made, *keys):
+    """What the paths of each forecast are: their number, mean and percentiles, and a sum that weighs each path by its number."""
+    weighed = pa.total(F.transform("prices", lambda x, i: x * (i + 1))) / F.size("prices") / F.size("prices")
+    rows = made.select(*keys, F.size("prices").cast("bigint").alias("n_paths"), pa.mean("prices").alias("mean"), weighed.alias("by_place"), "prices")
+    rows = pa.percentiles(rows, [*keys, "n_paths", "mean", "by_place"], PATH_LEVELS)
+    return rounded(rows, ["mean", "by_place", *PATH_LEVELS])
 
 
-DAY_NUMBER = "date_diff('day', DATE '1970-01-01', origin)"
+@query("block_bootstrap_paths", "P1 P2 P34", twin("origins", f"""SELECT entity, origin, horizon, {PATH_SUMMARY} FROM (
+  SELECT k.entity, origin, horizon, list_transform(range(1, {N_PATHS + 1}), lambda p: forecast + res[{BOOT}]) AS prices FROM
+  (SELECT entity, origin, CAST(h AS INTEGER) AS horizon, spot + h * drift AS forecast FROM origins, generate_series(1, 14) g(h)) o
+  JOIN (SELECT entity, horizon, max(n) AS n, list(residual ORDER BY row_id) AS res FROM complete GROUP BY 1, 2) k USING (entity, horizon))""", RESIDUALS))
+def block_bootstrap_paths(spark, sf):
+    """All origins, paths and horizons at once: the residual slice of each block is found in an array, not by a loop."""
+    daily = t.series(spark, sf)
+    return summary(pa.bootstrap(drift_points(daily), numbered_residuals(daily), ["entity"], n_paths=N_PATHS, block=3, seed=11), "entity", "origin", "horizon")
 
 
-@query("gaussian_paths", "P3", twin("origins", f"""SELECT p.entity, origin, p.horizon, path_id, round(forecast + sigma * {normal_sql([DAY_NUMBER, 'path_id', 'p.horizon', 'ascii(p.entity)'], 5)}, 2) AS price FROM (
-  SELECT entity, origin, CAST(h AS INTEGER) AS horizon, spot + h * drift AS forecast FROM origins, generate_series(1, 14) g(h)) p JOIN (SELECT entity, horizon, stddev_samp(residual) AS sigma FROM resid GROUP BY 1, 2) s ON s.entity = p.entity AND s.horizon = p.horizon,
-  (SELECT CAST(q AS INTEGER) AS path_id FROM generate_series(1, 10) g(q))""", RESIDUALS))
+@query("gaussian_paths", "P3", twin("origins", f"""SELECT entity, origin, horizon, {PATH_SUMMARY} FROM (
+  SELECT p.entity, origin, p.horizon, list_transform(range(1, {N_PATHS + 1}), lambda p: forecast + sigma * {normal_sql([DAY_NUMBER, 'p', 'horizon', 'own'], 5)}) AS prices
+  FROM (SELECT entity, ascii(entity) AS own, origin, CAST(h AS INTEGER) AS horizon, spot + h * drift AS forecast FROM origins, generate_series(1, 14) g(h)) p
+  JOIN (SELECT entity, horizon, stddev_samp(residual) AS sigma FROM resid GROUP BY 1, 2) s USING (entity, horizon))""", RESIDUALS))
 def gaussian_paths(spark, sf):
     daily = t.series(spark, sf)
     sigma = residual_rows(daily).groupBy("entity", "horizon").agg(F.stddev_samp("residual").alias("sigma"))
     points = drift_points(daily).join(sigma, ["entity", "horizon"])
-    paths = fc.gaussian_paths(points, ["entity"], n_paths=10, sigma="sigma", seed=5, number=F.ascii("entity"))
-    return paths.select("entity", "origin", "horizon", "path_id", r("price", 2).alias("price"))
+    return summary(pa.gaussian(points, ["entity"], n_paths=N_PATHS, sigma="sigma", seed=5, number=F.ascii("entity")), "entity", "origin", "horizon")
 
 
-AHEAD = """ahead AS (SELECT a.entity, a.date AS origin, CAST(b.t - a.t AS INTEGER) AS horizon, b.date AS target_date, CAST(p AS INTEGER) AS path_id, b.close AS realised FROM
+AHEAD = """ahead AS (SELECT a.entity, a.date AS origin, CAST(b.t - a.t AS INTEGER) AS horizon, b.date AS target_date, b.close AS realised FROM
   (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS t, count(*) OVER (PARTITION BY entity) AS n FROM series) a JOIN (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS t FROM series) b
-  ON a.entity = b.entity AND b.t BETWEEN a.t + 1 AND a.t + 14 CROSS JOIN generate_series(1, 5) g(p) WHERE a.t + 14 <= a.n)"""
+  ON a.entity = b.entity AND b.t BETWEEN a.t + 1 AND a.t + 14 WHERE a.t + 14 <= a.n)"""
 
 
-@query("calibrated_paths", "P4", twin("series", f"""SELECT entity, origin, horizon, target_date, path_id, round(realised * exp(CASE WHEN {pick_sql([DAY_NUMBER, 'ascii(entity)'], '2', 3)} = 1 THEN ln(1.1::DOUBLE) ELSE ln(0.9::DOUBLE) END
-  + {normal_sql([DAY_NUMBER, 'path_id', 'horizon', 'ascii(entity)'], 5)} * 0.1::DOUBLE * sqrt(3.141592653589793::DOUBLE / 2)) * (1 + ({pick_sql([DAY_NUMBER, 'path_id'], '2001', 4)} - 1001) / 1000.0::DOUBLE * 0.02::DOUBLE * sqrt(3.0::DOUBLE)), 2) AS price FROM ahead""", AHEAD))
+@query("calibrated_paths", "P4", twin("series", f"""SELECT entity, origin, horizon, target_date, {PATH_SUMMARY} FROM (
+  SELECT *, list_transform(range(1, {N_PATHS + 1}), lambda p: realised * exp(centre + {normal_sql([DAY_NUMBER, 'p', 'horizon', 'own'], 5)} * 0.1::DOUBLE * sqrt(3.141592653589793::DOUBLE / 2))
+    * (1 + ({pick_sql([DAY_NUMBER, 'p'], '2001', 4)} - 1001) / 1000.0::DOUBLE * 0.02::DOUBLE * sqrt(3.0::DOUBLE))) AS prices
+  FROM (SELECT *, ascii(entity) AS own, CASE WHEN {pick_sql([DAY_NUMBER, 'ascii(entity)'], '2', 3)} = 1 THEN ln(1.1::DOUBLE) ELSE ln(0.9::DOUBLE) END AS centre FROM ahead))""", AHEAD))
 def calibrated_paths(spark, sf):
-    made = fc.calibrated_paths(t.series(spark, sf), ["entity"], "close", target_accuracy=0.9, n_paths=5, horizon=t.HORIZON, seed=3, number=F.ascii("entity"))
-    return made.select("entity", "origin", "horizon", "target_date", "path_id", r("price", 2).alias("price"))
+    made = pa.calibrated(t.series(spark, sf), ["entity"], "close", target_accuracy=0.9, n_paths=N_PATHS, horizon=t.HORIZON, seed=3, number=F.ascii("entity"))
+    return summary(made, "entity", "origin", "horizon", "target_date")
 
 
-@query("perfect_paths", "P4", twin("series", """SELECT a.entity, a.date AS origin, CAST(b.t - a.t AS INTEGER) AS horizon, b.date AS target_date, CAST(p AS INTEGER) AS path_id, b.close AS price FROM
-  (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS t, count(*) OVER (PARTITION BY entity) AS n FROM series) a JOIN (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS t FROM series) b
-  ON a.entity = b.entity AND b.t BETWEEN a.t + 1 AND a.t + 14 CROSS JOIN generate_series(1, 2) g(p) WHERE a.t + 14 <= a.n"""))
+@query("perfect_paths", "P4", twin("series", f"SELECT entity, origin, horizon, target_date, {PATH_SUMMARY} FROM (SELECT *, list_transform(range(1, {N_PATHS + 1}), lambda p: realised) AS prices FROM ahead)", AHEAD))
 def perfect_paths(spark, sf):
-    made = fc.calibrated_paths(t.series(spark, sf), ["entity"], "close", target_accuracy=1.0, n_paths=2, horizon=t.HORIZON, seed=3)
-    return made.select("entity", "origin", "horizon", "target_date", "path_id", "price")
+    made = pa.calibrated(t.series(spark, sf), ["entity"], "close", target_accuracy=1.0, n_paths=N_PATHS, horizon=t.HORIZON, seed=3)
+    return summary(made, "entity", "origin", "horizon", "target_date")
 
 
 # ---- scoring
@@ -169,9 +176,9 @@ def perfect_paths(spark, sf):
 LEVELS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "lo95": 0.025, "hi95": 0.975}
 
 
-@query("path_percentiles", "P5", twin("paths", "SELECT entity, model, origin, horizon, " + ", ".join(f"round(quantile_cont(price, {p}), 4) AS {n}" for n, p in LEVELS.items()) + " FROM paths GROUP BY 1, 2, 3, 4"))
+@query("path_percentiles", "P5", twin("paths", "SELECT entity, model, origin, horizon, " + ", ".join(f"round(list_aggregate(prices, 'quantile_cont', {p}), 4) AS {n}" for n, p in LEVELS.items()) + " FROM paths"))
 def path_percentiles(spark, sf):
-    return rounded(sc.path_percentiles(t.paths(spark, sf), POINT, "price", LEVELS), list(LEVELS))
+    return rounded(pa.percentiles(t.paths(spark, sf), POINT, LEVELS), list(LEVELS))
 
 
 ERR = "round(avg(abs(median_price - actual)), 4) AS mae, round(sqrt(avg((median_price - actual) * (median_price - actual))), 4) AS rmse, round(avg(abs(median_price - actual) / abs(actual)) * 100, 4) AS mape, round(avg(median_price - actual), 4) AS bias, count(*) AS n"
@@ -215,13 +222,13 @@ def errors_per_window(spark, sf):
 
 
 BANDS = {"i80": (0.1, 0.9), "i95": (0.025, 0.975)}
-HITS = """hits AS (SELECT entity, model, origin, horizon, max(actual) AS actual, CASE WHEN max(actual) BETWEEN quantile_cont(price, 0.1) AND quantile_cont(price, 0.9) THEN 1 ELSE 0 END AS i80_hit,
-  quantile_cont(price, 0.9) - quantile_cont(price, 0.1) AS i80_width, CASE WHEN max(actual) BETWEEN quantile_cont(price, 0.025) AND quantile_cont(price, 0.975) THEN 1 ELSE 0 END AS i95_hit,
-  quantile_cont(price, 0.975) - quantile_cont(price, 0.025) AS i95_width FROM scored GROUP BY 1, 2, 3, 4)"""
+HITS = """ends AS (SELECT entity, model, origin, horizon, actual, list_aggregate(prices, 'quantile_cont', [0.1, 0.9, 0.025, 0.975]) AS q FROM scored),
+  hits AS (SELECT entity, model, origin, horizon, actual, CASE WHEN actual BETWEEN q[1] AND q[2] THEN 1 ELSE 0 END AS i80_hit, q[2] - q[1] AS i80_width,
+  CASE WHEN actual BETWEEN q[3] AND q[4] THEN 1 ELSE 0 END AS i95_hit, q[4] - q[3] AS i95_width FROM ends)"""
 
 
 def hits(spark, sf, scored=None):
-    return sc.interval_scores(t.scored(spark, sf) if scored is None else scored, POINT, "price", "actual", BANDS)
+    return pa.interval_scores(t.scored(spark, sf) if scored is None else scored, POINT, "actual", BANDS)
 
 
 @query("interval_coverage", "P9", twin("scored", "SELECT entity, model, round(avg(i80_hit), 6) AS i80, round(avg(i95_hit), 6) AS i95, count(*) AS n FROM hits GROUP BY 1, 2", HITS))
@@ -237,19 +244,20 @@ def calibration(spark, sf):
     return rounded(made, ["i80_sharpness", "i95_sharpness"], 3)
 
 
-CRPS = """crps AS (SELECT entity, model, origin, horizon, avg(abs(price - actual)) - (sum((2 * i - 1) * price) / (count(*) * count(*)) - avg(price)) AS crps
-  FROM (SELECT *, row_number() OVER (PARTITION BY entity, model, origin, horizon ORDER BY price) AS i FROM scored) GROUP BY 1, 2, 3, 4)"""
+CRPS = """crps AS (SELECT entity, model, origin, horizon, list_avg(list_transform(x, lambda v: abs(v - actual))) AS m,
+  list_avg(list_transform(x, lambda v: abs(v - actual))) - (list_sum(list_transform(x, lambda v, i: (2 * i - 1) * v)) / (len(x) * len(x)) - list_avg(x)) AS crps
+  FROM (SELECT entity, model, origin, horizon, actual, list_sort(prices) AS x FROM scored))"""
 
 
 @query("crps", "P11", twin("scored", "SELECT entity, model, origin, horizon, round(crps, 3) AS crps FROM crps", CRPS))
 def crps(spark, sf):
-    return rounded(sc.crps(t.scored(spark, sf), POINT, "price", "actual"), ["crps"], 3)
+    return rounded(pa.crps(t.scored(spark, sf), POINT, "actual"), ["crps"], 3)
 
 
-@query("crps_compat", "P11", twin("scored", "SELECT model, round(avg(0.5 * c + 0.5 * m), 3) AS crps FROM (SELECT model, crps.crps AS c, m.m AS m FROM crps JOIN (SELECT entity, model, origin, horizon, avg(abs(price - actual)) AS m FROM scored GROUP BY 1, 2, 3, 4) m USING (entity, model, origin, horizon)) GROUP BY 1", CRPS))
+@query("crps_compat", "P11", twin("scored", "SELECT model, round(avg(0.5 * crps.crps + 0.5 * m), 3) AS crps FROM crps GROUP BY 1", CRPS))
 def crps_compat(spark, sf):
     """The variant whose spread term is halved twice: the mean of CRPS and mean absolute error."""
-    return sc.crps(t.scored(spark, sf), POINT, "price", "actual", compat=True).groupBy("model").agg(r(F.avg("crps"), 3).alias("crps"))
+    return pa.crps(t.scored(spark, sf), POINT, "actual", compat=True).groupBy("model").agg(r(F.avg("crps"), 3).alias("crps"))
 
 
 DIRECTIONS = """moves AS (SELECT entity, model, origin, horizon, actual, median_price AS f, lag(actual) OVER w AS a0, lag(median_price) OVER w AS f0, first_value(actual) OVER w AS a1, first_value(median_price) OVER w AS f1, row_number() OVER w AS i
@@ -275,29 +283,28 @@ def horizon_error_summary(spark, sf):
     return rounded(rounded(made, ["mae_mean", "mae_std"]), ["mape_mean", "mape_std"], 6)
 
 
-@query("value_at_risk", "P15", twin("paths", """SELECT entity, model, origin, round(max(mu), 4) AS mean, round(max(sd), 4) AS std, max(lo) AS min, max(hi) AS max, round(max(v5), 4) AS var_95, round(max(v1), 4) AS var_99,
-  round(avg(price) FILTER (WHERE price <= v5), 4) AS cvar_95, round(avg(price) FILTER (WHERE price <= v1), 4) AS cvar_99 FROM (SELECT p.*, mu, sd, lo, hi, v5, v1 FROM paths p JOIN (SELECT entity, model, origin, avg(price) AS mu, stddev_pop(price) AS sd,
-  min(price) AS lo, max(price) AS hi, quantile_cont(price, 0.05) AS v5, quantile_cont(price, 0.01) AS v1 FROM paths WHERE horizon = 7 GROUP BY 1, 2, 3) USING (entity, model, origin) WHERE horizon = 7) GROUP BY 1, 2, 3"""))
+@query("value_at_risk", "P15", twin("paths", """SELECT entity, model, origin, round(list_avg(prices), 4) AS mean, round(list_aggregate(prices, 'stddev_pop'), 4) AS std, list_min(prices) AS min, list_max(prices) AS max,
+  round(v5, 4) AS var_95, round(v1, 4) AS var_99, round(list_avg(list_filter(prices, lambda x: x <= v5)), 4) AS cvar_95, round(list_avg(list_filter(prices, lambda x: x <= v1)), 4) AS cvar_99
+  FROM (SELECT *, list_aggregate(prices, 'quantile_cont', 0.05) AS v5, list_aggregate(prices, 'quantile_cont', 0.01) AS v1 FROM paths WHERE horizon = 7)"""))
 def value_at_risk(spark, sf):
-    week = t.paths(spark, sf).filter(F.col("horizon") == 7).select(*FORECAST, "price")
-    made = sc.distribution_statistics(week, FORECAST, "price")
+    made = pa.distribution_statistics(t.paths(spark, sf).filter(F.col("horizon") == 7), FORECAST)
     return rounded(made, ["mean", "std", "var_95", "var_99", "cvar_95", "cvar_99"])
 
 
-@query("ensemble_features", "P17 A8", twin("paths", """SELECT entity, model, origin, horizon, round(avg(CASE WHEN price > spot THEN 1 ELSE 0 END), 6) AS consensus, round(avg(price) / max(spot) - 1, 6) AS expected_return,
-  round((quantile_cont(price, 0.75) - quantile_cont(price, 0.25)) / quantile_cont(price, 0.5), 6) AS iqr_ratio, round(avg(pow((price - mu) / sd, 3)), 5) AS skew, round((max(price) - min(price)) / quantile_cont(price, 0.5), 6) AS range_ratio,
-  round(quantile_cont(price, 0.1) / max(spot) - 1, 6) AS downside, round(max(sd) / quantile_cont(price, 0.5), 6) AS cv
-  FROM (SELECT *, avg(price) OVER w AS mu, stddev_pop(price) OVER w AS sd FROM paths WINDOW w AS (PARTITION BY entity, model, origin, horizon)) GROUP BY 1, 2, 3, 4"""))
+@query("ensemble_features", "P17 A8", twin("paths", """SELECT entity, model, origin, horizon, round(len(list_filter(prices, lambda x: x > spot)) / len(prices), 6) AS consensus, round(mu / spot - 1, 6) + 0.0 AS expected_return,
+  round((q[3] - q[1]) / q[2], 6) AS iqr_ratio, round(list_avg(list_transform(prices, lambda x: pow((x - mu) / sd, 3))), 5) AS skew, round((list_max(prices) - list_min(prices)) / q[2], 6) AS range_ratio,
+  round(q[4] / spot - 1, 6) AS downside, round(sd / q[2], 6) AS cv
+  FROM (SELECT *, list_avg(prices) AS mu, list_aggregate(prices, 'stddev_pop') AS sd, list_aggregate(prices, 'quantile_cont', [0.25, 0.5, 0.75, 0.1]) AS q FROM paths)"""))
 def ensemble_features(spark, sf):
-    made = sc.ensemble_features(t.paths(spark, sf), POINT, "price", "spot")
+    made = pa.ensemble_features(t.paths(spark, sf), POINT, "spot")
     return rounded(rounded(made, ["consensus", "expected_return", "iqr_ratio", "range_ratio", "downside", "cv"], 6), ["skew"], 5)
 
 
 @query("model_comparison", "P16", twin("scored", """SELECT m.model, m.mae, m.n, round(h.i80, 6) AS i80, round(c.crps, 3) AS crps FROM (SELECT model, round(avg(abs(median_price - actual)), 4) AS mae, count(*) AS n
-  FROM (SELECT entity, model, origin, horizon, max(actual) AS actual, quantile_cont(price, 0.5) AS median_price FROM scored GROUP BY 1, 2, 3, 4) GROUP BY 1) m JOIN (SELECT model, avg(i80_hit) AS i80 FROM hits GROUP BY 1) h ON h.model = m.model
+  FROM (SELECT model, actual, list_aggregate(prices, 'quantile_cont', 0.5) AS median_price FROM scored) GROUP BY 1) m JOIN (SELECT model, avg(i80_hit) AS i80 FROM hits GROUP BY 1) h ON h.model = m.model
   JOIN (SELECT model, avg(crps) AS crps FROM crps GROUP BY 1) c ON c.model = m.model""", HITS + ", " + CRPS))
 def model_comparison(spark, sf):
-    points = sc.point_scores(t.scored(spark, sf), POINT, "price", "actual", BANDS).groupBy("model")
+    points = pa.point_scores(t.scored(spark, sf), POINT, "actual", BANDS).groupBy("model")
     return points.agg(
         r(F.avg(F.abs(F.col("median_price") - F.col("actual")))).alias("mae"), F.count(F.lit(1)).alias("n"), r(F.avg("i80_hit"), 6).alias("i80"),
         r(F.avg("crps"), 3).alias("crps"),
@@ -344,16 +351,18 @@ def forecast_manifest(spark, sf):
     return rounded(forecast_coverage(t.paths(spark, sf), ["entity", "model"], "origin", step_days=t.STEP), ["coverage_pct"])
 
 
-@query("load_quality", "P29 A3", twin("paths", """SELECT model, count(*) AS n_rows, count(DISTINCT path_id) AS n_paths, count(DISTINCT origin) AS n_dates, CAST(count(*) FILTER (WHERE day_1 IS NULL) AS BIGINT) AS null_day_1,
-  CAST(count(*) FILTER (WHERE day_14 IS NULL) AS BIGINT) AS null_day_14 FROM (SELECT entity, model, origin, path_id, max(price) FILTER (WHERE horizon = 1) AS day_1, max(price) FILTER (WHERE horizon = 14 AND price > 100000) AS day_14 FROM paths GROUP BY 1, 2, 3, 4) GROUP BY 1"""))
+@query("load_quality", "P29 A3", twin("paths", """SELECT model, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS n_paths, count(DISTINCT origin) AS n_dates, CAST(sum(n - d1) AS BIGINT) AS null_day_1, CAST(sum(n - d14) AS BIGINT) AS null_day_14
+  FROM (SELECT entity, model, origin, max(len(prices)) AS n, coalesce(max(len(prices)) FILTER (WHERE horizon = 1), 0) AS d1, coalesce(max(len(list_filter(prices, lambda x: x > 100000))) FILTER (WHERE horizon = 14), 0) AS d14 FROM paths GROUP BY 1, 2, 3) GROUP BY 1"""))
 def load_quality(spark, sf):
-    from almanac.operators.reshape import paths_to_wide
-
-    kept = t.paths(spark, sf).filter((F.col("horizon") < 14) | (F.col("price") > 100000))
-    wide = paths_to_wide(kept, [*FORECAST, "path_id"], "horizon", "price", t.HORIZON)
-    return wide.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("path_id").alias("n_paths"), F.count_distinct("origin").alias("n_dates"),
-        F.count_if(F.col("day_1").isNull()).alias("null_day_1"), F.count_if(F.col("day_14").isNull()).alias("null_day_14"),
+    """Paths whose last day is not above 100,000 count as missing there."""
+    day, n = F.col("horizon"), F.size("prices")
+    known = t.paths(spark, sf).groupBy(*FORECAST).agg(
+        F.max(n).alias("n"), F.coalesce(F.max(F.when(day == 1, n)), F.lit(0)).alias("d1"),
+        F.coalesce(F.max(F.when(day == t.HORIZON, F.size(F.filter("prices", lambda x: x > 100000)))), F.lit(0)).alias("d14"),
+    )
+    return known.groupBy("model").agg(
+        F.sum("n").alias("n_rows"), F.max("n").cast("bigint").alias("n_paths"), F.count_distinct("origin").alias("n_dates"),
+        F.sum(F.col("n") - F.col("d1")).alias("null_day_1"), F.sum(F.col("n") - F.col("d14")).alias("null_day_14"),
     )
 
 
@@ -361,7 +370,7 @@ def load_quality(spark, sf):
 
 def with_probabilistic(spark, sf):
     """Errors, mean CRPS to 1, 7 and 14 days, coverage and width of the 80 and 95 percent intervals: one pass over the paths."""
-    points = sc.point_scores(t.scored(spark, sf), POINT, "price", "actual", BANDS)
+    points = pa.point_scores(t.scored(spark, sf), POINT, "actual", BANDS)
     more = [F.avg(F.when(F.col("horizon") <= h, F.col("crps"))).alias(f"crps_{h}d") for h in (1, 7, 14)]
     more += [F.avg("i80_hit").alias("coverage_80_14d"), F.avg("i95_hit").alias("coverage_95_14d"), F.avg("i80_width").alias("sharpness_80_14d")]
     rows = sc.errors_at_horizons(points, FORECAST, "median_price", "actual", (1, 7, 14), more)

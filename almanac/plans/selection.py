@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.functions import dates, numbers, strings
-from almanac.operators import dedup, joins, spine as sp
+from almanac.operators import dedup, joins, path_arrays as pa, spine as sp
+from almanac.operators.forecast import points_of
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
@@ -84,11 +85,11 @@ def high_water_mark(spark, sf):
     return joins.newer_than(orders, done, "o_orderdate").select("o_orderkey")
 
 
-@query("latest_run", "F10", twin("paths", """SELECT entity, model, origin, horizon, path_id, price FROM paths
-  WHERE entity = '2-HIGH' AND origin = (SELECT max(origin) FROM paths WHERE entity = '2-HIGH')"""))
+@query("latest_run", "F10", twin("paths", """SELECT entity, model, origin, horizon, unnest(range(1, 2001)) AS path_id, unnest(prices) AS price FROM paths
+  WHERE entity = '2-HIGH' AND origin = (SELECT max(origin) FROM origins WHERE entity = '2-HIGH')"""))
 def latest_run(spark, sf):
     rows = joins.latest_run(t.paths(spark, sf), "origin", F.col("entity") == "2-HIGH")
-    return rows.select("entity", "model", "origin", "horizon", "path_id", "price")
+    return pa.path_rows(rows).select("entity", "model", "origin", "horizon", "path_id", "price")
 
 
 @query("threshold_categories", "F11 X14", """SELECT o_orderkey, CASE WHEN o_totalprice >= 400000 THEN 'EXCELLENT'
@@ -155,20 +156,22 @@ def recent_n_per_model(spark, sf):
 
 # ---- joins
 
-@query("forecast_with_actual", "J7 J10", twin("scored", "SELECT entity, model, origin, horizon, count(*) AS n, max(actual) AS actual, round(avg(price - actual), 4) AS mean_gap, min(price) AS lowest, max(price) AS highest FROM scored GROUP BY 1, 2, 3, 4"))
+@query("forecast_with_actual", "J7 J10", twin("scored", "SELECT entity, model, origin, horizon, len(prices) AS n, actual, round(list_avg(list_transform(prices, lambda x: x - actual)), 4) AS mean_gap, list_min(prices) AS lowest, list_max(prices) AS highest FROM scored"))
 def forecast_with_actual(spark, sf):
-    return t.scored(spark, sf).groupBy("entity", "model", "origin", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.max("actual").alias("actual"), r(F.avg(F.col("price") - F.col("actual"))).alias("mean_gap"),
-        F.min("price").alias("lowest"), F.max("price").alias("highest"),
+    return t.scored(spark, sf).select(
+        "entity", "model", "origin", "horizon", F.size("prices").cast("bigint").alias("n"), "actual",
+        r(pa.mean("prices", lambda x: x - F.col("actual"))).alias("mean_gap"), F.array_min("prices").alias("lowest"), F.array_max("prices").alias("highest"),
     )
 
 
 @query("newest_forecasts_left_actuals", "J8", twin("paths series", """SELECT p.entity, p.model, p.origin, p.horizon, p.path_id, p.price, s.close AS actual FROM
-  (SELECT * FROM paths ORDER BY origin DESC, entity, model, horizon DESC, path_id LIMIT 500) p LEFT JOIN series s ON s.entity = p.entity AND s.date = p.target_date"""))
+  (SELECT *, unnest(range(1, 2001)) AS path_id, unnest(prices) AS price FROM paths ORDER BY origin DESC, entity, model, horizon DESC, path_id LIMIT 500) p LEFT JOIN series s ON s.entity = p.entity AND s.date = p.target_date"""))
 def newest_forecasts_left_actuals(spark, sf):
     actual = t.actuals_of(t.series(spark, sf))
     order = [F.col("origin").desc(), F.col("entity"), F.col("model"), F.col("horizon").desc(), F.col("path_id")]
-    joined = joins.newest_with_actuals(t.paths(spark, sf), actual, ["entity", "target_date"], order, 500)
+    points = points_of(t.origins(spark, sf), horizon=t.HORIZON)
+    newest = t.with_paths(points.orderBy(F.col("origin").desc(), "entity").limit(500))  # whole origins, each with a path at least
+    joined = joins.newest_with_actuals(pa.path_rows(newest), actual, ["entity", "target_date"], order, 500)
     return joined.select("entity", "model", "origin", "horizon", "path_id", "price", "actual")
 
 
@@ -180,13 +183,9 @@ def zscore_join(spark, sf):
 
 
 @query("range_join_coverage", "J11", twin("scored", """SELECT entity, model, horizon, round(avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS covered
-  FROM (SELECT entity, model, origin, horizon, max(actual) AS actual, quantile_cont(price, 0.1) AS lo, quantile_cont(price, 0.9) AS hi
-    FROM scored GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""))
+  FROM (SELECT entity, model, horizon, actual, list_aggregate(prices, 'quantile_cont', 0.1) AS lo, list_aggregate(prices, 'quantile_cont', 0.9) AS hi FROM scored) GROUP BY 1, 2, 3"""))
 def range_join_coverage(spark, sf):
-    points = F.percentile("price", F.array(F.lit(0.1), F.lit(0.9)))
-    spread = t.paths(spark, sf).groupBy("entity", "model", "origin", "horizon", "target_date").agg(points.alias("q")).select(
-        "*", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")
-    )
+    spread = pa.percentiles(t.paths(spark, sf), ["entity", "model", "origin", "horizon", "target_date"], {"lo": 0.1, "hi": 0.9})
     actual = t.series(spark, sf).select("entity", F.col("date").alias("target_date"), F.col("close").alias("actual"))
     joined = spread.join(actual, ["entity", "target_date"])
     hit = joins.inside_interval(joined, "actual", "lo", "hi").cast("double")
@@ -229,15 +228,15 @@ def decision_comparison(spark, sf):
     return joins.compared(best, actual, ["date"], ["close", "volume"])
 
 
-@query("three_way_currency", "J15", twin("scored fx_raw", """SELECT s.entity, s.model, s.origin, s.horizon, count(*) AS n, max(s.price * x.asia_usd / 100000) AS forecast_high, min(s.price * x.asia_usd / 100000) AS forecast_low,
-  max(s.actual * x.asia_usd / 100000) AS actual_local FROM scored s JOIN fx_raw x ON x.date = s.target_date WHERE x.asia_usd IS NOT NULL GROUP BY 1, 2, 3, 4"""))
+@query("three_way_currency", "J15", twin("scored fx_raw", """SELECT s.entity, s.model, s.origin, s.horizon, len(prices) AS n, list_max(list_transform(prices, lambda p: p * asia_usd / 100000)) AS forecast_high, list_min(list_transform(prices, lambda p: p * asia_usd / 100000)) AS forecast_low,
+  s.actual * x.asia_usd / 100000 AS actual_local FROM scored s JOIN fx_raw x ON x.date = s.target_date WHERE x.asia_usd IS NOT NULL"""))
 def three_way_currency(spark, sf):
     rates = t.fx_wide(spark, sf).select(F.col("date").alias("target_date"), "asia_usd").filter(F.col("asia_usd").isNotNull())
     joined = t.scored(spark, sf).join(rates, "target_date")
-    local = F.col("price") * F.col("asia_usd") / 100000
-    return joined.groupBy("entity", "model", "origin", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.max(local).alias("forecast_high"), F.min(local).alias("forecast_low"),
-        F.max(F.col("actual") * F.col("asia_usd") / 100000).alias("actual_local"),
+    local = F.transform("prices", lambda p: p * F.col("asia_usd") / 100000)
+    return joined.select(
+        "entity", "model", "origin", "horizon", F.size("prices").cast("bigint").alias("n"), F.array_max(local).alias("forecast_high"),
+        F.array_min(local).alias("forecast_low"), (F.col("actual") * F.col("asia_usd") / 100000).alias("actual_local"),
     )
 
 
@@ -294,13 +293,12 @@ def price_in_all_currencies(spark, sf):
     return rounded(done, ["local_price"])
 
 
-@query("newest_run_statistics", "J21", twin("paths", """SELECT p.horizon, round(avg(price), 4) AS mean_price, round(stddev_samp(price), 4) AS std_price, count(*) AS n FROM paths p
-  JOIN (SELECT entity, model, origin FROM paths ORDER BY origin DESC, entity, model LIMIT 1) k USING (entity, model, origin) GROUP BY 1"""))
+@query("newest_run_statistics", "J21", twin("paths", """SELECT p.horizon, round(list_avg(prices), 4) AS mean_price, round(list_aggregate(prices, 'stddev_samp'), 4) AS std_price, len(prices) AS n FROM paths p
+  JOIN (SELECT entity, model, origin FROM paths ORDER BY origin DESC, entity, model LIMIT 1) k USING (entity, model, origin)"""))
 def newest_run_statistics(spark, sf):
-    rows = t.paths(spark, sf)
-    newest = t.origins(spark, sf).select("entity", "origin", F.explode(F.array(*[F.lit(m) for m in t.MODELS])).alias("model"))
-    key = newest.orderBy(F.col("origin").desc(), "entity", "model").limit(1)
-    stats = rows.join(F.broadcast(key), ["entity", "model", "origin"]).groupBy("horizon")
+    newest = t.origins(spark, sf).orderBy(F.col("origin").desc(), "entity").limit(1)
+    rows = t.with_paths(points_of(newest, horizon=t.HORIZON)).filter(F.col("model") == min(t.MODELS))
+    stats = pa.path_rows(rows).groupBy("horizon")  # one forecast run
     return stats.agg(r(F.avg("price")).alias("mean_price"), r(F.stddev_samp("price")).alias("std_price"), F.count(F.lit(1)).alias("n"))
 
 

@@ -66,7 +66,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         """SELECT *, CASE theme WHEN 'view' THEN 'SUPPLY' WHEN 'click' THEN 'MARKET' WHEN 'signup' THEN 'TRADE'
              WHEN 'error' THEN 'LOGISTICS' ELSE 'OTHER' END AS theme_group FROM news""",
     ),
-    # forecasts: every seventh day of the walk, three models, twenty paths, fourteen horizons
+    # forecasts: every seventh day of the walk, three models, fourteen horizons, 2,000 paths in a list
     "walk": (
         "series",
         """SELECT entity, date, close,
@@ -82,11 +82,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "paths": (
         "origins",
-        """SELECT entity, origin, model, h AS horizon, p AS path_id, spot, CAST(origin + CAST(h AS INTEGER) AS DATE) AS target_date,
-             (CASE model WHEN 'naive' THEN spot WHEN 'drift' THEN spot + h * drift ELSE mean30 END)
-               * (1 + (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / 20011.0::DOUBLE) AS price
-           FROM origins, (VALUES ('naive', 1), ('drift', 2), ('mean30', 3)) models(model, m),
-             generate_series(1, 14) hs(h), generate_series(1, 20) ps(p)""",
+        """SELECT entity, origin, model, horizon, spot, target_date,
+             list_transform(range(1, 2001), lambda p: centre * (1 + (((p * 7919 + base) % 2001) - 1000) / 20011.0::DOUBLE)) AS prices
+           FROM (SELECT entity, origin, model, h AS horizon, spot, CAST(origin + CAST(h AS INTEGER) AS DATE) AS target_date,
+               h * 104729 + m * 1299709 AS base, CASE model WHEN 'naive' THEN spot WHEN 'drift' THEN spot + h * drift ELSE mean30 END AS centre
+             FROM origins, (VALUES ('naive', 1), ('drift', 2), ('mean30', 3)) models(model, m), generate_series(1, 14) hs(h))""",
     ),
     "scored": (
         "paths series",
@@ -94,8 +94,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "medians": (
         "scored",
-        """SELECT entity, model, origin, horizon, target_date, max(spot) AS spot, max(actual) AS actual,
-             quantile_cont(price, 0.5) AS median_price FROM scored GROUP BY 1, 2, 3, 4, 5""",
+        """SELECT entity, model, origin, horizon, target_date, spot, actual, list_aggregate(prices, 'quantile_cont', 0.5) AS median_price FROM scored""",
     ),
     # ledger: sales by day; the return flag names the strategy
     "trades": (

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from almanac.operators import spine as sp
 from almanac.operators.fill import forward_fill
-from almanac.operators.forecast import path_grid, points_of, walk_origins
+from almanac.operators.forecast import points_of, walk_origins
 from almanac.operators.lineage import written
+from almanac.operators.path_arrays import percentiles, with_prices
 
-PATHS, HORIZON, STEP, WARMUP = 20, 14, 7, 30
+PATHS, HORIZON, STEP, WARMUP = 2000, 14, 7, 30
 MODELS = {"naive": 1, "drift": 2, "mean30": 3}
 REGION_COLUMNS = {
     "AFRICA": "africa_usd", "AMERICA": "america_usd", "ASIA": "asia_usd", "EUROPE": "europe_usd",
@@ -139,22 +140,31 @@ def origins(spark: SparkSession, sf: str) -> DataFrame:
     return origins_of(series(spark, sf))
 
 
-def _expanded(points: DataFrame) -> DataFrame:
-    """Forecast paths: deterministic integer noise around each model's centre, so that SQL gives the same numbers."""
-    h, p, m = F.col("horizon").cast("bigint"), F.col("path_id").cast("bigint"), F.col("m").cast("bigint")
-    noise = (((p * 7919 + h * 104729 + m * 1299709) % 2001) - 1000) / F.lit(20011.0)
+def with_paths(points: DataFrame) -> DataFrame:
+    """Every point and model with its paths as one array: deterministic integer noise around each model's centre, so that SQL
+    gives the same numbers.
+
+    The noise depends on model, horizon and path alone: 42 arrays, a table of fixed size that every task gets. Points are spread
+    by (entity, origin) before they get their paths; nothing is shuffled after.
+    """
+    spark = points.sparkSession
+    named = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(v).alias("m")) for k, v in MODELS.items()])
+    steps = spark.range(1, HORIZON + 1).select(F.col("id").cast("int").alias("horizon"), F.inline(named))
+    base = F.col("horizon").cast("bigint") * 104729 + F.col("m").cast("bigint") * 1299709
+    noise = with_prices(steps, PATHS, lambda p: 1 + ((p.cast("bigint") * 7919 + base) % 2001 - 1000) / F.lit(20011.0)).drop("m")
     centre = (
         F.when(F.col("model") == "naive", F.col("spot"))
         .when(F.col("model") == "drift", F.col("spot") + F.col("horizon") * F.col("drift"))
         .otherwise(F.col("mean30"))
     )
-    kept = [c for c in points.columns if c not in ("mean30", "drift")]
-    grid_rows = path_grid(points, ["entity"], MODELS, paths=PATHS)
-    return grid_rows.select(*kept, "model", "path_id", (centre * (1 + noise)).alias("price"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.repartition(partitions, "entity", "origin").join(F.broadcast(noise), "horizon").withColumn("__c", centre)
+    return rows.withColumn("prices", F.transform("prices", lambda n: F.col("__c") * n)).drop("mean30", "drift", "__c")
 
 
 def paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _expanded(points_of(origins(spark, sf), horizon=HORIZON))
+    """One row for each forecast (entity, model, origin, horizon) with ``prices``, its 2,000 paths."""
+    return with_paths(points_of(origins(spark, sf), horizon=HORIZON))
 
 
 def actuals_of(daily: DataFrame) -> DataFrame:
@@ -162,17 +172,15 @@ def actuals_of(daily: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths with the realised price, joined to the points before they are expanded to paths."""
+    """Forecasts with the realised price, joined to the points before they get their paths."""
     daily = series(spark, sf)
     points = points_of(origins_of(daily), horizon=HORIZON)
-    return _expanded(points.join(actuals_of(daily), ["entity", "target_date"]))
+    return with_paths(points.join(actuals_of(daily), ["entity", "target_date"]))
 
 
 def medians_of(scored_paths: DataFrame) -> DataFrame:
-    """One point forecast per (model, origin, horizon): the group is the fixed number of paths."""
-    return scored_paths.groupBy("entity", "model", "origin", "horizon", "target_date").agg(
-        F.max("spot").alias("spot"), F.max("actual").alias("actual"), F.percentile("price", F.lit(0.5)).alias("median_price")
-    )
+    """One point forecast per (model, origin, horizon)."""
+    return percentiles(scored_paths, ["entity", "model", "origin", "horizon", "target_date", "spot", "actual"], {"median_price": 0.5})
 
 
 def medians(spark: SparkSession, sf: str) -> DataFrame:
