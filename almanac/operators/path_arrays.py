@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from almanac.functions.picks import normal, pick
+from almanac.functions.picks import MULTIPLIERS, PRIME, ROUNDS, linear
 from almanac.operators.forecast import key_number
 
 Of = Callable[[Column], Column]
@@ -29,6 +30,11 @@ def path_rows(df: DataFrame) -> DataFrame:
     return df.select(*kept, F.posexplode("prices").alias("path_id", "price")).withColumn("path_id", F.col("path_id") + 1)
 
 
+def spread(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The points over all partitions: paths are made where the points lie, however few these are."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _day() -> Column:
     return F.datediff("origin", F.lit("1970-01-01"))
 
@@ -42,52 +48,47 @@ def bootstrap(points: DataFrame, residual_rows: DataFrame, keys: Sequence[str],
     the calendar bounds).
     """
     rows = F.sort_array(F.collect_list(F.struct("row_id", "residual")))
-    slices = residual_rows.groupBy(*keys, "horizon").agg(rows.alias("__r"))
+    slices = residual_rows.groupBy(*keys, "horizon").agg(F.transform(rows, lambda x: x["residual"]).alias("__r"))
     sizes = residual_rows.groupBy(*keys).agg(F.max("row_id").alias("__n"))
-    known = points.join(slices, [*keys, "horizon"]).join(sizes, list(keys))
-    known = known.withColumn("__r", F.transform("__r", lambda x: x["residual"]))
+    known = spread(points.join(sizes, list(keys)), [*keys, "horizon"]).join(slices, [*keys, "horizon"])
 
-    def price(p):
-        place = pick([_day(), p, F.floor((F.col("horizon") - 1) / block)], F.col("__n"), seed) - 1
-        return F.col("forecast") + F.get("__r", place.cast("int"))
+    known = _drawn(known, "__m", [_day(), F.lit(0), F.floor((F.col("horizon") - 1) / block)], n_paths, seed, normals=False)
+    prices = F.transform("__m", lambda m: F.col("forecast") + F.get("__r", (m % F.col("__n")).cast("int")))
+    return known.select(*keys, "origin", "horizon", "target_date", prices.alias("prices"))
 
-    return with_prices(known, n_paths, price).select(*keys, "origin", "horizon", "target_date", "prices")
 
+def _drawn(points: DataFrame, name: str, parts: Sequence[Column], n_paths: int, seed: int, *, normals: bool) -> DataFrame:
+    """``points`` with the draws of ``picks.mixed`` or ``picks.normal`` for every path number, which is the second of the parts: one array
+    in the row, made by NumPy for some hundred points at a time."""
+    asked = points.withColumn("__total", linear(parts))
+    paths, names = np.arange(1, n_paths + 1, dtype=np.int64) * MULTIPLIERS[1], points.columns
 
-def gaussian(points: DataFrame, keys: Sequence[str], *, n_paths: int, sigma: str, seed: int, number: Column | None = None) -> DataFrame:
-    """Independent normal noise of ``sigma`` around each point forecast. A draw depends on (key, origin, horizon, path) alone;
-    ``number`` is the key's integer, by default a hash."""
-    own = key_number(keys) if number is None else number
-    return with_prices(points, n_paths, lambda p: F.col("forecast") + normal([_day(), p, F.col("horizon"), own], seed) * F.col(sigma))
+    def made(total, start):
+        total = start + total
+        for shift, constant in ROUNDS:
+            rest = total % PRIME
+            total = rest * (rest + shift) + constant
+        return total % PRIME
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at:at + 256]
+                total = part["__total"].to_numpy()[:, None] + paths
+                draws = made(total, seed)
+                if normals:
+                    draws = np.sqrt(-2 * np.log((draws + 0.5) / PRIME)) * np.cos(2 * np.pi * ((made(total, seed + 1) + 0.5) / PRIME))
+                yield part[names].assign(**{name: list(draws)})
 
-def calibrated(
-    series: DataFrame, keys: Sequence[str], value: str, *, target_accuracy: float, n_paths: int, horizon: int, seed: int, date: str = "date",
-    number: Column | None = None,
-) -> DataFrame:
-    """Synthetic forecasts with a chosen error: log-normal noise centred at plus or minus the target error around the realised
-    future, with the draws of ``forecast.calibrated_paths``. With accuracy 1 every path equals the realised value."""
-    error = 1.0 - target_accuracy
-    order = Window.partitionBy(*keys).orderBy(date)
-    ahead = F.array(*[
-        F.struct(F.lit(h).alias("horizon"), F.lead(date, h).over(order).alias("target_date"), F.lead(value, h).over(order).alias("realised"))
-        for h in range(1, horizon + 1)
-    ])
-    future = series.select(*keys, F.col(date).alias("origin"), ahead.alias("__f"))
-    rows = future.filter(F.col("__f")[horizon - 1]["target_date"].isNotNull()).select(*keys, "origin", F.inline("__f"))
-    if error == 0:
-        return rows.withColumn("prices", F.array_repeat("realised", n_paths))
-    own = key_number(keys) if number is None else number
-    centre = F.when(pick([_day(), own], F.lit(2), seed) == 1, F.log(F.lit(1 + error))).otherwise(F.log(F.lit(1 - error)))
-    sigma = error * (3.141592653589793 / 2) ** 0.5
-    rows = rows.withColumn("__c", centre)
+    return asked.mapInPandas(run, T.StructType([*points.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType() if normals else T.LongType()))]))
 
-    def price(p):
-        unit = (pick([_day(), p], F.lit(2001), seed + 1) - 1001) / F.lit(1000.0)
-        noise = normal([_day(), p, F.col("horizon"), own], seed + 2) * sigma
-        return F.col("realised") * F.exp(F.col("__c") + noise) * (1 + unit * F.lit(0.02 * 3**0.5))
 
-    return with_prices(rows, n_paths, price).drop("__c")
+def gaussian(points: DataFrame, keys: Sequence[str], *, n_paths: int, sigma: str, seed: int, number: Column | None = None) -> DataFrame:
+    """Independent normal noise of ``sigma`` around each point forecast. A draw depends on (key, origin, horizon, path) alone;
+    ``number`` is the key's integer, by default a hash."""
+    own = key_number(keys) if number is None else number
+    rows = _drawn(spread(points, [*keys, "origin"]), "__z", [_day(), F.lit(0), F.col("horizon"), own], n_paths, seed, normals=True)
+    return rows.withColumn("prices", F.transform("__z", lambda z: F.col("forecast") + z * F.col(sigma))).drop("__z")
 
 
 # ---- columns over one forecast's paths

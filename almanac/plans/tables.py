@@ -8,7 +8,7 @@ from almanac.operators import spine as sp
 from almanac.operators.fill import forward_fill
 from almanac.operators.forecast import points_of, walk_origins
 from almanac.operators.lineage import written
-from almanac.operators.path_arrays import percentiles, with_prices
+from almanac.operators.path_arrays import percentiles, spread, with_prices
 
 PATHS, HORIZON, STEP, WARMUP = 2000, 14, 7, 30
 MODELS = {"naive": 1, "drift": 2, "mean30": 3}
@@ -157,8 +157,7 @@ def with_paths(points: DataFrame) -> DataFrame:
         .when(F.col("model") == "drift", F.col("spot") + F.col("horizon") * F.col("drift"))
         .otherwise(F.col("mean30"))
     )
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.repartition(partitions, "entity", "origin").join(F.broadcast(noise), "horizon").withColumn("__c", centre)
+    rows = spread(points, ["entity", "origin"]).join(F.broadcast(noise), "horizon").withColumn("__c", centre)
     return rows.withColumn("prices", F.transform("prices", lambda n: F.col("__c") * n)).drop("mean30", "drift", "__c")
 
 

@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -36,3 +38,11 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()) if os.environ.get("ALMANAC_ALL_TWINS") else QUICK)
 def test_twin(spark, name):
     assert differences(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) == []
+
+
+def test_a_missing_optional_library_costs_the_other_queries_nothing():
+    code = "import sys; sys.modules['sentencepiece'] = None; import __spark_entry__ as e; print(len(e.queries()), 'op1_repeats' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=HERE, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-800:]
+    count, held = out.stdout.split()[-2:]
+    assert int(count) >= 300 and held == "False"
