@@ -1,4 +1,4 @@
-"""Retrieval: nearest vectors, keyword scores, fusion and recall."""
+"""Retrieval: nearest vectors, fusion of keyword and vector scores, and recall."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.operators.dedup import first_n_per_group
-from almanac.functions.strings import any_script_words
-from almanac.operators.lineage import written
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 2048
@@ -93,35 +91,6 @@ def _nearest_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
     return vectors.select(*kept).mapInPandas(best_of_part, schema)
 
 
-def bm25(
-    docs: DataFrame, queries: DataFrame, *, doc_id: str, doc_text: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75
-) -> DataFrame:
-    """BM25 score of every (query, document) pair that shares a term.
-
-    Only postings of query terms survive the join. How the terms' side is joined is left to adaptive execution, which sees
-    its size and splits a frequent term's postings.
-    """
-    asked = queries.select(query_id, F.explode(F.array_distinct(any_script_words(query_text))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    wanted = vocabulary.unionByName(vocabulary.limit(1).select(F.lit("").alias("term")))
-    # one pass over the texts: postings of asked terms, and one "" posting per text that carries its length
-    words = docs.select(doc_id, any_script_words(doc_text).alias("w"))
-    each = words.select(doc_id, F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
-    counted = each.join(wanted, "term", "left_semi").groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = written(counted, "postings")
-    texts = postings.filter(F.col("term") == "")
-    n_docs = texts.agg(F.count(F.lit(1))).scalar()
-    mean_len = texts.agg(F.avg("len")).scalar()
-    relevant = postings.filter(F.col("term") != "")
-    df = relevant.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df, "term").select(query_id, "term", idf.alias("idf"))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len)
-    contributions = relevant.select(doc_id, "term", (F.col("tf") * (k1 + 1) / norm).alias("w"))
-    scored = contributions.join(weighted, "term")
-    return scored.groupBy(query_id, doc_id).agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
-
-
 def top_scores(scores: DataFrame, query_id: str, doc_id: str, k: int, score: str = "score") -> DataFrame:
     best = first_n_per_group(scores, [query_id], [F.round(score, 6).desc(), F.col(doc_id)], k)
     place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.round(score, 6).desc(), F.col(doc_id)))
@@ -133,7 +102,7 @@ def semantic_scores(
 ) -> DataFrame:
     """The cosines that can matter to the first ``k`` of a fusion with non-negative keyword scores.
 
-    Every pair with a keyword score gets its cosine by equi joins. A document without one is beaten by all documents with
+    ``keyword`` needs only the pairs from :func:`keyword_floors` on. Each gets its cosine by equi joins. A document without one is beaten by all documents with
     higher cosines, so of those only each query's ``2 * k`` nearest are added (twice ``k`` leaves room for rounded ties).
     """
     asked = queries.select(query_id, F.col(vector).alias("__q"))
@@ -147,14 +116,41 @@ def semantic_scores(
 TECHNICAL_WORDS = ("error", "function", "api", "endpoint", "class")
 
 
+def fusion_weight(query_text: Column | str) -> Column:
+    """The share of the cosine in a fused score: a half for technical questions, 0.8 for others."""
+    lower, technical = F.lower(query_text), F.lit(False)
+    for word in TECHNICAL_WORDS:
+        technical = technical | lower.contains(word)
+    return F.when(technical, 0.5).otherwise(0.8)
+
+
+def keyword_floors(
+    best_words: DataFrame, best_vectors: DataFrame, queries: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, *,
+    query_id: str, doc_id: str, vector: str, query_text: str,
+) -> DataFrame:
+    """The keyword score below which a document cannot be among a question's first ``k`` of the fusion.
+
+    The first ``k`` by keywords (``best_words``, all of them with their cosines) and the first ``k`` by cosine each give ``k`` documents
+    that reach some fused score. A document outside must reach it with at most the question's best cosine, so the rest must come from
+    its keyword score.
+    """
+    kinds = questions.select(query_id, fusion_weight(query_text).alias("__w"))
+    asked = queries.select(query_id, F.col(vector).alias("__q"))
+    held = best_words.join(vectors.select(doc_id, F.col(vector).alias("__v")), doc_id, "left").join(asked, query_id, "left").join(kinds, query_id)
+    both = F.col("__w") * F.coalesce(cosine(F.col("__q"), F.col("__v")), F.lit(0.0)) + (1 - F.col("__w")) * F.col("score")
+    by_words = held.groupBy(query_id).agg(F.min(both).alias("__least"), F.count(F.lit(1)).alias("__n"))
+    by_vectors = best_vectors.groupBy(query_id).agg(F.max("score").alias("__most"), F.min(F.when(F.col("rank") == k, F.col("score"))).alias("__kth"))
+    rows = kinds.join(by_words, query_id).join(by_vectors, query_id, "left")
+    reached = F.greatest(F.when(F.col("__n") >= k, F.col("__least")), F.col("__w") * F.col("__kth"), F.lit(0.0))
+    most = F.greatest(F.col("__most"), F.lit(0.0))
+    return rows.select(query_id, F.greatest((reached - F.col("__w") * most) / (1 - F.col("__w")), F.lit(0.0)).alias("floor"))
+
+
 def fused(
     semantic: DataFrame, keyword: DataFrame, queries: DataFrame, *, query_id: str, doc_id: str, query_text: str
 ) -> DataFrame:
     """Weighted sum of both scores: halves for technical questions, 0.8 to 0.2 otherwise; a missing score counts as zero."""
-    lower, technical = F.lower(query_text), F.lit(False)
-    for word in TECHNICAL_WORDS:
-        technical = technical | lower.contains(word)
-    kinds = queries.select(query_id, F.when(technical, 0.5).otherwise(0.8).alias("__w"))
+    kinds = queries.select(query_id, fusion_weight(query_text).alias("__w"))
     both = semantic.withColumnRenamed("score", "__s").join(keyword.withColumnRenamed("score", "__k"), [query_id, doc_id], "full")
     weight = F.col("__w")
     total = weight * F.coalesce("__s", F.lit(0.0)) + (1 - weight) * F.coalesce("__k", F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import strings
 from almanac.functions.picks import mixed_sql, pick_sql
-from almanac.operators import answers as an, chunks as ch, labels as lb, retrieval as rt
+from almanac.operators import answers as an, chunks as ch, keyword_index as ki, labels as lb, retrieval as rt
 from almanac.operators.lineage import written
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
@@ -157,13 +157,20 @@ TERMS = r"""terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, u
     FROM asked JOIN dfs USING (term) JOIN terms USING (term) JOIN lens USING (doc_id), cnt GROUP BY 1, 2)"""
 
 
-def keyword_scores(spark, sf):
-    return rt.bm25(t.table(spark, sf, "documents"), t.table(spark, sf, "benchmark"), doc_id="doc_id", doc_text="text", query_id="item_id", query_text="text")
+ASKED = {"query_id": "item_id", "query_text": "text", "doc_id": "doc_id"}
+
+
+def keyword_index(spark, sf):
+    return ki.build_index(t.table(spark, sf, "documents"), doc_id="doc_id", text="text")
+
+
+def keyword_top(spark, sf, k):
+    return ki.keyword_top(keyword_index(spark, sf), t.table(spark, sf, "benchmark"), k, **ASKED)
 
 
 @query("bm25_top", "N15", twin("", "SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 10", TERMS))
 def bm25_top(spark, sf):
-    return rounded(rt.top_scores(keyword_scores(spark, sf), "item_id", "doc_id", 10), ["score"], 6)
+    return rounded(keyword_top(spark, sf, 10), ["score"], 6)
 
 
 HYBRID = TERMS + ", " + VECTORS + """, sem AS (SELECT item_id, vec_id AS doc_id, list_cosine_similarity(c, v) AS s FROM benchmark JOIN cents ON cents.label = item_id % 10, vecs),
@@ -172,26 +179,30 @@ HYBRID = TERMS + ", " + VECTORS + """, sem AS (SELECT item_id, vec_id AS doc_id,
   top_fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 10)"""
 
 
-def hybrid(spark, sf):
+def hybrid(spark, sf, index):
     questions = t.table(spark, sf, "benchmark")
     queries = questions.select("item_id", (F.col("item_id") % 10).cast("int").alias("label")).join(class_centres(spark, sf), "label")
     vectors = t.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    keyword = written(keyword_scores(spark, sf), "keyword")
-    semantic = rt.semantic_scores(queries, vectors, keyword, 10, query_id="item_id", doc_id="doc_id", vector="embedding")
+    names = {"query_id": "item_id", "doc_id": "doc_id", "vector": "embedding"}
+    best_words = ki.keyword_top(index, questions, 10, **ASKED)
+    best_vectors = rt.nearest(queries, vectors, 10, query_id="item_id", vector_id="doc_id", vector="embedding")
+    floors = rt.keyword_floors(best_words, best_vectors, queries, vectors, questions, 10, **names, query_text="text")
+    keyword = written(ki.keyword_above(index, questions, floors, **ASKED), "keyword")
+    semantic = rt.semantic_scores(queries, vectors, keyword, 10, **names)
     both = rt.fused(semantic, keyword, questions, query_id="item_id", doc_id="doc_id", query_text="text")
     return rt.top_scores(both, "item_id", "doc_id", 10)
 
 
 @query("hybrid_top", "N16", twin("", "SELECT item_id, doc_id, round(score, 6) AS score, rank FROM top_fused", HYBRID))
 def hybrid_top(spark, sf):
-    return rounded(hybrid(spark, sf), ["score"], 6)
+    return rounded(hybrid(spark, sf, keyword_index(spark, sf)), ["score"], 6)
 
 
 @query("merged_variants", "N17", twin("", """SELECT question, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM (
   SELECT item_id // 4 AS question, doc_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM bm) WHERE rk <= 3 GROUP BY 1, 2)) WHERE rank <= 5""", TERMS))
 def merged_variants(spark, sf):
     """Four phrasings per question, three results each."""
-    results = rt.top_scores(keyword_scores(spark, sf), "item_id", "doc_id", 3)
+    results = keyword_top(spark, sf, 3).drop("rank")
     variants = t.table(spark, sf, "benchmark").select("item_id", F.floor(F.col("item_id") / 4).alias("question"))
     made = rt.merged_variants(results, variants, variant_id="item_id", query_id="question", doc_id="doc_id", k=5)
     return rounded(made, ["score"], 6)
@@ -207,8 +218,9 @@ def similar_vectors(spark, sf):
 
 @query("retrieval_recall", "N21", twin("", "SELECT round(avg(r), 6) AS recall, count(*) AS n_queries FROM (SELECT item_id, count(f.doc_id) / CAST(count(*) AS DOUBLE) AS r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM bm) WHERE rk <= 3) b LEFT JOIN top_fused f USING (item_id, doc_id) GROUP BY 1)", HYBRID))
 def retrieval_recall(spark, sf):
-    truth = rt.top_scores(keyword_scores(spark, sf), "item_id", "doc_id", 3).select("item_id", "doc_id")
-    return rounded(rt.recall_at(hybrid(spark, sf), truth, query_id="item_id", doc_id="doc_id", k=10), ["recall"], 6)
+    index = keyword_index(spark, sf)
+    truth = ki.keyword_top(index, t.table(spark, sf, "benchmark"), 3, **ASKED).select("item_id", "doc_id")
+    return rounded(rt.recall_at(hybrid(spark, sf, index), truth, query_id="item_id", doc_id="doc_id", k=10), ["recall"], 6)
 
 
 # ---- answers and logs
