@@ -65,3 +65,14 @@ def season_year(column: Column | str, windows: Sequence[tuple[int, int]]) -> Col
         if first > last:
             year = F.when(F.month(c) <= last, year - 1).otherwise(year)
     return year
+
+
+def season_days(windows: Sequence[tuple[int, int]]) -> int:
+    """Days in all windows of a year, each month counted as 30; a window may run over the turn of the year."""
+    return sum(30 * ((last - first) % 12 + 1) for first, last in windows)
+
+
+def season_increment(column: Column | str, windows: Sequence[tuple[int, int]], annual: float) -> Column:
+    """The part of an annual volume that a day brings in: evenly spread over the windows, zero outside."""
+    days = season_days(windows)
+    return F.when(in_season(column, windows), F.lit(annual / days if days else 0.0)).otherwise(0.0)

@@ -49,7 +49,7 @@ def text_classifier(text: str, label: str, *, buckets: int = 1 << 16) -> Pipelin
     """Hashed word counts, inverse document frequency and logistic regression."""
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text, outputCol="words", pattern="[^a-z0-9]+"), HashingTF(inputCol="words", outputCol="tf", numFeatures=buckets),
+            RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="words", outputCol="tf", numFeatures=buckets),
             IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, maxIter=20, regParam=0.01),
         ]
     )
@@ -95,8 +95,3 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, reg: Sequenc
 def latest_model(metadata: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest training per key; equal dates fall to the smaller model id."""
     return top_per_group(metadata.withColumn("__t", F.unix_timestamp("training_date")), keys, "__t", ["model_id"]).drop("__t")
-
-
-def saved_and_reloaded(model: PipelineModel, path: str) -> PipelineModel:
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)

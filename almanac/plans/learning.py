@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from almanac.operators import learning as ml, quality as q
+from almanac.operators import learning as ml, model_store as ms, quality as q
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
@@ -43,13 +45,40 @@ def latest_model_metadata(spark, sf):
 
 @query("saved_model_scores", "M20 M24", """SELECT l_returnflag, count(*) AS n, round(avg((SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity), 2) AS mean_prediction FROM lineitem GROUP BY 1""")
 def saved_model_scores(spark, sf):
-    """Fit, save, load and score every row."""
-    rows = items(spark, sf)
-    fitted = ml.pipeline("linear", ["l_quantity"], "l_extendedprice").fit(rows)
-    model = ml.saved_and_reloaded(fitted, fresh_path(spark, "model"))
+    """Fit and save twice, load the model that the manifest names as the newest, and score every row."""
+    rows, store = items(spark, sf), fresh_path(spark, "models")
+    until = t.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate")).alias("d")).first()["d"]
+    for days, name in ((0, "linear"), (1, "ridge")):
+        # the older model has a penalty and would score otherwise
+        fitted = ml.pipeline(name, ["l_quantity"], "l_extendedprice").fit(rows)
+        summary = fitted.stages[-1].summary
+        ms.save_model(
+            fitted, store, entity="items", model_name=name, training_date=until - dt.timedelta(days=days), features=["l_quantity"],
+            target="l_extendedprice", n_rows=summary.numInstances, metrics={"rmse": summary.rootMeanSquaredError}, spark=spark,
+        )
+    model, _ = ms.load_model(spark, store, entity="items")
     return model.transform(rows).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg("prediction"), 2).alias("mean_prediction"))
 
 
+@query("model_manifest", "M20", """SELECT l_returnflag AS entity, 'linear' AS model_name, CAST(max(l_shipdate) AS DATE) AS training_date, 'l_quantity' AS features, count(*) AS n_rows,
+  round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity) / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 2) AS rmse FROM lineitem GROUP BY 1""")
+def model_manifest(spark, sf):
+    """A model for each kind of item, saved; what the store's manifest says of them."""
+    rows, store = t.table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_shipdate"), fresh_path(spark, "models")
+    kinds = rows.groupBy("l_returnflag").agg(F.to_date(F.max("l_shipdate")).alias("until"))
+    for kind in kinds.collect():  # three kinds of item, whatever the number of rows
+        fitted = ml.pipeline("linear", ["l_quantity"], "l_extendedprice").fit(rows.filter(F.col("l_returnflag") == kind["l_returnflag"]))
+        summary = fitted.stages[-1].summary
+        ms.save_model(
+            fitted, store, entity=kind["l_returnflag"], model_name="linear", training_date=kind["until"], features=["l_quantity"],
+            target="l_extendedprice", n_rows=summary.numInstances, metrics={"rmse": summary.rootMeanSquaredError}, spark=spark,
+        )
+    listed = ms.manifest(spark, store)
+    return listed.select(
+        "entity", "model_name", "training_date", F.array_join("features", ",").alias("features"), "n_rows", r(F.col("metrics")["rmse"], 2).alias("rmse")
+    )
+
+
 @query("forest_importances", "M21")
 def forest_importances(spark, sf):
     model = ml.pipeline("forest", FEATURES, "l_extendedprice").fit(items(spark, sf))

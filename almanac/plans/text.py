@@ -241,7 +241,13 @@ def answer_matches(spark, sf):
     return an.evaluated(exchanges(spark, sf), "predicted", "gold").select("conv_id", "turn", "exact_match", "contains_answer")
 
 
-@query("answer_overlap", "N19")
+# the longest common subsequence, one row of its table for each word of the answer: a row is the running maximum of its candidates
+OVERLAP = """overlap AS (SELECT conv_id, turn, CASE WHEN len(p) = 0 OR len(g) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * list_reduce(list_transform(p, lambda w: struct_pack(w := w, l := CAST([] AS INTEGER[]))),
+  lambda a, x: struct_pack(w := x.w, l := list_transform(generate_series(1, len(g)), lambda j: CAST(list_max(list_transform(generate_series(1, j), lambda i: CASE WHEN g[i] = x.w THEN (CASE WHEN i > 1 THEN a.l[i - 1] ELSE 0 END) + 1 ELSE a.l[i] END)) AS INTEGER))),
+  struct_pack(w := '', l := list_transform(g, lambda v: 0))).l[len(g)] / (len(p) + len(g)) END AS rouge FROM pairs)"""
+
+
+@query("answer_overlap", "N19", twin("", "SELECT conv_id, turn, round(rouge, 6) AS rouge_l FROM overlap", PAIRS + ", " + OVERLAP))
 def answer_overlap(spark, sf):
     return an.evaluated(exchanges(spark, sf), "predicted", "gold").select("conv_id", "turn", r("rouge_l", 6).alias("rouge_l"))
 
@@ -262,6 +268,22 @@ def answer_metrics(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), *[r(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("exact_match", "contains_answer")])
 
 
+MEANS = PAIRS + ", " + OVERLAP + """, matches AS (SELECT len(list_filter(g, lambda w: w NOT IN ('a', 'an', 'the'))) > 0 AND list_filter(p, lambda w: w NOT IN ('a', 'an', 'the')) = list_filter(g, lambda w: w NOT IN ('a', 'an', 'the')) AS same,
+    len(g) > 0 AND len(list_filter(list_filter(g, lambda w: length(w) > 6), lambda w: NOT list_contains(p, w))) = 0 AS holds FROM pairs),
+  counts AS (SELECT conv_id, turn, w, CAST(sum(x) AS DOUBLE) AS np, CAST(sum(y) AS DOUBLE) AS ng FROM (SELECT conv_id, turn, unnest(p) AS w, 1 AS x, 0 AS y FROM pairs
+    UNION ALL SELECT conv_id, turn, unnest(g), 0, 1 FROM pairs UNION ALL SELECT conv_id, turn, '', 0, 0 FROM pairs) GROUP BY 1, 2, 3),
+  angles AS (SELECT coalesce(sum(np * ng) / nullif(sqrt(sum(np * np) * sum(ng * ng)), 0), 0) AS cosine FROM counts GROUP BY conv_id, turn)"""
+
+
+@query("answer_means", "N19", twin("", """SELECT (SELECT count(*) FROM pairs) AS n, (SELECT round(avg(CASE WHEN same THEN 1 ELSE 0 END), 6) FROM matches) AS exact_match, (SELECT round(avg(CASE WHEN holds THEN 1 ELSE 0 END), 6) FROM matches) AS contains_answer,
+  (SELECT round(avg(rouge), 6) FROM overlap) AS rouge_l, (SELECT round(avg(cosine), 6) FROM angles) AS cosine""", MEANS))
+def answer_means(spark, sf):
+    """The mean row of all four metrics."""
+    rows = an.evaluated(exchanges(spark, sf), "predicted", "gold")
+    means = [r(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("exact_match", "contains_answer", "rouge_l", "cosine")]
+    return rows.agg(F.count(F.lit(1)).alias("n"), *means)
+
+
 @query("invented_citations", "N20 J16", """SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END AS item_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]+)', 1)) AS n FROM documents))
   WHERE item_id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)""")
 def invented_citations(spark, sf):

@@ -210,6 +210,18 @@ def season_starts(spark, sf):
     return flagged.select("entity", "date", ro.period_start("season", KEY).alias("starts"), dates.season_year("date", windows).cast("bigint").alias("season_year"))
 
 
+@query("harvest_increments", "L3", twin("series", """SELECT entity, date, CASE WHEN season THEN 'harvest' ELSE 'off' END AS phase, round(inc, 8) AS increment,
+  round(sum(inc) OVER (PARTITION BY entity, sy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS gathered FROM (SELECT *, CASE WHEN season THEN 50.0::DOUBLE / 270 ELSE 0 END AS inc FROM (SELECT entity, date,
+  (month(date) BETWEEN 5 AND 9) OR (month(date) >= 11 OR month(date) <= 2) AS season, CASE WHEN month(date) <= 2 THEN year(date) - 1 ELSE year(date) END AS sy FROM series))"""))
+def harvest_increments(spark, sf):
+    """Fifty tonnes a year, spread over the harvest months, and what a season has brought in so far."""
+    windows = [(5, 9), (11, 2)]
+    inc = dates.season_increment("date", windows, 50.0)
+    days = t.series(spark, sf).select("entity", "date", inc.alias("inc"), dates.in_season("date", windows).alias("season"), dates.season_year("date", windows).alias("sy"))
+    so_far = F.sum("inc").over(Window.partitionBy("entity", "sy").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return days.select("entity", "date", F.when(F.col("season"), "harvest").otherwise("off").alias("phase"), r("inc", 8).alias("increment"), r(so_far, 6).alias("gathered"))
+
+
 @query("rolling_sentiment", "W27", twin("news", """SELECT article_date, entity, round(avg(tone) OVER (PARTITION BY entity ORDER BY article_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 8) AS smooth_tone
   FROM (SELECT article_date, entity, avg(tone) AS tone FROM news GROUP BY 1, 2)"""))
 def rolling_sentiment(spark, sf):
