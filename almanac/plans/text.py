@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import strings
 from almanac.functions.picks import mixed_sql, pick_sql
-from almanac.operators import answers as an, chunks as ch, keyword_index as ki, labels as lb, retrieval as rt
+from almanac.operators import answers as an, chunks as ch, keyword_index as ki, labels as lb, retrieval as rt, vector_cells as vc
 from almanac.operators.lineage import written
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
@@ -151,6 +151,16 @@ def nearest_with_filter(spark, sf):
     return rounded(found, ["score"], 6)
 
 
+@query("nearest_by_cells", "N14", twin("", """SELECT q, vec_id, round(s, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank FROM (
+  SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM vecs a, vecs b WHERE a.vec_id % 100 = 0)) WHERE rank <= 10""", VECTORS))
+def nearest_by_cells(spark, sf):
+    """Every hundredth vector against all, through the cells, exactly."""
+    vectors = t.table(spark, sf, "embeddings")
+    index = vc.build_cells(vectors, vector_id="vec_id", vector="embedding")
+    queries = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q"), "embedding")
+    return rounded(vc.nearest_in_cells(index, queries, 10, query_id="q", vector_id="vec_id", vector="embedding"), ["score"], 6)
+
+
 TERMS = r"""terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2), lens AS (SELECT doc_id, sum(tf) AS len FROM terms GROUP BY 1),
   asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark), dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY 1), cnt AS (SELECT count(*) AS n FROM documents),
   bm AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (SELECT sum(len) / CAST((SELECT n FROM cnt) AS DOUBLE) FROM lens)))) AS score
