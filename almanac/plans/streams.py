@@ -11,7 +11,7 @@ from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
 from almanac.plans.sqlviews import twin
 from almanac.session import fresh_path
-from almanac.streaming import intake
+from almanac.streaming import intake, late_days
 
 KEYS = ["article_date", "theme"]
 
@@ -43,6 +43,23 @@ def stream_daily_windows(spark, sf):
     return rounded(intake.newest_rows(kept, ["day", "theme"]), ["tone_sum"], 8)
 
 
+@query("stream_late_days", "R3 R5 R8", """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS theme, ts, value, event_id % 10 = 0 AS later FROM events),
+  closed AS (SELECT max(ts) - INTERVAL 2 DAY AS upto FROM e WHERE NOT later)
+  SELECT day, theme, count(*) AS rows, round(sum(value), 8) AS tone_sum, count(value) AS tone_n, count(*) FILTER (later AND day + INTERVAL 1 DAY <= upto) AS late_rows FROM e, closed GROUP BY 1, 2""")
+def stream_late_days(spark, sf):
+    """A tenth of the records arrives after the watermark closed most days. Each is merged into its day and counted there."""
+    source, parts, silver, mark = (fresh_path(spark, n) for n in ("files", "parts", "silver", "mark"))
+    events = t.table(spark, sf, "events")
+    for later in (False, True):
+        events.filter((F.col("event_id") % 10 == 0) == later).write.mode("append").parquet(source)
+        stream = intake.file_stream(spark, source, events.schema)
+        rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("theme"), F.col("value").alias("tone"))
+        daily = late_days.day_sums(rows, ["theme"], "ts", ["tone"], "2 days", slices=2)
+        with late_days.keyed_state(spark):
+            intake.run_available(daily, mark, late_days.late_days_sink(parts, silver, daily.schema, ["theme"], ["tone"]), mode="update")
+    return rounded(spark.read.parquet(silver).select("day", "theme", "rows", "tone_sum", "tone_n", "late_rows"), ["tone_sum"], 8)
+
+
 @query("stream_partial_means", "R4 A13", "SELECT CAST(ts AS DATE) AS article_date, event_type AS theme, count(*) AS rows, round(avg(value), 8) AS tone FROM events GROUP BY 1, 2")
 def stream_partial_means(spark, sf):
     """Batches of files leave partial sums; merging them gives the one-shot mean."""
