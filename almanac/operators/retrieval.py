@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.operators.dedup import first_n_per_group
+from almanac.operators.lineage import written
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 2048
@@ -170,68 +170,86 @@ def recall_at(results: DataFrame, truth: DataFrame, *, query_id: str, doc_id: st
     return per.agg(F.avg("__r").alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
-def cells_of(column: str, pivots: Sequence[Sequence[float]], radius: float) -> list[Column]:
-    """Grid cell per pivot: the distance to the pivot in steps of the radius."""
-    made = []
-    for pivot in pivots:
-        p = np.asarray(pivot, dtype=np.float64)
-        p = p / np.linalg.norm(p)
-        near = dot(F.col(column), F.array(*[F.lit(float(x)) for x in p]))
-        made.append(F.floor(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * near)) / (radius * 1.000001)))
-    return made
+ANGLE_SLACK = 1e-6
+
+
+def _angles(units: pd.Series, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(np.stack(units.to_list()) @ centres.T, -1, 1))
 
 
 def similar_pairs(
     vectors: DataFrame, *, key: str, vector: str, threshold: float, pivots: Sequence[Sequence[float]], block: int = VECTOR_BLOCK
 ) -> DataFrame:
-    """For each vector the most similar other vector above ``threshold``, exactly.
-
-    Identical vectors are first folded to one representative. On unit vectors the threshold is a distance r, and by the
-    triangle inequality two vectors closer than r have distances to any pivot that differ by less than r. So a vector only
-    meets vectors of its own or the next grid cell. A crowded cell is cut into blocks of bounded size that meet block
-    by block in separate tasks; only hits are emitted.
+    """For each vector the most similar other vector above ``threshold`` (to nine digits, ties by key), exactly.
+
+    Identical vectors are first folded to one representative. A vector's home is the cell of its nearest pivot; a cell's radius is
+    the largest angle in it. By the triangle inequality a partner within the threshold's angle can only lie in a cell whose pivot is no farther
+    than that angle and the radius together. A vector visits those cells only, and only those not numbered before its home: the pair is
+    met once and answers both sides. A crowded cell is cut into slots and its visitors into chunks of about ``block`` rows,
+    which meet in separate tasks; a task returns one row for each vector with a hit. Null, zero and non-finite vectors have no partner.
+    ``pivots`` are a bounded list: a vector has at most as many copies.
     """
-    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + ANGLE_SLACK
+    centres = _unit(np.asarray(pivots, dtype=np.float64))
+    names = [key, "u"]
+    kind = dict(vectors.dtypes)[key]
     norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    unit = vectors.filter(norm > 0).select(key, F.transform(vector, lambda x: x.cast("double") / norm).alias("u"))
+    finite = (norm > 0) & (norm < float("inf"))
+    unit = vectors.filter(finite).select(key, F.transform(vector, lambda x: x.cast("double") / norm).alias("u"))
     folded = unit.groupBy("u").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
-    placed = folded.select(key, "u", F.array(*cells_of("u", pivots, radius)).alias("cell"))
-    # a cell's rows are spread over as many slots as its size needs
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("slots"))
-    slotted = placed.join(sizes, "cell").select(key, "u", "cell", "slots", F.pmod(F.xxhash64(key), F.col("slots")).alias("slot"))
-    homes = slotted.select("cell", "slots", "slot", key, "u")
-    steps = product((-1, 0, 1), repeat=len(pivots))
-    moves = F.array(*[F.array(*[F.lit(d).cast("bigint") for d in step]) for step in steps])
-    visitors = placed.select(key, "u", "cell", F.explode(moves).alias("d")).select(
-        key, "u", F.zip_with("cell", "d", lambda c, d: c + d).alias("cell")
-    )
-    # a visitor meets every slot of the cell it visits
-    meeting = visitors.join(sizes, "cell").select("cell", key, "u", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot"))
+
+    def home(batches):
+        for pdf in batches:
+            if len(pdf):
+                angle = _angles(pdf["u"], centres)
+                yield pdf[names].assign(cell=angle.argmin(axis=1), angle=angle.min(axis=1))
+
+    placed = written(folded.select(*names).mapInPandas(home, f"`{key}` {kind}, u array<double>, cell long, angle double"), "placed")
+    heads = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / block).alias("slots"))
+    held = {h["cell"]: (h["radius"], h["slots"]) for h in heads.collect()}  # as many as pivots
+    radius = np.array([held.get(c, (-np.inf, 0))[0] for c in range(len(centres))])
+    slots = np.array([held.get(c, (0, 0))[1] for c in range(len(centres))], np.int64)
+
+    def visits(batches):
+        for pdf in batches:
+            if len(pdf):
+                near = _angles(pdf["u"], centres) - radius <= reach
+                near[np.arange(len(pdf)), pdf["cell"]] = True
+                row, cell = np.nonzero(near & (np.arange(len(centres)) >= pdf["cell"].to_numpy()[:, None]))
+                yield pdf[names].iloc[row].assign(cell=cell, slots=slots[cell])
+
+    slot = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot")
+    visiting = placed.mapInPandas(visits, f"`{key}` {kind}, u array<double>, cell long, slots long")
     chunk = F.ceil(F.count(F.lit(1)) / block)
-    loads = meeting.groupBy("cell", "slot").agg(chunk.alias("chunks"))
-    left = meeting.join(loads, ["cell", "slot"]).select("cell", "slot", key, "u", F.pmod(F.xxhash64(key), F.col("chunks")).alias("chunk"))
-    right = homes.join(loads, ["cell", "slot"]).select(
-        F.col("cell").alias("cell_r"), F.col("slot").alias("slot_r"), F.col(key).alias("other"), F.col("u").alias("w"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk_r"),
+    loads = {c["cell"]: c["chunks"] for c in visiting.groupBy("cell").agg(chunk.alias("chunks")).collect()}  # as many as pivots
+    numbers = F.create_map(*[F.lit(x).cast("bigint") for c in sorted(loads) for x in (c, loads[c])]) if loads else F.lit(None).cast("map<bigint,bigint>")
+    width = F.create_map(*[F.lit(x).cast("bigint") for c in sorted(held) for x in (c, held[c][1])]) if held else F.lit(None).cast("map<bigint,bigint>")
+    left = visiting.select("cell", slot, F.pmod(F.xxhash64(key), numbers[F.col("cell")]).alias("chunk"), *names)
+    right = placed.select(
+        F.col("cell").alias("cell_r"), F.pmod(F.xxhash64(key), width[F.col("cell")]).alias("slot_r"), F.col(key).alias("other"), F.col("u").alias("w"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), numbers[F.col("cell")] - 1)).alias("chunk_r"),
     )
-    kind = dict(vectors.dtypes)[key]
+
+    def best(ids: np.ndarray, others: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        """Of each row its highest score; ``others`` ascend, so ties go to the smallest."""
+        top = np.round(scores, 9).argmax(axis=1)
+        value = scores[np.arange(len(ids)), top]
+        keep = value > threshold
+        return pd.DataFrame({key: ids[keep], "other": others[top][keep], "score": value[keep]})
 
     def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({key: [], "other": [], "score": []})
-        a, b = np.stack(one["u"].to_list()), np.stack(two["w"].to_list())
-        scores = a @ b.T
-        scores[one[key].to_numpy()[:, None] == two["other"].to_numpy()[None, :]] = -np.inf
-        others = two["other"].to_numpy()
-        order = np.lexsort((np.broadcast_to(others, scores.shape), -scores), axis=1)[:, 0]
-        top = scores[np.arange(len(a)), order]
-        keep = top > threshold
-        return pd.DataFrame({key: one[key].to_numpy()[keep], "other": others[order][keep], "score": top[keep]})
+        one, two = one.sort_values(key), two.sort_values("other")
+        a, b = one[key].to_numpy(), two["other"].to_numpy()
+        scores = np.stack(one["u"].to_list()) @ np.stack(two["w"].to_list()).T
+        scores[a[:, None] == b[None, :]] = -np.inf
+        return pd.concat([best(a, b, scores), best(b, a, scores.T)])
 
     groups = ["cell", "slot", "chunk"]
     found = left.groupBy(*groups).cogroup(right.groupBy("cell_r", "slot_r", "chunk_r")).applyInPandas(meet, f"`{key}` {kind}, other {kind}, score double")
-    best = found.groupBy(key).agg(F.min_by(F.struct("other", "score"), F.struct(-F.col("score"), F.col("other"))).alias("__b"))
-    nearest_other = best.select(F.col(key).alias("__rep"), "__b.*")
+    nearest_one = found.groupBy(key).agg(F.min_by(F.struct("other", "score"), F.struct(-F.round("score", 9), F.col("other"))).alias("__b"))
+    nearest_other = nearest_one.select(F.col(key).alias("__rep"), "__b.*")
     # every copy of a folded vector gets its representative's answer; copies answer for each other
     members = unit.join(folded.select("u", F.col(key).alias("__rep"), "copies"), "u").select(key, "__rep", "copies")
     twin = members.groupBy("__rep").agg(F.min(key).alias("__first"), F.min_by(key, F.struct(F.col(key) == F.col("__rep"), F.col(key))).alias("__second"))

@@ -221,9 +221,25 @@ def merged_variants(spark, sf):
 @query("similar_vectors", "N18", twin("", """SELECT vec_id, other, round(score, 6) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rk FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rk = 1 AND score > 0.95""", VECTORS))
 def similar_vectors(spark, sf):
     """Batch form of a semantic cache: the most similar other vector above the threshold."""
-    centres = [row["embedding"] for row in class_centres(spark, sf).orderBy("label").limit(4).collect()]
-    found = rt.similar_pairs(t.table(spark, sf, "embeddings"), key="vec_id", vector="embedding", threshold=0.95, pivots=centres)
-    return rounded(found, ["score"], 6)
+    return rounded(similar(spark, sf, t.table(spark, sf, "embeddings")), ["score"], 6)
+
+
+def similar(spark, sf, vectors):
+    centres = [row["embedding"] for row in class_centres(spark, sf).orderBy("label").collect()]  # as many as labels
+    return rt.similar_pairs(vectors, key="vec_id", vector="embedding", threshold=0.95, pivots=centres)
+
+
+COPIED = """vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL
+  SELECT -1 - vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * (1 + 0.2 * (i % 3 - 1))) FROM embeddings WHERE vec_id % 5 = 0)"""
+
+
+@query("similar_copies", "N18", twin("", """SELECT vec_id, other, round(score, 6) AS score FROM (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rk FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rk = 1 AND score > 0.95""", COPIED))
+def similar_copies(spark, sf):
+    """The same over a table in which every fifth vector stands again with its coordinates bent by a fifth."""
+    vectors = t.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    bent = F.transform("embedding", lambda x, i: x * (1 + 0.2 * ((i + 1) % 3 - 1)))
+    copies = vectors.filter(F.col("vec_id") % 5 == 0).select((-1 - F.col("vec_id")).alias("vec_id"), bent.alias("embedding"))
+    return rounded(similar(spark, sf, vectors.unionByName(copies)), ["score"], 6)
 
 
 @query("retrieval_recall", "N21", twin("", "SELECT round(avg(r), 6) AS recall, count(*) AS n_queries FROM (SELECT item_id, count(f.doc_id) / CAST(count(*) AS DOUBLE) AS r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM bm) WHERE rk <= 3) b LEFT JOIN top_fused f USING (item_id, doc_id) GROUP BY 1)", HYBRID))

@@ -92,6 +92,26 @@ def test_similar_pairs_equal_all_pairs(spark):
         assert all(abs(r["score"] - np.nanmax(cos[i])) < 1e-9 for i, r in got.items())
 
 
+def test_planted_near_copies_are_paired(spark):
+    """Copies at a small angle across cell borders, exact copies, and vectors without a direction; blocks of any size agree."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 12))
+    m = np.vstack([base, base[::3] + 0.15 * rng.normal(size=(50, 12)), base[:5], base[:5] * 4])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    rows += [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [float("inf")] + [1.0] * 11), (904, [None] + [1.0] * 11)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -1)
+    want = {i: cos[i].max() for i in range(len(m)) if cos[i].max() > 0.95}
+    assert len(want) > 80
+    for pivots, block in ((rng.normal(size=(7, 12)).tolist(), 2048), (m[:3].tolist(), 9), (m[:1].tolist(), 5)):
+        got = {r["id"]: r for r in rt.similar_pairs(df, key="id", vector="v", threshold=0.95, pivots=pivots, block=block).collect()}
+        assert set(got) == set(want)
+        assert all(abs(r["score"] - want[i]) < 1e-9 and abs(cos[i, r["other"]] - want[i]) < 1e-9 for i, r in got.items())
+    assert rt.similar_pairs(df.limit(0), key="id", vector="v", threshold=0.95, pivots=m[:2].tolist()).count() == 0
+
+
 def test_nearest_in_small_query_blocks_equals_brute_force(spark):
     m, df = vectors(spark)
     queries = df.filter("id < 7").select(F.col("id").alias("q"), "v")
