@@ -12,6 +12,7 @@ from almanac.llm.base import Scratch, column, query, table
 
 LENGTH, GRAM, GRAIN, PIECE, INDEX_BITS = 400, 16, 16, 1 << 18, 22
 BASE = 0x9E3779B97F4A7C15
+HOT_ROWS, HOT_PARTS = 1024, 256
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,6 +49,46 @@ class Rolling:
         return (self.sums[size:] - self.sums[:-size]) * self.down[:len(self.sums) - size]
 
 
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_234_567_891
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo ``PRIME``, by runs of doubled length."""
+    made = np.ones(1, np.uint64)
+    while len(made) < n:
+        made = np.append(made, made * np.uint64(pow(base, len(made), PRIME)) % np.uint64(PRIME))
+    return made[:n]
+
+
+class Paired(Rolling):
+    """Fingerprints of ranges that also depend on a second polynomial, modulo a prime.
+
+    Modulo 2**64 the Thue-Morse strings of two bytes and their swapped twins agree, whatever the base and the values. A prime modulus has
+    no such family. ``all_of`` stays with the first polynomial: it only chooses positions.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.small = np.random.default_rng(11).integers(1, PRIME, 256, dtype=np.uint64)
+        self.small_up = self.small_down = np.ones(1, np.uint64)
+
+    def read(self, raw: bytes) -> int:
+        size = super().read(raw)
+        if len(self.small_up) <= size:
+            self.small_up = _powers(PRIME_BASE, size + size // 4 + 2)
+            self.small_down = _powers(pow(PRIME_BASE, -1, PRIME), size + size // 4 + 2)
+        terms = self.small[np.frombuffer(raw, np.uint8)]
+        terms *= self.small_up[:size]
+        terms = (terms & np.uint64(PRIME)) + (terms >> np.uint64(31))  # below 2**32: the sums of a buffer stay far below 2**64
+        self.small_sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(terms, out=self.small_sums[1:])
+        return size
+
+    def of(self, start, end) -> np.ndarray:
+        part = (self.small_sums[end] - self.small_sums[start]) % np.uint64(PRIME)
+        return super().of(start, end) + _mixed(part * self.small_down[start] % np.uint64(PRIME))
+
+
 def _lowest(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest value of each window of ``width``, by windows of doubled size."""
     size, low = 1, values
@@ -118,7 +159,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     """
 
     def scan(batches):
-        roll = Rolling()
+        roll = Paired()
         for batch in batches:
             keys = batch.select(["doc", "mark"])
             for pieces in _packed(_cut(batch.column("text").cast(pa.binary()).to_pylist(), length)):
@@ -142,7 +183,7 @@ def _asked(touched: DataFrame, length: int, ranked, names: str) -> DataFrame:
     """
 
     def scan(batches):
-        roll = Rolling()
+        roll = Paired()
         for batch in batches:
             keys = batch.select(["doc", "mark"])
             texts, lists = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()
@@ -209,6 +250,20 @@ def _kept(raw: bytes, covered: list[dict], length: int) -> tuple[int, int, bytes
     return int(gone.sum()), starts, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
+def _spread(found: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``found`` with ``agreed`` of its ``near``; a ``near`` of more than a 256th of all rows is dealt to several tasks.
+
+    Fewer than 256 can be so frequent, so their list is broadcast.
+    """
+    share = max(HOT_ROWS, -(-found.count() // HOT_PARTS))
+    slots = F.ceil(F.col("n") / share)
+    frequent = F.broadcast(ranked.filter(F.col("n") > share).select("near", slots.alias("slots")))
+    slot = F.pmod(F.xxhash64("doc", "mark", "first"), F.coalesce("slots", F.lit(1)))
+    left = found.join(frequent, "near", "left").withColumn("slot", slot).drop("slots")
+    right = ranked.select("near", "agreed", F.explode(F.sequence(F.lit(0).cast("bigint"), slots - 1)).alias("slot"))
+    return left.join(right, ["near", "slot"]).drop("slot")
+
+
 def without_repeats(
     docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", length: int = LENGTH, show: Callable[[Column], Column] = lambda kept: kept,
 ) -> DataFrame:
@@ -217,7 +272,8 @@ def without_repeats(
     Returned: the key, n_bytes, n_removed, n_spans (maximal removed runs) and kept, what ``show`` makes of the remaining bytes
     (a digest spares the texts that lose nothing a shuffle). Strings are judged on the input and never cross texts; overlapping ones count. A null text is empty; texts shorter than ``length`` stay whole.
     Repeated rows and keys are texts of their own and each get their row. An empty table gives an empty table. Other columns
-    are not read, whatever their names. Equality is decided by two 64-bit fingerprints.
+    are not read, whatever their names. Equality is decided by two 64-bit fingerprints,
+    each of a polynomial modulo 2**64 and one modulo a prime.
 
     Prefix doubling over every byte would shuffle each byte several times. Equal strings choose the same position among their
     bytes, so the first ranks are of chosen positions only, at a quarter of the length; unique ones are out. A run of strings
@@ -231,9 +287,9 @@ def without_repeats(
     source = docs.select(column(docs, key).alias("doc"), raw.alias("text")).withColumn("mark", F.xxhash64("text"))
     place = F.struct("doc", "mark", "first", "last", "shift")
     found = scratch.keep(runs(source, length))
-    ranked = found.groupBy("near").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
-    again = found.join(ranked.filter("n > 1").drop("n"), "near").withColumn("agreed", F.col("least") == F.col("most")).drop("least", "most")
-    again = scratch.keep(again)
+    agreed = (F.min("whole") == F.max("whole")).alias("agreed")
+    ranked = scratch.keep(found.groupBy("near").agg(F.count(F.lit(1)).alias("n"), agreed).filter("n > 1"))
+    again = scratch.keep(_spread(found, ranked))
     scratch.drop(found)
     kinds = again.filter(~F.col("agreed")).groupBy("near", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     kinds = scratch.keep(kinds)

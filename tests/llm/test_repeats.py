@@ -4,11 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from almanac.llm.base import Scratch
-from almanac.llm.repeats import without_repeats
+from almanac.llm import repeats
+from almanac.llm.repeats import Paired, Rolling, without_repeats
 
 
 def brute(texts, length):
@@ -64,3 +66,43 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in without_repeats(docs, Scratch(spark, "t"), length=8).collect())
     assert got == [("1", 20, 20, 1), ("1", 20, 20, 1), ("None", 0, 0, 0), ("None", 8, 0, 0)]
     assert without_repeats(docs.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def thue_morse(size, pair):
+    return "".join(pair[bin(i).count("1") % 2] for i in range(size))
+
+
+def test_fingerprints_tell_swapped_thue_morse_strings_apart():
+    raw = (thue_morse(1024, "./") + thue_morse(1024, "/.")).encode()
+    start = np.array([0, 1024])
+    plain, paired = Rolling(), Paired()
+    for roll in (plain, paired):
+        roll.read(raw)
+    first, second = plain.of(start, start + 1024)
+    assert first == second
+    first, second = paired.of(start, start + 1024)
+    assert first != second
+
+
+def test_paired_fingerprints_depend_on_the_bytes_alone():
+    raw = np.random.default_rng(3).bytes(3000)
+    roll = Paired()
+    roll.read(raw + b"x" * 500 + raw)
+    start = np.arange(0, 2600, 7)
+    there = roll.of(start, start + 400)
+    assert (there == roll.of(start + 3500, start + 3900)).all() and len(set(there.tolist())) == len(start)
+    roll.read(raw[5:])
+    assert (roll.of(start[1:] - 5, start[1:] + 395) == there[1:]).all()
+
+
+@pytest.mark.parametrize("hot", [(1024, 256), (2, 10_000)])
+def test_thue_morse_texts_and_frequent_strings(spark, monkeypatch, hot):
+    """Swapped twins are no repeats; a chosen position that most rows share is dealt to several tasks."""
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot[0])
+    monkeypatch.setattr(repeats, "HOT_PARTS", hot[1])
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdef") for _ in range(60))
+    rows = [thue_morse(512, "./"), thue_morse(512, "/."), *[shared + str(i) * 9 for i in range(40)], None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = without_repeats(docs, Scratch(spark, "t"), length=40, show=lambda kept: F.sha2(kept, 256)).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in got] == brute(rows, 40)
