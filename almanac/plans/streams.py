@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from almanac.operators import aggregates as ag
+from almanac.operators import aggregates as ag, sketches as sk
 from almanac.operators.joins import pending
 from almanac.plans import tables as t
 from almanac.plans.registry import query, r, rounded
@@ -72,6 +72,37 @@ def stream_partial_means(spark, sf):
     return rounded(intake.merged_partials(spark, out, KEYS, ["tone"]), ["tone"], 8)
 
 
+SPAN_SHARES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+
+
+@query("stream_sketches", "R4 A2 A5 A21", """SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type AS theme, count(*) AS rows, count(DISTINCT user_id) AS users, TRUE AS users_ok, TRUE AS p10_ok, TRUE AS p50_ok, TRUE AS p90_ok
+  FROM events GROUP BY 1, 2""")
+def stream_sketches(spark, sf):
+    """Batches of files leave sketches by day; those merged to weeks are held against the exact counts and ranks.
+
+    Distinct counts may be off by 3 percent or one, ranks by 2 percent.
+    """
+    source, out = fresh_path(spark, "files"), fresh_path(spark, "sketches")
+    events = t.table(spark, sf, "events")
+    events.repartition(2, "event_id").write.parquet(source)
+
+    def named(df):
+        return df.select(F.to_date("ts").alias("article_date"), F.col("event_type").alias("theme"), "user_id", F.col("value").alias("tone"))
+
+    stream = named(intake.file_stream(spark, source, events.schema, files_per_batch=1))
+    intake.run_available(stream, fresh_path(spark, "mark"), sk.sketch_sink(out, KEYS, "user_id", "tone"))
+    keys = ["week", "theme"]
+    week = F.to_date(F.date_trunc("week", "article_date")).alias("week")
+    weeks = sk.merged(spark.read.parquet(out), [week, "theme"])
+    found = weeks.select(*keys, "rows", sk.distinct_of("seen").alias("seen"), *[sk.quantile_of("spread", share).alias(name) for name, share in SPAN_SHARES.items()])
+    raw = named(events).withColumn("week", week)
+    exact = raw.groupBy(*keys).agg(F.countDistinct("user_id").alias("users"))
+    off = sk.rank_errors(raw, found, keys, "tone", SPAN_SHARES)
+    users_ok = (F.abs(F.col("seen") - F.col("users")) <= F.greatest(F.lit(1.0), 0.03 * F.col("users"))).alias("users_ok")
+    checked = found.select(*keys, "rows", "seen").join(exact, keys).join(off, keys)
+    return checked.select(*keys, "rows", "users", users_ok, *[(F.col(name) <= 0.02).alias(f"{name}_ok") for name in SPAN_SHARES])
+
+
 @query("stream_affected_days", "R3 R6 S8", "SELECT CAST(ts AS DATE) AS article_date, event_type AS theme, count(*) AS n, round(avg(value), 8) AS tone FROM events GROUP BY 1, 2")
 def stream_affected_days(spark, sf):
     """Every batch rebuilds and replaces the days it touches."""
