@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from almanac.functions import strings
@@ -249,6 +251,22 @@ def retrieval_recall(spark, sf):
     return rounded(rt.recall_at(hybrid(spark, sf, index), truth, query_id="item_id", doc_id="doc_id", k=10), ["recall"], 6)
 
 
+PASSAGES = """passages AS (SELECT doc_id AS item_id, array_to_string(list_slice(string_split(text, ' '), 11, 30), ' ') AS text FROM documents WHERE doc_id % 100 = 0 AND len(string_split(text, ' ')) > 10), """
+
+
+@query("known_passage_recall", "N21", twin("", """SELECT round(avg(CASE WHEN f.doc_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, count(*) AS n_queries FROM passages LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM bm) f
+  ON f.item_id = passages.item_id AND f.doc_id = passages.item_id AND rk <= 10""", PASSAGES + re.sub(r"\bbenchmark\b", "passages", TERMS)))
+def known_passage_recall(spark, sf):
+    """Twenty words from inside a document are asked for; the one right answer is the document they come from."""
+    documents = t.table(spark, sf, "documents")
+    words = F.split("text", " ")
+    asked = documents.filter((F.col("doc_id") % 100 == 0) & (F.size(words) > 10))
+    passages = asked.select(F.col("doc_id").alias("item_id"), F.array_join(F.slice(words, 11, 20), " ").alias("text"))
+    truth = passages.select("item_id", F.col("item_id").alias("doc_id"))
+    results = ki.keyword_top(keyword_index(spark, sf), passages, 10, **ASKED)
+    return rounded(rt.recall_at(results, truth, query_id="item_id", doc_id="doc_id", k=10), ["recall"], 6)
+
+
 # ---- answers and logs
 
 def exchanges(spark, sf):
