@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -92,6 +93,41 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, reg: Sequenc
     return df.sparkSession.createDataFrame([(float(a), float(b)) for a, b in zip(reg, fitted.avgMetrics, strict=True)], "reg double, rmse double")
 
 
+def time_fold_grid(df: DataFrame, features: Sequence[str], label: str, fold: str, reg: Sequence[float]) -> DataFrame:
+    """(fold, reg, n, rmse): ridge regressions learnt on all earlier folds and tested on each fold but the first, from one scan.
+
+    Per fold the scan leaves counts, sums and products of the columns, combined on the map side. Sums of earlier folds give
+    every penalty's normal equations on centred columns, (X'X + reg * n * I) w = X'y, and the fold's own sums its squared error, so no row is
+    read twice and the grid costs nothing more. Rows with a null in any column are left out. ``fold`` is a bounded value such as a year.
+    """
+    names = [*features, label]
+    size = len(names)
+    row = df.select(F.col(fold).alias("fold"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(size)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]
+    held = row.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy("fold").collect()  # as many as folds
+    made, before = [], np.zeros((size + 1, size + 1))
+    for part in held:
+        gram = np.zeros((size + 1, size + 1))  # of the columns and a column of ones
+        gram[size, size] = part["n"]
+        for i in range(size):
+            gram[i, size] = gram[size, i] = part[f"s{i}"]
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = part[f"p{i}_{j}"]
+        n = before[size, size]
+        for penalty in reg if n else ():
+            mean = before[:size, size] / n
+            centred = before[:size, :size] - n * np.outer(mean, mean)
+            system = centred[:-1, :-1] + penalty * n * np.eye(size - 1)
+            weights = np.linalg.lstsq(system, centred[:-1, -1], rcond=None)[0]
+            # the residual is this combination of the columns
+            form = np.array([*-weights, 1.0, weights @ mean[:-1] - mean[-1]])
+            made.append((part["fold"], float(penalty), int(part["n"]), float(np.sqrt(max(0.0, form @ gram @ form) / part["n"]))))
+        before += gram
+    kind = row.schema["fold"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(made, f"fold {kind}, reg double, n long, rmse double")
+
+
 def latest_model(metadata: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest training per key; equal dates fall to the smaller model id."""
     return top_per_group(metadata.withColumn("__t", F.unix_timestamp("training_date")), keys, "__t", ["model_id"]).drop("__t")

@@ -90,6 +90,21 @@ def grid_search(spark, sf):
     return ml.grid_search(items(spark, sf), FEATURES, "l_extendedprice", [0.0, 0.1, 1.0])
 
 
+PENALTIES = (0.0, 0.001, 0.1)
+
+
+@query("ridge_by_time_folds", "M12 M16 M22", """WITH f AS (SELECT year(l_shipdate) AS fold, count(*) AS n, sum(q) AS q, sum(d) AS d, sum(y) AS y, sum(q * q) AS qq, sum(q * d) AS qd, sum(d * d) AS dd, sum(q * y) AS qy, sum(d * y) AS dy, sum(y * y) AS yy
+    FROM (SELECT l_shipdate, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem) GROUP BY 1),
+  e AS (SELECT a.fold, sum(b.n) AS n, sum(b.q) AS q, sum(b.d) AS d, sum(b.y) AS y, sum(b.qq) AS qq, sum(b.qd) AS qd, sum(b.dd) AS dd, sum(b.qy) AS qy, sum(b.dy) AS dy FROM f a JOIN f b ON b.fold < a.fold GROUP BY 1),
+  c AS (SELECT fold, reg, q / n AS mq, d / n AS md, y / n AS my, qq - q * q / n + reg * n AS a, qd - q * d / n AS b, dd - d * d / n + reg * n AS c, qy - q * y / n AS u, dy - d * y / n AS v FROM e, (VALUES (0.0::DOUBLE), (0.001::DOUBLE), (0.1::DOUBLE)) AS g(reg)),
+  w AS (SELECT *, my - wq * mq - wd * md AS i FROM (SELECT *, (u * c - v * b) / (a * c - b * b) AS wq, (v * a - u * b) / (a * c - b * b) AS wd FROM c))
+  SELECT fold, reg, n, round(sqrt((yy - 2 * (wq * qy + wd * dy + i * y) + wq * wq * qq + wd * wd * dd + 2 * wq * wd * qd + 2 * i * (wq * q + wd * d) + i * i * n) / n), 4) AS rmse FROM w JOIN f USING (fold)""")
+def ridge_by_time_folds(spark, sf):
+    """Every year forecast from the years before it, for several penalties, from one scan."""
+    rows = t.table(spark, sf, "lineitem").withColumn("fold", F.year("l_shipdate"))
+    return rounded(ml.time_fold_grid(rows, ["l_quantity", "l_discount"], "l_extendedprice", "fold", PENALTIES), ["rmse"], 4)
+
+
 RULES = {"quantity": "l_quantity BETWEEN 1 AND 48", "discount": "l_discount >= 0.01", "tax": "l_tax <= 0.07"}
 
 
