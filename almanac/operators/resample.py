@@ -87,35 +87,77 @@ def permutation_test(
     return flagged.groupBy(*keys, "observed").agg(F.avg("__far").alias("p_value"))
 
 
+class _Draws:
+    """Of each (replicate, row) how many steps its draw reaches, the draw being ``finished(offset + own) % 1000000``.
+
+    The rounds are those of :func:`almanac.functions.picks.finished`, by shifts and masks in place of divisions. Numbers stay between
+    minus the prime and a little over it before a product, so that no product leaves 64 bits. The arrays for ``rows`` rows are made once.
+    """
+
+    def __init__(self, offsets: np.ndarray, steps: Sequence[int], rows: int):
+        self.offsets, self.steps = (offsets % PRIME - PRIME)[:, None], steps
+        shape = (len(offsets), rows)
+        self.held = [np.empty(shape, kind) for kind in (np.int64, np.int64, np.uint32, np.uint32, bool, np.uint8, np.float64)]
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        """The counts as doubles, valid until the next call."""
+        unit, spare, draw, over, met, reached, times = (a.reshape(-1)[:len(a) * len(own)].reshape(len(a), -1) for a in self.held)
+        np.add(self.offsets, (own % PRIME)[None, :], out=unit)
+        for at, (shift, constant) in enumerate(ROUNDS):
+            if at:
+                unit -= PRIME
+            np.add(unit, shift, out=spare)
+            unit *= spare
+            unit += constant
+            self.fold(unit, spare)
+        self.fold(unit, spare)
+        np.copyto(draw, unit, casting="unsafe")
+        np.subtract(draw, PRIME, out=over)
+        np.minimum(draw, over, out=draw)  # below the prime ``over`` wraps round to more than the draw
+        np.floor_divide(draw, 1000000, out=over)
+        over *= 1000000
+        draw -= over
+        reached[:] = 0
+        for step in self.steps:
+            np.greater_equal(draw, step, out=met)
+            reached += met
+        np.copyto(times, reached)
+        return times
+
+    @staticmethod
+    def fold(number: np.ndarray, spare: np.ndarray) -> None:
+        """Smaller numbers with the same rest modulo the prime, which is a power of two less one."""
+        np.right_shift(number, PRIME.bit_length(), out=spare)
+        np.bitwise_and(number, PRIME, out=number)
+        number += spare
+
+
 def poisson_bootstrap(
     df: DataFrame, keys: Sequence[str], row_id: Sequence[str], top: str, bottom: str, *, n_replicates: int, seed: int,
-    steps: Sequence[int] = POISSON_STEPS, rows: int = 2048,
+    steps: Sequence[int] = POISSON_STEPS, rows: int = 32,
 ) -> DataFrame:
     """Interval of a ratio of sums over raw rows of any number.
 
     Every row draws a Poisson(1) multiplicity in each replicate: how many of ``steps`` its uniform integer below one million
     reaches. A task weighs ``rows`` rows at a time in all replicates and keeps the sums of each (key, replicate); a row's
-    replicates are never shuffled.
+    replicates are never shuffled. A row without a number, one of ``row_id`` being null, is drawn by none.
     """
     offsets = np.arange(1, n_replicates + 1, dtype=np.int64) * MULTIPLIERS[0] + seed
     names = [f"__k{i}" for i in range(len(keys))]
 
     def weighed(batches):
-        sums: dict = {}
+        sums, draws = {}, _Draws(offsets, steps, rows)
         for pdf in batches:
             for key, part in pdf.groupby(names, dropna=False):
                 total = sums.setdefault(key, np.zeros((n_replicates, 2)))
-                own, values = part["__own"].to_numpy(), part[["__t", "__b"]].to_numpy(dtype=np.float64)
+                part = part[part["__own"].notna()]
+                own, values = part["__own"].to_numpy(dtype=np.int64), part[["__t", "__b"]].to_numpy(dtype=np.float64)
                 for at in range(0, len(own), rows):
-                    unit = offsets[:, None] + own[None, at:at + rows]
-                    for shift, constant in ROUNDS:
-                        unit %= PRIME
-                        unit = unit * (unit + shift) + constant
-                    unit = unit % PRIME % 1000000
-                    total += np.searchsorted(steps, unit, "right") @ values[at:at + rows]
+                    total += draws.of(own[at:at + rows]) @ values[at:at + rows]
         for key, total in sums.items():
             made = pd.DataFrame({"replicate": np.arange(1, n_replicates + 1), "__t": total[:, 0], "__b": total[:, 1]})
-            yield made.assign(**dict(zip(names, key, strict=True)))[[*names, "replicate", "__t", "__b"]]
+            own = {n: pd.Series([None if pd.isna(k) else k] * n_replicates, dtype=object) for n, k in zip(names, key, strict=True)}
+            yield made.assign(**own)[[*names, "replicate", "__t", "__b"]]
 
     kinds = dict(df.dtypes)
     fields = ", ".join(f"{n} {kinds[k]}" for n, k in zip(names, keys, strict=True))
