@@ -8,11 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import HashingTF, IDF, Imputer, RegexTokenizer, RobustScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from almanac.operators.dedup import top_per_group
 
@@ -84,13 +83,65 @@ def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFra
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def spread_rows(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Tables of over ``rows`` rows in partitions of about that many: what a learner holds of a partition does not grow with the table."""
+    parts = -(-df.count() // rows)
+    return df.repartition(parts) if parts > 1 else df
+
+
+def _gram(row: Row | None, size: int) -> np.ndarray:
+    """Sums of products of ``size`` columns and a column of ones."""
+    gram = np.zeros((size + 1, size + 1))
+    for i in range(size + 1):
+        for j in range(i, size + 1):
+            gram[i, j] = gram[j, i] = (row[f"p{i}_{j}"] if row else None) or 0.0
+    return gram
+
+
+def _penalised(gram: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights and intercept of Spark's least squares with a squared penalty: columns and label over their deviations, the penalty over the
+    label's. Columns without spread weigh nothing."""
+    n, mean = gram[-1, -1], gram[:-1, -1] / gram[-1, -1]
+    spread = gram[:-1, :-1] / n - np.outer(mean, mean)
+    deviation = np.sqrt(np.maximum(np.diag(spread), 0.0))
+    used = np.flatnonzero(deviation[:-1] > 0)
+    weights = np.zeros(len(mean) - 1)
+    if deviation[-1] > 0 and len(used):
+        scale = deviation[used]
+        system = spread[np.ix_(used, used)] / np.outer(scale, scale) + penalty / deviation[-1] * np.eye(len(used))
+        weights[used] = np.linalg.lstsq(system, spread[used, -1] / scale / deviation[-1], rcond=None)[0] * deviation[-1] / scale
+    return np.append(weights, mean[-1] - weights @ mean[:-1])
+
+
 def grid_search(df: DataFrame, features: Sequence[str], label: str, reg: Sequence[float], *, folds: int = 3) -> DataFrame:
-    """Cross-validated error per regularisation value."""
-    built = scaled(features, label)
-    regressor = built.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(regressor.regParam, list(reg)).build()
-    fitted = CrossValidator(estimator=built, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=7).fit(df)
-    return df.sparkSession.createDataFrame([(float(a), float(b)) for a, b in zip(reg, fitted.avgMetrics, strict=True)], "reg double, rmse double")
+    """Cross-validated error per regularisation value, over the random folds of Spark's cross-validator.
+
+    Imputation and scaling are learnt once for each fold's training rows, not once for each value. One more scan leaves the sums and products
+    of the scaled columns of training and held-out rows, from which every value's regression and its held-out error follow. The label must
+    not be null or NaN.
+    """
+    *stages, _ = scaled(features, label).getStages()
+    own = F.col(label).cast("double")
+    checked = F.when(own.isNull() | F.isnan(own), F.raise_error(F.lit("the label must not be null or NaN"))).otherwise(own)
+    rows = df.select("*", F.rand(7).alias("__draw"))
+    size = len(features) + 1
+    errors = []
+    for fold in range(folds):
+        held = (F.col("__draw") >= fold * (1.0 / folds)) & (F.col("__draw") < (fold + 1) * (1.0 / folds))
+        filled = Pipeline(stages=stages).fit(rows.filter(~held)).transform(rows.withColumn("__held", held))
+        cells = filled.select("__held", vector_to_array("features").alias("x"), checked.alias("y"))
+        columns = [*[F.col("x")[i] for i in range(size - 1)], F.col("y"), F.lit(1.0)]
+        sums = [F.sum(columns[i] * columns[j]).alias(f"p{i}_{j}") for i in range(size + 1) for j in range(i, size + 1)]
+        parts = {r["__held"]: r for r in cells.groupBy("__held").agg(*sums).collect()}  # two rows
+        learnt, tested = _gram(parts.get(False), size), _gram(parts.get(True), size)
+        made = []
+        for penalty in reg:
+            *weights, intercept = _penalised(learnt, penalty)
+            form = np.array([*(-w for w in weights), 1.0, -intercept])  # the residual is this combination of the columns
+            made.append(np.sqrt(max(0.0, form @ tested @ form) / tested[-1, -1]))
+        errors.append(made)
+    means = np.mean(errors, axis=0)
+    return df.sparkSession.createDataFrame([(float(a), float(b)) for a, b in zip(reg, means, strict=True)], "reg double, rmse double")
 
 
 def time_fold_grid(df: DataFrame, features: Sequence[str], label: str, fold: str, reg: Sequence[float]) -> DataFrame:

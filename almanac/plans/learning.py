@@ -81,7 +81,7 @@ def model_manifest(spark, sf):
 
 @query("forest_importances", "M21")
 def forest_importances(spark, sf):
-    model = ml.pipeline("forest", FEATURES, "l_extendedprice").fit(items(spark, sf))
+    model = ml.pipeline("forest", FEATURES, "l_extendedprice").fit(ml.spread_rows(items(spark, sf)))
     return ml.importances(model, FEATURES, spark)
 
 
