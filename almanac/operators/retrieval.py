@@ -171,6 +171,10 @@ def recall_at(results: DataFrame, truth: DataFrame, *, query_id: str, doc_id: st
 
 
 ANGLE_SLACK = 1e-6
+# single precision may differ by so much from double
+ROUGH_SLACK = 1e-3
+# a cell's part that meets others in one task: about a sixteenth of the table, at most so many rows
+SHARE, MOST_ROWS = 16, 32768
 
 
 def _angles(units: pd.Series, centres: np.ndarray) -> np.ndarray:
@@ -185,8 +189,9 @@ def similar_pairs(
     Identical vectors are first folded to one representative. A vector's home is the cell of its nearest pivot; a cell's radius is
     the largest angle in it. By the triangle inequality a partner within the threshold's angle can only lie in a cell whose pivot is no farther
     than that angle and the radius together. A vector visits those cells only, and only those not numbered before its home: the pair is
-    met once and answers both sides. A crowded cell is cut into slots and its visitors into chunks of about ``block`` rows,
-    which meet in separate tasks; a task returns one row for each vector with a hit. Null, zero and non-finite vectors have no partner.
+    met once and answers both sides. A crowded cell is cut into slots and its visitors into chunks of a sixteenth of the table, from ``block``
+    to 32,768 rows, which meet in separate tasks: copies shipped grow with the table up to half a million vectors, then with its square over
+    32,768. A task compares ``block`` rows at a time, in single precision first, and returns one row for each vector with a hit. Null, zero and non-finite vectors have no partner.
     ``pivots`` are a bounded list: a vector has at most as many copies.
     """
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + ANGLE_SLACK
@@ -205,8 +210,9 @@ def similar_pairs(
                 yield pdf[names].assign(cell=angle.argmin(axis=1), angle=angle.min(axis=1))
 
     placed = written(folded.select(*names).mapInPandas(home, f"`{key}` {kind}, u array<double>, cell long, angle double"), "placed")
-    heads = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / block).alias("slots"))
-    held = {h["cell"]: (h["radius"], h["slots"]) for h in heads.collect()}  # as many as pivots
+    heads = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # as many as pivots
+    part = max(block, min(MOST_ROWS, sum(h["n"] for h in heads) // SHARE))
+    held = {h["cell"]: (h["radius"], -(-h["n"] // part)) for h in heads}
     radius = np.array([held.get(c, (-np.inf, 0))[0] for c in range(len(centres))])
     slots = np.array([held.get(c, (0, 0))[1] for c in range(len(centres))], np.int64)
 
@@ -220,7 +226,7 @@ def similar_pairs(
 
     slot = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot")
     visiting = placed.mapInPandas(visits, f"`{key}` {kind}, u array<double>, cell long, slots long")
-    chunk = F.ceil(F.count(F.lit(1)) / block)
+    chunk = F.ceil(F.count(F.lit(1)) / part)
     loads = {c["cell"]: c["chunks"] for c in visiting.groupBy("cell").agg(chunk.alias("chunks")).collect()}  # as many as pivots
     numbers = F.create_map(*[F.lit(x).cast("bigint") for c in sorted(loads) for x in (c, loads[c])]) if loads else F.lit(None).cast("map<bigint,bigint>")
     width = F.create_map(*[F.lit(x).cast("bigint") for c in sorted(held) for x in (c, held[c][1])]) if held else F.lit(None).cast("map<bigint,bigint>")
@@ -232,24 +238,41 @@ def similar_pairs(
 
     def best(ids: np.ndarray, others: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
         """Of each row its highest score; ``others`` ascend, so ties go to the smallest."""
+        scores[ids[:, None] == others[None, :]] = -np.inf
         top = np.round(scores, 9).argmax(axis=1)
-        value = scores[np.arange(len(ids)), top]
-        keep = value > threshold
-        return pd.DataFrame({key: ids[keep], "other": others[top][keep], "score": value[keep]})
+        return pd.DataFrame({key: ids, "other": others[top], "score": scores[np.arange(len(ids)), top]})
 
     def meet(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({key: [], "other": [], "score": []})]
         if one.empty or two.empty:
-            return pd.DataFrame({key: [], "other": [], "score": []})
+            return found[0]
         one, two = one.sort_values(key), two.sort_values("other")
         a, b = one[key].to_numpy(), two["other"].to_numpy()
-        scores = np.stack(one["u"].to_list()) @ np.stack(two["w"].to_list()).T
-        scores[a[:, None] == b[None, :]] = -np.inf
-        return pd.concat([best(a, b, scores), best(b, a, scores.T)])
+        u, w = np.stack(one["u"].to_list()), np.stack(two["w"].to_list())
+        low_u, low_w = u.astype(np.float32), w.astype(np.float32)
+        for i in range(0, len(a), block):
+            for j in range(0, len(b), block):
+                x, y = slice(i, i + block), slice(j, j + block)
+                rough = low_u[x] @ low_w[y].T
+                first = np.searchsorted(b[y], a[x])
+                many = np.searchsorted(b[y], a[x], "right") - first
+                own = np.repeat(np.arange(len(many)), many)
+                rough[own, np.arange(len(own)) + np.repeat(first - (np.cumsum(many) - many), many)] = -np.inf
+                close = rough > threshold - ROUGH_SLACK
+                rows, columns = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+                if len(rows):
+                    found.append(best(a[x][rows], b[y], u[x][rows] @ w[y].T))
+                    found.append(best(b[y][columns], a[x], w[y][columns] @ u[x].T))
+        if len(found) == 1:
+            return found[0]
+        every = pd.concat(found[1:])
+        every = every[np.round(every["score"], 9) >= threshold].assign(place=lambda d: -np.round(d["score"], 9))
+        return every.sort_values([key, "place", "other"]).drop_duplicates(key)[[key, "other", "score"]]
 
     groups = ["cell", "slot", "chunk"]
     found = left.groupBy(*groups).cogroup(right.groupBy("cell_r", "slot_r", "chunk_r")).applyInPandas(meet, f"`{key}` {kind}, other {kind}, score double")
     nearest_one = found.groupBy(key).agg(F.min_by(F.struct("other", "score"), F.struct(-F.round("score", 9), F.col("other"))).alias("__b"))
-    nearest_other = nearest_one.select(F.col(key).alias("__rep"), "__b.*")
+    nearest_other = nearest_one.select(F.col(key).alias("__rep"), "__b.*").filter(F.col("score") > threshold)
     # every copy of a folded vector gets its representative's answer; copies answer for each other
     members = unit.join(folded.select("u", F.col(key).alias("__rep"), "copies"), "u").select(key, "__rep", "copies")
     twin = members.groupBy("__rep").agg(F.min(key).alias("__first"), F.min_by(key, F.struct(F.col(key) == F.col("__rep"), F.col(key))).alias("__second"))
