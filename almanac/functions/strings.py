@@ -68,3 +68,8 @@ def any_script_words(text: Column | str) -> Column:
     """Lower-case words and numbers of a whole text in any script, in order."""
     column = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def spaced_words(text: Column | str) -> Column:
+    """The words of :func:`any_script_words` with one space between; a text may begin or end with a space."""
+    return F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " ")

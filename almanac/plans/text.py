@@ -176,6 +176,10 @@ def keyword_index(spark, sf):
     return ki.build_index(t.table(spark, sf, "documents"), doc_id="doc_id", text="text")
 
 
+def opened(spark, sf, index):
+    return ki.open_questions(index, t.table(spark, sf, "benchmark"), query_id="item_id", query_text="text")
+
+
 def keyword_top(spark, sf, k):
     return ki.keyword_top(keyword_index(spark, sf), t.table(spark, sf, "benchmark"), k, **ASKED)
 
@@ -191,15 +195,15 @@ HYBRID = TERMS + ", " + VECTORS + """, sem AS (SELECT item_id, vec_id AS doc_id,
   top_fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM fused) WHERE rank <= 10)"""
 
 
-def hybrid(spark, sf, index):
+def hybrid(spark, sf, index, opened):
     questions = t.table(spark, sf, "benchmark")
     queries = questions.select("item_id", (F.col("item_id") % 10).cast("int").alias("label")).join(class_centres(spark, sf), "label")
     vectors = t.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     names = {"query_id": "item_id", "doc_id": "doc_id", "vector": "embedding"}
-    best_words = ki.keyword_top(index, questions, 10, **ASKED)
+    best_words = ki.keyword_top(index, questions, 10, **ASKED, opened=opened)
     best_vectors = rt.nearest(queries, vectors, 10, query_id="item_id", vector_id="doc_id", vector="embedding")
     floors = rt.keyword_floors(best_words, best_vectors, queries, vectors, questions, 10, **names, query_text="text")
-    keyword = written(ki.keyword_above(index, questions, floors, **ASKED), "keyword")
+    keyword = written(ki.keyword_above(index, questions, floors, **ASKED, opened=opened), "keyword")
     semantic = rt.semantic_scores(queries, vectors, keyword, 10, **names)
     both = rt.fused(semantic, keyword, questions, query_id="item_id", doc_id="doc_id", query_text="text")
     return rt.top_scores(both, "item_id", "doc_id", 10)
@@ -207,7 +211,8 @@ def hybrid(spark, sf, index):
 
 @query("hybrid_top", "N16", twin("", "SELECT item_id, doc_id, round(score, 6) AS score, rank FROM top_fused", HYBRID))
 def hybrid_top(spark, sf):
-    return rounded(hybrid(spark, sf, keyword_index(spark, sf)), ["score"], 6)
+    index = keyword_index(spark, sf)
+    return rounded(hybrid(spark, sf, index, opened(spark, sf, index)), ["score"], 6)
 
 
 @query("merged_variants", "N17", twin("", """SELECT question, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM (
@@ -247,8 +252,9 @@ def similar_copies(spark, sf):
 @query("retrieval_recall", "N21", twin("", "SELECT round(avg(r), 6) AS recall, count(*) AS n_queries FROM (SELECT item_id, count(f.doc_id) / CAST(count(*) AS DOUBLE) AS r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rk FROM bm) WHERE rk <= 3) b LEFT JOIN top_fused f USING (item_id, doc_id) GROUP BY 1)", HYBRID))
 def retrieval_recall(spark, sf):
     index = keyword_index(spark, sf)
-    truth = ki.keyword_top(index, t.table(spark, sf, "benchmark"), 3, **ASKED).select("item_id", "doc_id")
-    return rounded(rt.recall_at(hybrid(spark, sf, index), truth, query_id="item_id", doc_id="doc_id", k=10), ["recall"], 6)
+    questions = opened(spark, sf, index)
+    truth = ki.keyword_top(index, t.table(spark, sf, "benchmark"), 3, **ASKED, opened=questions).select("item_id", "doc_id")
+    return rounded(rt.recall_at(hybrid(spark, sf, index, questions), truth, query_id="item_id", doc_id="doc_id", k=10), ["recall"], 6)
 
 
 PASSAGES = """passages AS (SELECT doc_id AS item_id, array_to_string(list_slice(string_split(text, ' '), 11, 30), ' ') AS text FROM documents WHERE doc_id % 100 = 0 AND len(string_split(text, ' ')) > 10), """
