@@ -87,3 +87,21 @@ def test_the_last_stage_decodes_its_pieces(spark):
     rows = [(1, "a  [EMAIL] é\n\u2581 x", None, None, 1), (2, "", None, None, 0), (3, None, None, None, None)]
     got = cp.as_pieces(spark, spark.createDataFrame(rows, docs.schema), SF).collect()
     assert sorted((r.doc_id, r.lossless) for r in got) == [(1, True), (2, True), (3, True)]
+
+
+def test_a_task_of_the_last_stage_holds_one_python_worker_and_small_batches(spark, capsys):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    before = spark.conf.get(cp.BATCH)
+    try:
+        spark.conf.set(cp.BATCH, 10_000)
+        made = cp.as_pieces(spark, docs, SF)
+        capsys.readouterr()
+        made.explain()
+        assert capsys.readouterr().out.count("MapInArrow") == 1
+        assert spark.conf.get(cp.BATCH) == str(cp.ROWS)
+        assert made.filter("lossless").count() == 5
+        spark.conf.set(cp.BATCH, 10)
+        cp.as_pieces(spark, docs, SF)
+        assert spark.conf.get(cp.BATCH) == "10"
+    finally:
+        spark.conf.set(cp.BATCH, before)
