@@ -227,7 +227,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     Every fingerprint is indexed 64 times: by a segment with one of its bits blanked. Two fingerprints within the limit meet
     in a segment that differs in at most one bit; they are linked in the first such segment, under the differing bit's
     variant (or the segment's first, if it is equal). The whole fingerprints are compared in the join's own condition, so no
-    candidate that fails leaves it.
+    candidate that fails leaves it. The join is always a sort-merge join: Spark sizes the index as if it had not been exploded, and
+    would send 64 rows for each fingerprint of a middling table to the driver and to every executor.
     """
     cut = segments(bits)
     variants = [F.struct(F.lit(bit).alias("bit"), F.col("print").bitwiseAND(_mask(a, b, bit)).alias("key")) for a, b in cut for bit in range(a, b)]
@@ -240,7 +241,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     met = (F.col("bit") == F.col("near_bit")) & (F.col("key") == F.col("near_key")) & (F.col("cid") < F.col("near_cid"))
     if "group" in prints.columns:
         met = met & (F.col("group") != F.col("near_group"))
-    return index.join(other, met & (F.bit_count(apart) <= bits) & once).select(F.col("cid").alias("a"), F.col("near_cid").alias("b"))
+    return index.hint("merge").join(other.hint("merge"), met & (F.bit_count(apart) <= bits) & once).select(F.col("cid").alias("a"), F.col("near_cid").alias("b"))
 
 
 def near_duplicates(

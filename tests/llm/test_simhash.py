@@ -124,3 +124,14 @@ def test_chains_and_stars_become_components(spark):
     frame = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in components(frame, "a", "b", Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, **{200 + i: 100 for i in range(300)}, 600: 600, 700: 600}
+
+
+def test_the_index_of_variants_is_never_broadcast(spark):
+    # Spark sizes an exploded table like the table itself, so a small file of prints looks small enough with 64 rows for each
+    path = Scratch(spark, "t").root
+    spark.range(2000).selectExpr("id AS cid", "xxhash64(id DIV 2) ^ (id % 2) AS print", "id DIV 4 AS `group`").write.parquet(path)
+    kept = spark.read.parquet(path)
+    for prints, n in ((kept.drop("group"), 1000), (kept, 0)):
+        met = links(prints, 4)
+        assert met.count() == n and len(met.collect()) == n
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
