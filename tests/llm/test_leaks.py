@@ -156,3 +156,65 @@ def test_places_of_words_that_begin_alike():
     asked = np.array([*near, 6, (1 << 50) + 2, 1 << 63, (1 << 64) - 2, 0], np.uint64)
     at = {w: i for i, w in enumerate(words.tolist())}
     assert Vocabulary(words, np.ones(len(words)), 1.0).places(asked).tolist() == [at.get(w, -1) for w in asked.tolist()]
+
+
+def test_the_latent_space_finds_passages_by_itself(spark, monkeypatch):
+    docs, items, truth = corpus()
+    none = np.zeros(0, int)
+    monkeypatch.setattr(module.Asked, "candidates", lambda *_: (none, none))  # no pair shares enough words
+    frame = spark.createDataFrame(docs, "doc_id long, text string, cosine long").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    for options in ({}, {"block": 30}):
+        assert {(r.doc, r.item) for r in leaks(frame, bench, Scratch(spark, "t"), **options).collect()} == truth
+    assert leaks(frame, bench, Scratch(spark, "t"), cosine=1.5).collect() == []
+
+
+def test_cosines_of_many_windows_are_those_of_the_projection():
+    rng = np.random.default_rng(6)
+    words = np.unique(rng.integers(1, 1 << 62, 200, dtype=np.uint64))
+    vocabulary = Vocabulary(words, rng.random(len(words)) + 0.1, 2.0)
+
+    def cells(places, n):
+        starts = np.arange(0, 24 * n, 24)
+        return vocabulary.weights(places, starts, starts + 24)
+
+    for windows in (40, 400):  # fewer and more than words
+        asked = np.zeros((windows, len(words)), np.float32)
+        window, word, weight = cells(rng.integers(0, len(words), 24 * windows), windows)
+        asked[window, word] = weight
+        own = np.linalg.qr(asked.T.astype(np.float64))[0]
+        rest = rng.standard_normal((len(words), 5))
+        rest = np.linalg.qr(np.hstack([own, rest - own @ (own.T @ rest)]))[0][:, own.shape[1]:]
+        space = module.Space(asked, np.hstack([own, rest]).astype(np.float32))
+        other = rng.integers(-1, len(words), 24 * 30)
+        other[:24] = -1  # a window without a word of the benchmark
+        plain = module._normal(module._projected(*cells(other, 30), space.basis, 30)) @ space.near.T
+        assert np.allclose(space.alike(*cells(other, 30), 30), plain, atol=2e-3) and np.abs(plain[1:]).max() > 0.1
+    assert space.alike(*(np.zeros(0, t) for t in (int, int, np.float32)), 2).max() == 0
+
+
+def test_every_kept_window_is_compared_with_the_whole_benchmark():
+    docs, items, _ = corpus()
+    roll = Rolling()
+    read = lambda t: module._tokens([t.casefold().encode()], roll)[0]
+    asked = [(i, read(t), read(t)[-1:]) for i, t, _ in items]
+    words = np.unique(np.concatenate([w for _, w, _ in asked]))
+    vocabulary = Vocabulary(words, np.ones(len(words)), 1.0, np.ones(len(words)))
+    owner, start, end = module._windows(np.cumsum([0, *(len(w) for _, w, _ in asked)]))
+    rows = np.zeros((len(start), len(words)), np.float32)
+    window, word, weight = vocabulary.weights(vocabulary.places(np.concatenate([w for _, w, _ in asked])), start, end)
+    rows[window, word] = weight
+    space = module.Space(rows, np.linalg.qr(rows.T.astype(np.float64))[0].astype(np.float32))
+    kept = module._segments([(d, t.casefold().encode()) for d, t, _ in docs], roll, vocabulary, 0.35, module.Asked(vocabulary, asked))
+    batch = module.pd.DataFrame(kept, columns=["doc", "words", "starts", "ends", "windows", "items"])
+    got = [p for w, i in module._candidates(batch, vocabulary, space, owner, 0.5) for p in zip(w.tolist(), i.tolist(), strict=True)]
+    want, at = set(), 0
+    for _, own, starts, ends, windows, pairs in kept:
+        want |= {(at + w, i) for w, i in zip(windows.tolist(), pairs.tolist(), strict=True)}
+        cells = vocabulary.weights(vocabulary.places(own.view(np.uint64)), starts.astype(np.int64), ends.astype(np.int64))
+        alike = module._normal(module._projected(*cells, space.basis, len(starts))) @ space.near.T
+        want |= {(at + int(w), int(owner[q])) for w, q in zip(*np.nonzero(alike >= 0.5), strict=True)}
+        at += len(starts)
+    # a cosine may round to the other side of the limit
+    assert got == sorted(set(got)) and len(set(got) ^ want) <= 2
+    assert len(got) > sum(len(k[5]) for k in kept) + 10
